@@ -57,6 +57,54 @@ def spread(df: DataFrame, column: str = "text") -> DataFrame:
     return df.select("doc_id", column)
 
 
+# ---------------------------------------------------------------- bitmaps
+
+#: Bits of the largest bitmap that is broadcast (16 MB); beyond it tables are joined without one.
+BITMAP_LIMIT = 1 << 27
+
+
+def bitmap_of(keys: DataFrame, limit: int = BITMAP_LIMIT) -> tuple[int, np.ndarray] | None:
+    """(bits, words): a bitmap with the hashes of the long column `key`, 16 bits or more for each; None beyond the limit.
+
+    The executors OR the words, so at most limit / 64 rows reach the driver. All of the column is in the bitmap; one in
+    16 others may be as well, so it only saves work ahead of an exact step.
+    """
+    n = keys.count()
+    bits = 1 << max(10, (16 * n - 1).bit_length() if n else 0)
+    if bits > limit:
+        return None
+    slot = F.pmod(F.xxhash64("key"), F.lit(bits))
+    rows = keys.select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
+    rows = rows.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    words = np.zeros(bits // 64, np.int64)
+    words[rows["word"].to_numpy(np.int64)] = rows["bit"].to_numpy(np.int64)
+    return bits, words
+
+
+def in_bitmap(words: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (words[slots >> 6] >> (slots & 63)) & 1 == 1
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def likely(df: DataFrame, key, bitmap: tuple[int, np.ndarray] | None, wanted: bool = True) -> DataFrame:
+    """Rows of df whose long `key` may be in the bitmap (all rows without one); with wanted=False the rows that are surely not."""
+    if bitmap is None:
+        return df if wanted else df.limit(0)
+    bits, words = bitmap
+    shared = df.sparkSession.sparkContext.broadcast(words)
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array(in_bitmap(shared.value, batch.column("__slot").to_numpy()) == wanted)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in names], names)
+
+    return df.withColumn("__slot", F.pmod(F.xxhash64(key), F.lit(bits))).mapInArrow(run, ddl(df))
+
+
 # ---------------------------------------------------------------- Arrow text
 
 

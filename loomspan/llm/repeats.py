@@ -8,15 +8,16 @@ one phrase.
 
 Dictionary: phrases counted by (trigger, phrase). If a phrase occurs twice, all its windows repeat. If all phrases of a
 trigger are one, there is nothing else to find; a trigger that occurs once has no repeats. What is left are triggers
-with different phrases, at the edges of repeats. There the dictionary's suffixes are put in order: the windows
-of one copy of each phrase are sorted by their `length`-byte keys (a hash of the suffix cut at that length, which is
+with different phrases, at the edges of repeats. There the dictionary's suffixes are put in order: one copy of each
+phrase is taken, the suffixes at its windows are sorted by their keys (a hash of the suffix cut at `length` bytes,
 where comparisons end), and runs of equal neighbours are repeats. The corpus order of a highly repetitive text thus
-comes from its dictionary, whose size follows the distinct text, not the copies.
+comes from its dictionary, whose size follows the distinct text, not the copies. Phrases meet by trigger in sorted
+partitions; those of a trigger with more than `crowd` phrases meet by suffix key instead, so no task gets them all.
 
 Texts are UTF-8 bytes, null counts as empty; matches never cross documents, and a document may match itself. Strings
 are judged on the input, not on what is left. Repeated rows match each other whole where they have 200 bytes. Shorter
-texts have no such string and stay. doc_ids may repeat or be null: rows are told apart by a row number. An empty table
-gives an empty result. Hashes have 64 bits and are compared in pairs of two.
+texts have no such string and stay. doc_ids may repeat or be null: rows are told apart by doc_id and a hash of the text,
+and rows that are equal in both get equal results. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from loomspan.llm import common as C
 class Settings:
     length: int = 200
     trigger: int = 64
+    crowd: int = 4096
 
 
 def phrases(data: np.ndarray, prefix: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,21 +69,21 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield i, data, C.prefix_hash(data)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with `row` and `twin`, which tell different rows apart."""
+    twin = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.withColumn("row", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", "doc_id"))).withColumn("twin", twin)
+
+
 def dictionary_entries(rows: DataFrame, s: Settings) -> DataFrame:
-    """(trigger, phrase, row, first, last) of every phrase: two hashes, and the windows it is for."""
+    """(trigger, phrase, row, twin, first, last) of every phrase: two hashes, and the windows it is for."""
+    names = ["trigger", "phrase", "row", "twin", "first", "last"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("row").to_numpy()
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
+            row, twin = batch.column("row").to_numpy(), batch.column("twin").to_numpy()
+            out: list[list[np.ndarray]] = [[] for _ in names]
             size = 0
-
-            def flush() -> pa.RecordBatch:
-                made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["trigger", "phrase", "row", "first", "last"])
-                for x in out:
-                    x.clear()
-                return made
-
             for i, data, prefix in _texts(batch.column("text")):
                 at, first, last = phrases(data, prefix, s)
                 if not len(at):
@@ -89,60 +91,149 @@ def dictionary_entries(rows: DataFrame, s: Settings) -> DataFrame:
                 trigger = C.span_hash(prefix, at, at + s.trigger).view(np.int64)
                 # where the trigger stands in the phrase is part of the phrase
                 phrase = (C.span_hash(prefix, first, last + s.length) + C.mix((at - first).astype(np.uint64))).view(np.int64)
-                for x, v in zip(out, (trigger, phrase, np.full(len(at), ids[i]), first.astype(np.int32), last.astype(np.int32))):
+                for x, v in zip(out, (trigger, phrase, np.full(len(at), row[i]), np.full(len(at), twin[i]), first.astype(np.int32), last.astype(np.int32))):
                     x.append(v)
                 size += len(at)
-                if size > 200_000:
-                    yield flush()
-                    size = 0
-            if out[0]:
-                yield flush()
+                if size > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
+                    out, size = [[] for _ in names], 0
+            if size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
 
-    return rows.select("row", "text").mapInArrow(run, "trigger long, phrase long, row long, first int, last int")
+    return rows.select("row", "twin", "text").mapInArrow(run, "trigger long, phrase long, row long, twin long, first int, last int")
 
 
-def window_keys(rows: DataFrame, asked: DataFrame, s: Settings) -> DataFrame:
-    """(key, trigger, row, at) of every window of the phrases `asked` (row, spans: array of trigger, first, last)."""
+def phrase_bytes(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(trigger, crowded, row, twin, first, body) of the phrases `asked` (row, twin, spans: array of trigger, crowded, first, end)."""
+    names = ["trigger", "crowded", "row", "twin", "first", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, spans = batch.column("row").to_numpy(), batch.column("spans")
-            for i, data, prefix in _texts(batch.column("text")):
+            row, twin, spans = batch.column("row").to_numpy(), batch.column("twin").to_numpy(), batch.column("spans")
+            offsets, body = C.text_bytes(batch.column("text"))
+            for i in range(len(batch)):
                 inner = spans[i].values
-                trigger, first, last = (inner.field(k).to_numpy() for k in ("trigger", "first", "last"))
-                n = last.astype(np.int64) - first + 1
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-                key = C.span_hash(prefix, at, at + s.length).view(np.int64)
-                for k in range(0, len(at), 500_000):
-                    cut = slice(k, k + 500_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(np.repeat(trigger, n)[cut]), pa.array(np.full(len(at[cut]), ids[i])), pa.array(at[cut].astype(np.int32))], ["key", "trigger", "row", "at"])
+                first, end = inner.field("first").to_numpy() + offsets[i], inner.field("end").to_numpy() + offsets[i]
+                n = len(inner)
+                yield pa.RecordBatch.from_arrays([inner.field("trigger"), inner.field("crowded"), pa.array(np.full(n, row[i])), pa.array(np.full(n, twin[i])), inner.field("first"), pa.array([body[a:b].tobytes() for a, b in zip(first, end)], pa.binary())], names)
+
+    return rows.join(asked, ["row", "twin"]).select("row", "twin", "text", "spans").mapInArrow(run, "trigger long, crowded boolean, row long, twin long, first int, body binary")
+
+
+def _suffix_keys(bodies: pa.Array, trigger: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase number, window number, key) of the windows of some phrases; a key has the trigger in it."""
+    offsets, data = C.text_bytes(bodies)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    prefix = C.prefix_hash(data)
+    n = np.diff(offsets) - s.length + 1
+    who = np.repeat(np.arange(len(n)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    begin = at + offsets[who]
+    return who, at, C.span_hash(prefix, begin, begin + s.length) + C.mix(trigger.view(np.uint64))[who]
+
+
+def _equal_neighbours(bodies: pa.Array, trigger: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase number, first window, last window) of the runs of windows whose suffixes stand more than once."""
+    who, at, key = _suffix_keys(bodies, trigger, s)
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    hit = np.zeros(len(key), bool)
+    hit[order[1:][same]] = hit[order[:-1][same]] = True
+    where = np.flatnonzero(hit)
+    if not len(where):
+        return (np.zeros(0, np.int64),) * 3
+    new = np.concatenate([[True], (np.diff(where) != 1) | (np.diff(who[where]) != 0)])
+    last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(where) - 1]])
+    return who[where[new]], at[where[new]], at[where[last]]
 
-    return rows.join(asked, "row").select("row", "text", "spans").mapInArrow(run, "key long, trigger long, row long, at int")
 
+def sorted_suffixes(texts: DataFrame, s: Settings, chunk_bytes: int = 1 << 20) -> DataFrame:
+    """(row, twin, first, last): repeated windows of phrases, which meet by trigger in sorted partitions."""
+    names = ["row", "twin", "first", "last"]
 
-def covered(rows: DataFrame, s: Settings) -> DataFrame:
-    """(row, spans: array<struct<first, last>>): windows [first, last] of each row that repeat; rows without any are left out.
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        who, first, last = _equal_neighbours(table.column("body"), table.column("trigger").to_numpy(), s)
+        base = table.column("first").to_numpy()[who]
+        return pa.RecordBatch.from_arrays([pa.array(table.column("row").to_numpy()[who]), pa.array(table.column("twin").to_numpy()[who]), pa.array((first + base).astype(np.int32)), pa.array((last + base).astype(np.int32))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            at = 0
+            trigger = batch.column("trigger").to_numpy()
+            starts = np.flatnonzero(np.diff(trigger)) + 1
+            offsets, _ = C.text_bytes(batch.column("body"))
+            while at < len(batch):  # cut at trigger changes, about chunk_bytes at a time
+                later = starts[(starts > at) & (offsets[starts] - offsets[at] >= chunk_bytes)]
+                end = int(later[0]) if len(later) else len(batch)
+                if held and trigger[at] != held[-1].column("trigger")[-1].as_py():
+                    yield solve(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(at, end - at))
+                at = end
+            if held and len(starts):
+                last = int(starts[-1])
+                table = pa.Table.from_batches(held)
+                rest = len(batch) - last
+                if rest < table.num_rows:
+                    yield solve(table.slice(0, table.num_rows - rest))
+                    held = [batch.slice(last)]
+        if held:
+            yield solve(pa.Table.from_batches(held))
+
+    near = texts.select("trigger", "row", "twin", "first", "body").repartition("trigger").sortWithinPartitions("trigger")
+    return near.mapInArrow(run, "row long, twin long, first int, last int")
+
+
+def crowded_suffixes(texts: DataFrame, s: Settings) -> DataFrame:
+    """The same for phrases of crowded triggers: each suffix key is a row, counted before it is shuffled."""
 
-    rows: materialised (row, text).
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 1000):
+                part = batch.slice(a, 1000)
+                who, at, key = _suffix_keys(part.column("body"), part.column("trigger").to_numpy(), s)
+                take = pa.array(who)
+                first = part.column("first").to_numpy()[who] + at
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("row").take(take), part.column("twin").take(take), pa.array(first.astype(np.int32))], ["key", "row", "twin", "first"])
+
+    windows = texts.select("trigger", "row", "twin", "first", "body").mapInArrow(run, "key long, row long, twin long, first int")
+    equal = windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return windows.join(equal, "key").select("row", "twin", "first", F.col("first").alias("last"))
+
+
+def covered(rows: DataFrame, s: Settings) -> DataFrame:
+    """Materialised (row, twin, spans: array<struct<first, last>>): windows [first, last] that repeat, for rows with any."""
     entries = C.materialise(dictionary_entries(rows, s), "phrases")
     # Triggers that occur once, which are nearly all of them, end here.
     triggers = entries.groupBy("trigger").agg(F.count("*").alias("n"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi"))
-    triggers = triggers.where("n > 1").selectExpr("trigger", "lo <> hi as mixed")
-    found = C.materialise(entries.join(triggers, "trigger"), "repeated")
-    whole = found.where("not mixed").select("row", "first", "last")
+    triggers = C.materialise(triggers.where("n > 1").selectExpr("trigger", "lo <> hi as mixed"), "triggers")
+    some = C.likely(entries, F.col("trigger"), C.bitmap_of(triggers.select(F.col("trigger").alias("key"))))
+    found = C.materialise(some.join(triggers, "trigger"), "repeated")
     mixed = found.where("mixed").drop("mixed")
-    counted = mixed.groupBy("trigger", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last")).alias("one"))
+    counted = mixed.groupBy("trigger", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("row", "twin", "first", "last")).alias("one"))
     counted = C.materialise(counted, "dictionary")
-    copies = mixed.join(counted.where("n > 1").select("trigger", "phrase"), ["trigger", "phrase"]).select("row", "first", "last")
-    # One copy of each phrase of these triggers; all windows of one that occurs twice are known to repeat already.
-    one = counted.select("one.row", F.struct("trigger", "one.first", "one.last").alias("span"))
-    asked = one.groupBy("row").agg(F.collect_list("span").alias("spans"))
-    windows = C.materialise(window_keys(rows, asked, s), "suffixes")
-    equal = windows.groupBy("trigger", "key").agg(F.count("*").alias("n")).where("n > 1").select("trigger", "key")
-    single = windows.join(equal, ["trigger", "key"]).select("row", F.col("at").alias("first"), F.col("at").alias("last"))
+    # All windows of a phrase that occurs twice are known to repeat; its one copy is there for the others.
+    whole = found.where("not mixed").select("row", "twin", "first", "last")
+    copies = mixed.join(counted.where("n > 1").select("trigger", "phrase"), ["trigger", "phrase"]).select("row", "twin", "first", "last")
+    crowds = counted.groupBy("trigger").agg((F.count("*") > s.crowd).alias("crowded"))
+    span = F.struct("trigger", "crowded", "one.first", (F.col("one.last") + s.length).alias("end"))
+    asked = counted.join(crowds, "trigger").select("one.row", "one.twin", span.alias("span")).groupBy("row", "twin").agg(F.collect_list("span").alias("spans"))
+    asked = C.materialise(asked, "asked")
+    sources = C.likely(rows.select("row", "twin", "text"), F.col("twin"), C.bitmap_of(asked.select(F.col("twin").alias("key"))))
+    # rows that are equal in doc_id and text are one source
+    texts = C.materialise(phrase_bytes(sources, asked).dropDuplicates(["trigger", "row", "twin", "first"]), "suffixes")
+    single = sorted_suffixes(texts.where("not crowded"), s).unionAll(crowded_suffixes(texts.where("crowded"), s))
     every = whole.unionAll(copies).unionAll(single)
-    return every.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    return C.materialise(every.groupBy("row", "twin").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+
+
+def with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with their spans (null: none). Rows that surely have none aren't shuffled."""
+    bitmap = C.bitmap_of(found.select(F.col("twin").alias("key")))
+    near, far = C.likely(rows, F.col("twin"), bitmap), C.likely(rows, F.col("twin"), bitmap, wanted=False)
+    return near.join(found, ["row", "twin"], "left").select(*rows.columns, "spans").unionAll(far.withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType)))
 
 
 def keep_mask(n: int, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
@@ -153,11 +244,6 @@ def keep_mask(n: int, first: np.ndarray, last: np.ndarray, length: int) -> np.nd
     return np.cumsum(change)[:n] == 0
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """Materialised docs with `row`, which tells rows apart."""
-    return C.materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-
-
 def _masks(batch: pa.RecordBatch, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(bytes, mask of those kept) of each text of a batch."""
     spans = batch.column("spans")
@@ -172,7 +258,7 @@ def _masks(batch: pa.RecordBatch, s: Settings) -> Iterator[tuple[np.ndarray, np.
 
 def removal_digests(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, one row for each row of docs."""
-    rows = numbered(docs.select("doc_id", "text")).withColumnRenamed("__row", "row")
+    rows = keyed(docs.select("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,29 +270,27 @@ def removal_digests(docs: DataFrame, settings: Settings = Settings()) -> DataFra
                     x.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, out)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = rows.join(covered(rows, settings), "row", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(rows, covered(rows, settings)).select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """docs with repeated strings cut out of their texts. Where a cut would split a UTF-8 character, the rest of it goes too."""
     names = docs.columns
-    rows = numbered(docs)
-    found = covered(rows.select(F.col("__row").alias("row"), "text"), settings).withColumnRenamed("row", "__row")
-    schema = docs.select([F.col(c) for c in names]).schema
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    rows = keyed(docs.select(*(F.col(c).alias(f"__{c}") for c in names), "doc_id", "text"))
+    found = covered(rows.select("row", "twin", "text"), settings)
+    rows = rows.select(*(f"__{c}" for c in names if c != "text"), "text", "row", "twin")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts, own = batch.column("text").to_pylist(), {c: batch.column(f"__{c}") for c in names if c != "text"}
             touched = [x.as_py() is not None for x in batch.column("spans")]
             if any(touched):
                 for i, (data, keep) in enumerate(_masks(batch, settings)):
                     if touched[i]:
                         texts[i] = data[keep].tobytes().decode("utf-8", "ignore")
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else own[c] for c in names], names)
 
-    return rows.join(found, "__row", "left").select(*names, "spans").mapInArrow(run, plain)
+    return with_spans(rows, found).drop("row", "twin").mapInArrow(run, C.ddl(docs))
 
 
 def op10_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
