@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, settings: Settings = Set
     return calibrated([(np.frombuffer(c, np.int32), y) for c, y in examples], prior, s)
 
 
-def score_batches(model: Model):
+def score_batches(model: Model, name: str = "score", drop: str | None = "text"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(1 << model.bits, np.float32)
         dense[model.index] = model.weight
@@ -158,8 +158,8 @@ def score_batches(model: Model):
                     hit = hit[first]
                     total[a:b] += np.bincount(row[hit], w[hit].astype(np.float64), b - a)
             p = np.round(1 / (1 + np.exp(-np.clip(total, -35, 35))), 9)
-            keep = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p)], [*keep, "score"])
+            keep = [c for c in batch.schema.names if c != drop]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p)], [*keep, name])
 
     return run
 
@@ -170,6 +170,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(score_batches(model), f"doc_id {kind}, score double")
 
 
+def scored(docs: DataFrame, model: Model, name: str = "__score") -> DataFrame:
+    """docs with all their columns and the score."""
+    return docs.mapInArrow(score_batches(model, name, None), f"{C.ddl(docs)}, `{name}` double")
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, settings: Settings = Settings()) -> DataFrame:
     """Fit on the labelled rows outside fold 0 of `folds`, score all rows: doc_id, held_out, score, predicted."""
     learn = labels.where(C.bucket_of("doc_id", folds) != 0)
