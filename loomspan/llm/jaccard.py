@@ -48,6 +48,7 @@ class Settings:
     percent: int = 80
     rare: int = 8
     long_set: int = 300
+    bitmap_limit: int = C.BITMAP_LIMIT
 
 
 def shingle_rows(data: np.ndarray, begin: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +118,7 @@ def digests(docs: DataFrame, s: Settings) -> DataFrame:
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(ends, flat), pa.array(need, pa.int64())], ["doc_id", "n", "h1", "h2", "prefix", "need"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, h1 long, h2 long, prefix array<long>, need long")
+    return docs.select("doc_id", "text").mapInArrow(C.trimmed(run), f"doc_id {kind}, n long, h1 long, h2 long, prefix array<long>, need long")
 
 
 def whole_sets(docs: DataFrame, s: Settings) -> DataFrame:
@@ -131,7 +132,7 @@ def whole_sets(docs: DataFrame, s: Settings) -> DataFrame:
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["node", "n", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"node {kind}, n long, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(C.trimmed(run), f"node {kind}, n long, tokens array<long>")
 
 
 def shared_tokens(sets: DataFrame, s: Settings) -> DataFrame:
@@ -191,19 +192,48 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after
 
 
+def promising(digest: DataFrame, s: Settings) -> DataFrame:
+    """(node): documents that share enough tokens of their hash-order prefix with other sets; a few more may stay."""
+    rows = digest.where("n > 0 and doc_id is not null")
+    seen = rows.select("h1", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
+    seen = C.materialise(seen, "seen")
+    if (bitmap := C.bitmap_of(seen, s.bitmap_limit)) is None:
+        k = rows.select("doc_id", "need", F.explode("prefix").alias("key")).join(seen, "key").groupBy("doc_id", "need").agg(F.count("*").alias("k"))
+        return k.where("k >= need").select(F.col("doc_id").alias("node")).distinct()
+    bits, words = bitmap
+    shared = digest.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("slots")
+            hits = np.concatenate([[0], np.cumsum(C.in_bitmap(shared.value, lists.flatten().to_numpy()))])
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            keep = hits[ends[1:]] - hits[ends[:-1]] >= batch.column("need").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("node").filter(pa.array(keep))], ["node"])
+
+    slots = F.transform("prefix", lambda x: F.pmod(F.xxhash64(x), F.lit(bits)))
+    kind = digest.schema["doc_id"].dataType.simpleString()
+    return rows.select(F.col("doc_id").alias("node"), "need", slots.alias("slots")).mapInArrow(run, f"node {kind}").distinct()
+
+
+def sets_for(docs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
+    """(node, n, tokens) of the documents in `nodes`; a few others may be there. Texts are not shuffled if a bitmap will do."""
+    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    bitmap = C.bitmap_of(nodes.select(F.xxhash64("node").alias("key")), s.bitmap_limit)
+    if bitmap is None:
+        docs = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id")
+    return whole_sets(C.likely(docs, F.xxhash64("doc_id"), bitmap), s).where("n > 0")
+
+
 def links(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """(documents, node components): doc_id, n, node of every document; node, component of linked nodes."""
     digest = C.materialise(digests(docs, s), "digests")
     classes = digest.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     classes = C.materialise(classes, "classes")
-    spare = digest.join(classes.where("copies > 1"), ["n", "h1", "h2"]).where("doc_id <> node").select("doc_id", "h1").distinct()
-    alone = digest.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("node"), "h1", "prefix", "need")
-    alone = alone.join(spare.withColumnRenamed("doc_id", "node"), ["node", "h1"], "left_anti")
-    postings = C.materialise(alone.select("node", "need", F.explode("prefix").alias("token")), "postings")
-    seen = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    stay = postings.join(seen, "token").groupBy("node", "need").agg(F.count("*").alias("k")).where("k >= need").select("node").distinct()
-    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(stay.withColumnRenamed("node", "doc_id"), "doc_id")
-    sets = C.materialise(whole_sets(texts, s).where("n > 0"), "sets")
+    # Copies share all tokens, but only with themselves: of each class its node alone is joined.
+    spare = digest.join(classes.where("copies > 1"), ["n", "h1", "h2"]).where("doc_id <> node").select(F.col("doc_id").alias("node")).distinct()
+    stay = C.materialise(promising(digest, s).join(spare, "node", "left_anti"), "stay")
+    sets = C.materialise(sets_for(docs, stay, s), "sets")
     shared = C.materialise(shared_tokens(sets, s), "shared")
     index = C.materialise(buckets(shared, s), "buckets")
 
