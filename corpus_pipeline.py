@@ -29,6 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs that are the smallest doc_id of their component; rows that repeat it stay once each as they are."""
+    common.bounded_batches(spark)
     found = jaccard.jaccard_components(docs)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -40,6 +41,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.bounded_batches(spark)
     return counted(repeats.remove_repeats(docs))
 
 
@@ -50,6 +52,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    common.bounded_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -15,8 +15,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -157,6 +157,8 @@ def encode_pieces(first_ids: np.ndarray, lens: np.ndarray, pairs: PairTable) ->
 class ByteBPE:
     """The encoding that a .tiktoken rank file and a splitting pattern define."""
 
+    spaced = True
+
     def __init__(self, ranks_path: str, pattern: str):
         import regex
 
@@ -190,7 +192,7 @@ class ByteBPE:
 
     def learn(self, parts: list[str]) -> None:
         """Encode parts that are not yet remembered. One space and letters are one match; the pattern cuts the others."""
-        cut = [(p,) if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else self.split(p) for p in parts]
+        cut = [(" " + p,) if p.isalpha() else self.split(p[1:] if p.startswith(HEAD) else " " + p) for p in parts]
         found = list({p for c in cut for p in c})
         ids = dict(zip(found, self.pieces(found)))
         self.memory.update((part, ids[c[0]] if len(c) == 1 else b"".join(map(ids.__getitem__, c))) for part, c in zip(parts, cut))
@@ -207,20 +209,37 @@ class ByteBPE:
         return self.bytes[np.arange(end[-1]) + np.repeat(self.starts[ids] - end + size, size)].tobytes()
 
 
-_AWKWARD = re.compile(r" \s|[^\S ] ")
+#: Stands before the first part of a text, which has no space before it.
+HEAD = "\0"
 
 
 def encode_parts(coder, texts: list[str]) -> list[bytes]:
-    """Split texts into parts, have coder.learn() see the new ones, and join what coder.memory has of each."""
-    split = [[t] if _AWKWARD.search(t) else [w if k == 0 else " " + w for k, w in enumerate(t.split(" "))] if t else [] for t in texts]
-    if len(coder.memory) > REMEMBERED:
-        coder.memory.clear()
+    """Split texts at spaces, have coder.learn() see the parts that are new, and join what coder.memory has of each.
+
+    Where coder.spaced, a part stands for a space and what follows it; texts in which other white space (or another
+    space) is next to a space are one part each. Such parts are never remembered, so new ones alone need looking at.
+    """
     memory = coder.memory
-    if new := list({p for parts in split for p in parts if p not in memory}):
-        coder.learn(new)
+    if len(memory) > REMEMBERED:
+        memory.clear()
+    split = [t.split(" ") if t else [] for t in texts]
+    if coder.spaced:
+        for k, (t, parts) in enumerate(zip(texts, split)):
+            if parts:
+                parts[0] = HEAD + parts[0]
+                if HEAD in t:
+                    split[k] = [HEAD + t]
+    new = set(chain.from_iterable(split)).difference(memory)
+    if coder.spaced:
+        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace() or p == HEAD or (p[0] == HEAD and p[1].isspace())}
+        if odd:
+            split = [parts if odd.isdisjoint(parts) else [HEAD + t] for t, parts in zip(texts, split)]
+            new = set(chain.from_iterable(split)).difference(memory)
+    if new:
+        coder.learn(list(new))
     out = [b"".join(map(memory.__getitem__, parts)) for parts in split]
     for p in new:
-        if len(p) > 64:  # long parts hardly come again
+        if len(p) > 64 or p.startswith(HEAD):  # these hardly come again
             del memory[p]
     return out
 
@@ -283,7 +302,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4"))).hexdigest()) for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *map(pa.array, zip(*rows))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(C.trimmed(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

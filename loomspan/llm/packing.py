@@ -109,14 +109,12 @@ class WordBPE:
     PLAIN = re.compile(r"[\n\x20-\x7eÀ-ÖØ-öø-ÿ]*").fullmatch
     SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+").findall
 
+    spaced = False
+
     def __init__(self, path: str):
         import json
 
-        from tokenizers import Tokenizer
-
-        C.os_environment()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path, self.library = path, None
         self.memory: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
@@ -132,6 +130,15 @@ class WordBPE:
             self.inner = np.array([vocab[c] for c in names], np.int64)
             self.last = np.array([vocab[c + "</w>"] for c in names], np.int64)
 
+    def by_library(self, parts: list[str]) -> list[bytes]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            C.os_environment()
+            self.library = Tokenizer.from_file(self.path)
+            self.library.encode_special_tokens = True
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+
     @staticmethod
     def _byte_names() -> list[str]:
         """The public byte-level alphabet: printable Latin-1 stands for itself, other bytes for 256, 257, ..."""
@@ -140,25 +147,34 @@ class WordBPE:
         return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
 
     def learn(self, parts: list[str]) -> None:
-        easy = [p for p in parts if self.matrices and self.PLAIN(p)]
-        hard = list(set(parts).difference(easy))
-        cut = [self.SPLIT(p.lower()) for p in easy]
-        if len(self.words) > bpe.REMEMBERED:
-            self.words.clear()
-        new = list({w for c in cut for w in c if w not in self.words})
-        raw = [w.encode() for w in new]
-        lens = np.fromiter(map(len, raw), np.int64, len(raw))
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        if len(new):
+        words = self.words
+        if len(words) > bpe.REMEMBERED:
+            words.clear()
+        easy, cut, hard = [], [], []
+        for p in parts:
+            if not self.matrices:
+                hard.append(p)
+            elif p.isascii() and (p.isalpha() or (p[:-1].isalpha() and p[-1] in ".,;:!?")):
+                low = p.lower()
+                easy.append(p)
+                cut.append((low,) if low.isalpha() else (low[:-1], low[-1]))
+            elif self.PLAIN(p):
+                easy.append(p)
+                cut.append(self.SPLIT(p.lower()))
+            else:
+                hard.append(p)
+        new = list({w for c in cut for w in c}.difference(words))
+        if new:
+            raw = [w.encode() for w in new]
+            lens = np.fromiter(map(len, raw), np.int64, len(raw))
+            data = np.frombuffer(b"".join(raw), np.uint8)
             ids = self.inner[data]
             ends = np.cumsum(lens) - 1
             ids[ends] = self.last[data[ends]]
-            self.words.update(zip(new, bpe.encode_pieces(ids, lens, self.pairs)))
-        words = self.words
-        self.memory.update((p, b"".join(map(words.__getitem__, c))) for p, c in zip(easy, cut))
+            words.update(zip(new, bpe.encode_pieces(ids, lens, self.pairs)))
+        self.memory.update((p, words[c[0]] if len(c) == 1 else b"".join(map(words.__getitem__, c))) for p, c in zip(easy, cut))
         if hard:
-            found = self.tokenizer.encode_batch_fast(hard, add_special_tokens=False)
-            self.memory.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(hard, found))
+            self.memory.update(zip(hard, self.by_library(hard)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return bpe.encode_parts(self, texts)
@@ -192,8 +208,9 @@ def tokenised(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end: int
                 columns = [batch.column("doc_id").take(pa.array(doc, pa.int64())), *(pa.array(x, pa.int64()) for x in (piece, start, length, crc)), pa.array([task] * len(doc), pa.int32()), pa.array(rank, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * ids, names + ["ids"] * ids)
+        coder.memory.clear()  # whole parts; their words stay remembered
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece long, start long, length long, ids_crc32 long, task int, rank long" + ", ids binary" * ids)
+    return docs.select("doc_id", "text").mapInArrow(C.trimmed(run), f"doc_id {kind}, piece long, start long, length long, ids_crc32 long, task int, rank long" + ", ids binary" * ids)
 
 
 def place(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -100,7 +100,7 @@ def dictionary_entries(rows: DataFrame, s: Settings) -> DataFrame:
             if size:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
 
-    return rows.select("row", "twin", "text").mapInArrow(run, "trigger long, phrase long, row long, twin long, first int, last int")
+    return rows.select("row", "twin", "text").mapInArrow(C.trimmed(run), "trigger long, phrase long, row long, twin long, first int, last int")
 
 
 def phrase_bytes(rows: DataFrame, asked: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def phrase_bytes(rows: DataFrame, asked: DataFrame) -> DataFrame:
                 n = len(inner)
                 yield pa.RecordBatch.from_arrays([inner.field("trigger"), inner.field("crowded"), pa.array(np.full(n, row[i])), pa.array(np.full(n, twin[i])), inner.field("first"), pa.array([body[a:b].tobytes() for a, b in zip(first, end)], pa.binary())], names)
 
-    return rows.join(asked, ["row", "twin"]).select("row", "twin", "text", "spans").mapInArrow(run, "trigger long, crowded boolean, row long, twin long, first int, body binary")
+    return rows.join(asked, ["row", "twin"]).select("row", "twin", "text", "spans").mapInArrow(C.trimmed(run), "trigger long, crowded boolean, row long, twin long, first int, body binary")
 
 
 def _suffix_keys(bodies: pa.Array, trigger: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +183,7 @@ def sorted_suffixes(texts: DataFrame, s: Settings, chunk_bytes: int = 1 << 20) -
             yield solve(pa.Table.from_batches(held))
 
     near = texts.select("trigger", "row", "twin", "first", "body").repartition("trigger").sortWithinPartitions("trigger")
-    return near.mapInArrow(run, "row long, twin long, first int, last int")
+    return near.mapInArrow(C.trimmed(run), "row long, twin long, first int, last int")
 
 
 def crowded_suffixes(texts: DataFrame, s: Settings) -> DataFrame:

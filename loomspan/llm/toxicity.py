@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, settings: Settings = Set
         part = known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_rows)
         picked = part if picked is None else picked.unionAll(part)
     sample = docs.select("doc_id", "text").where(F.octet_length("text") <= s.max_bytes).join(F.broadcast(picked), "doc_id").select("label", "text")
-    rows = sample.mapInArrow(_sampled_features(s.bits), "label int, cols binary").limit(4 * s.max_rows).toPandas()
+    rows = sample.mapInArrow(C.trimmed(_sampled_features(s.bits)), "label int, cols binary").limit(4 * s.max_rows).toPandas()
     examples = sorted(((c, int(y)) for y, c in zip(rows["label"], rows["cols"])), key=lambda e: (e[1], bytes(e[0])))
     if len({y for _, y in examples}) < 2:
         return _constant(prior, s.bits)
@@ -167,12 +167,12 @@ def score_batches(model: Model, name: str = "score", drop: str | None = "text"):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row of docs; score is the probability of the label being 1."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(score_batches(model), f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(C.trimmed(score_batches(model)), f"doc_id {kind}, score double")
 
 
 def scored(docs: DataFrame, model: Model, name: str = "__score") -> DataFrame:
     """docs with all their columns and the score."""
-    return docs.mapInArrow(score_batches(model, name, None), f"{C.ddl(docs)}, `{name}` double")
+    return docs.mapInArrow(C.trimmed(score_batches(model, name, None)), f"{C.ddl(docs)}, `{name}` double")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, settings: Settings = Settings()) -> DataFrame:
