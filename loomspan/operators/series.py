@@ -236,3 +236,85 @@ def strand_rows(df: DataFrame, forward: list[str], reverse: list[str], names: li
 def rescaled(avg: Column, count: Column, least_positive: Column) -> Column:
     """Amounts from log2 cycles: avg * count * 2**-log2(least positive)."""
     return avg * count * F.pow(F.lit(2.0), -F.log2(least_positive))
+
+
+def loess_normalised(df: DataFrame, reference: DataFrame | None = None, bins: int = 200, span: float = 0.3) -> DataFrame:
+    """(id, column, value, normalised) from long (id, column, value).
+
+    Each column's values are fitted as a smooth function of the rows' medians (over `reference` ids, if given), and
+    values are read back through its inverse. Fits use the means of at most `bins` bins a column, so no task holds a column.
+    """
+    medians = df.groupBy("id").agg(F.median("value").alias("x"))
+    used = medians if reference is None else medians.join(reference.select("id"), "id", "left_semi")
+    ends = used.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    points = df.join(used, "id").crossJoin(ends)  # one row
+    slot = F.least(F.lit(bins - 1), F.floor(F.coalesce(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * bins))
+    means = points.groupBy("column", slot.alias("slot")).agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("value").alias("y"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values("x")
+        x, y, n = (p[c].to_numpy(float) for c in ("x", "y", "n"))
+        k = max(min(len(x), 4), int(np.ceil(span * len(x))))
+        smooth = np.empty(len(x))
+        for i, at in enumerate(x):
+            d = np.abs(x - at)
+            h = max(np.sort(d)[k - 1], 1e-12)
+            w = n * np.clip(1 - (d / h) ** 3, 0, None) ** 3
+            degree = min(2, int((w > 0).sum()) - 1)
+            smooth[i] = np.polynomial.polynomial.polyval(0.0, np.polynomial.polynomial.polyfit(x - at, y, degree, w=np.sqrt(w))) if degree > 0 else y[i]
+        return pd.DataFrame({"column": [pdf["column"].iloc[0]], "xs": [x], "ys": [np.maximum.accumulate(smooth)]})
+
+    curves = means.groupBy("column").applyInPandas(fit, f"column {df.schema['column'].dataType.simpleString()}, xs array<double>, ys array<double>")
+
+    def back(value: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([np.nan if v is None or np.isnan(v) else float(np.interp(v, b, a)) for v, a, b in zip(value, xs, ys)])
+
+    back.__annotations__ = {"value": pd.Series, "xs": pd.Series, "ys": pd.Series, "return": pd.Series}
+    return df.join(curves, "column").select("id", "column", "value", F.pandas_udf(back, "double")("value", "xs", "ys").alias("normalised"))
+
+
+def density_grid(df: DataFrame, x: str, y: str, n: int = 128, bandwidth: float = 2.0, circular: bool = False) -> DataFrame:
+    """(i, j, density, level): counts on an n x n grid, smoothed by a Gaussian of `bandwidth` cells, in 256 levels.
+
+    The grid is all that is gathered. With circular, the x axis wraps.
+    """
+    ends = df.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
+    cell = lambda c, a, b: F.least(F.lit(n - 1), F.floor(F.coalesce(F.try_divide(F.col(c) - F.col(a), F.col(b) - F.col(a)), F.lit(0.0)) * n)).cast("int")
+    counts = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).crossJoin(ends).groupBy(cell(x, "x0", "x1").alias("i"), cell(y, "y0", "y1").alias("j")).agg(F.count("*").alias("c"))
+
+    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = np.zeros((n, n))
+        grid[pdf["i"], pdf["j"]] = pdf["c"]
+        reach = int(np.ceil(4 * bandwidth))
+        kernel = np.exp(-np.arange(-reach, reach + 1) ** 2 / (2 * bandwidth**2))
+        kernel /= kernel.sum()
+        for axis in (0, 1):
+            edge = [(reach, reach) if a == axis else (0, 0) for a in (0, 1)]
+            wide = np.pad(grid, edge, mode="wrap" if circular and axis == 0 else "constant")
+            grid = np.apply_along_axis(lambda v: np.convolve(v, kernel, "valid"), axis, wide)
+        i, j = np.indices(grid.shape)
+        level = np.floor(255 * grid / max(grid.max(), 1e-300))
+        return pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "density": grid.ravel() / max(grid.sum(), 1e-300), "level": level.ravel().astype(int)})
+
+    return counts.groupBy(F.lit(1).alias("all")).applyInPandas(smooth, "i int, j int, density double, level int")
+
+
+def medoids(df: DataFrame, k: int, columns: list[str], seed: int = 1, rounds: int = 20) -> DataFrame:
+    """(id, cluster): k-medoids of min-max scaled columns. For small tables of summaries: distances are within one task."""
+    ends = df.agg(*[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns])
+    scaled = df.crossJoin(ends).select("id", F.array(*[F.coalesce(F.try_divide(F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")), F.lit(0.0)) for c in columns]).alias("v"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        x = np.stack(pdf["v"])
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        m = np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False)
+        for _ in range(rounds):
+            own = d[:, m].argmin(1)
+            new = np.array([np.flatnonzero(own == c)[d[np.ix_(own == c, own == c)].sum(1).argmin()] if (own == c).any() else m[c] for c in range(len(m))])
+            if (new == m).all():
+                break
+            m = new
+        return pd.DataFrame({"id": pdf["id"], "cluster": d[:, m].argmin(1)})
+
+    return scaled.groupBy(F.lit(1).alias("all")).applyInPandas(run, f"id {df.schema['id'].dataType.simpleString()}, cluster int")

@@ -620,6 +620,35 @@ def _(spark, d):
     return series.kmeans(e, [4, 8])[1]
 
 
+@register("loess_normalised")
+def _(spark, d):
+    s = fixture(spark, d, "fx_ts").select("id", F.col("t").alias("column"), F.col("y").alias("value"))
+    return series.loess_normalised(s)
+
+
+@register("density_grid")
+def _(spark, d):
+    return series.density_grid(fixture(spark, d, "fx_xy"), "x", "y", 64)
+
+
+@register("medoids")
+def _(spark, d):
+    s = fixture(spark, d, "fx_ts").groupBy("id").agg(F.avg("y").alias("mean"), F.max("y").alias("most"))
+    return series.medoids(s, 7, ["mean", "most"])
+
+
+@register("strand_rows", "SELECT c_custkey AS id, '+' AS strand, c_acctbal AS v FROM customer UNION ALL SELECT c_custkey, '-', -c_acctbal FROM customer")
+def _(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v_frw"), (-F.col("c_acctbal")).alias("v_rev"))
+    return series.strand_rows(c, ["v_frw"], ["v_rev"], ["v"])
+
+
+@register("running_seconds", "SELECT o_orderkey AS seq, o_orderstatus AS type, round(sum(o_totalprice) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey), 2) AS running FROM orders")
+def _(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("type"), F.col("o_totalprice").alias("seconds"))
+    return rounded(stats.timing(o), "running", digits=2).select("seq", "type", "running")
+
+
 # ---------------------------------------------------------------- sequences and scalars
 
 DNA = "(SELECT doc_id AS id, substr(upper(regexp_replace(text, '[^acgtACGT]', '', 'g')), 1, 400) AS seq FROM documents)"

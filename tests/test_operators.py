@@ -151,3 +151,22 @@ def test_entry_without_corpus_folders():
     import __spark_entry__ as entry
 
     assert {"overlap_pairs", "dft"} <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_loess_inverts_a_column_effect(spark):
+    rows = [(i, c, (i / 50.0) * (1 + 0.5 * c) + 0.1 * c) for i in range(300) for c in range(3)]
+    got = series.loess_normalised(spark.createDataFrame(rows, "id long, column int, value double")).collect()
+    middle = {r.id: r.value for r in got if r.column == 1}
+    assert np.median([abs(r.normalised - middle[r.id]) for r in got]) < 0.05
+
+
+def test_density_grid_sums_to_one(spark):
+    rows = [(float(i % 37), float(i % 11)) for i in range(500)]
+    got = series.density_grid(spark.createDataFrame(rows, "x double, y double"), "x", "y", 32, circular=True).collect()
+    assert len(got) == 1024 and abs(sum(r.density for r in got) - 1) < 1e-9 and max(r.level for r in got) == 255
+
+
+def test_medoids_split_two_heaps(spark):
+    rows = [(i, float(i % 2) * 10 + i * 0.01) for i in range(40)]
+    got = {r.id: r.cluster for r in series.medoids(spark.createDataFrame(rows, "id long, v double"), 2, ["v"]).collect()}
+    assert len({got[i] for i in range(0, 40, 2)}) == 1 and got[0] != got[1]
