@@ -211,6 +211,7 @@ def covered(rows: DataFrame, s: Settings) -> DataFrame:
     triggers = C.materialise(triggers.where("n > 1").selectExpr("trigger", "lo <> hi as mixed"), "triggers")
     some = C.likely(entries, F.col("trigger"), C.bitmap_of(triggers.select(F.col("trigger").alias("key"))))
     found = C.materialise(some.join(triggers, "trigger"), "repeated")
+    C.discard(entries)
     mixed = found.where("mixed").drop("mixed")
     counted = mixed.groupBy("trigger", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("row", "twin", "first", "last")).alias("one"))
     counted = C.materialise(counted, "dictionary")
@@ -226,7 +227,9 @@ def covered(rows: DataFrame, s: Settings) -> DataFrame:
     texts = C.materialise(phrase_bytes(sources, asked).dropDuplicates(["trigger", "row", "twin", "first"]), "suffixes")
     single = sorted_suffixes(texts.where("not crowded"), s).unionAll(crowded_suffixes(texts.where("crowded"), s))
     every = whole.unionAll(copies).unionAll(single)
-    return C.materialise(every.groupBy("row", "twin").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+    out = C.materialise(every.groupBy("row", "twin").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+    C.discard(triggers, found, counted, asked, texts)
+    return out
 
 
 def with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:

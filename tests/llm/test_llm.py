@@ -446,3 +446,31 @@ def test_pipeline_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = common.materialise(stage(spark, docs, SMALL))
     assert docs.count() == 0
+
+
+# ---------------------------------------------------------------- SQL
+
+
+@pytest.mark.parametrize("name", ["op5_pii_sanitise", "op6_jaccard_join", "op7_warc"])
+def test_equals_sql(spark, name):
+    import duckdb
+
+    from loomspan.llm import oracle, queries
+
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
+    df = queries.queries()[name](spark, SMALL)
+    found = con.execute(oracle.ORACLE[name])
+    names = [x[0] for x in found.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(str, (tuple(r[c] for c in names) for r in df.collect()))) == sorted(map(str, found.fetchall()))
+
+
+def test_discard_only_takes_own_tables(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/kept")
+    kept, own = spark.read.parquet(f"{tmp_path}/kept"), common.materialise(spark.range(3).toDF("id"))
+    common.discard(kept, own)
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        own.collect()
