@@ -44,6 +44,16 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/loomspan/" in path:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Rows of an Arrow batch of whole texts; Spark's default of 10,000 would be 35 MB of text on both sides of each worker.
 BATCH_ROWS = 1000
 
@@ -245,6 +255,15 @@ def logistic_line(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 1e-
     return float(slope), float(theta[1] - slope * x.mean())
 
 
+def best_cut(x: np.ndarray, y: np.ndarray) -> float:
+    """The value of x above which y is rather 1: the middle of the cuts with the fewest errors."""
+    order = np.argsort(x, kind="stable")
+    x, y = np.asarray(x, float)[order], np.asarray(y, int)[order]
+    cuts = np.concatenate([[x[0] - 1e-9], (x[1:] + x[:-1]) / 2, [x[-1] + 1e-9]])
+    errors = np.concatenate([[0], np.cumsum(y)]) + (1 - y).sum() - np.concatenate([[0], np.cumsum(1 - y)])
+    return float(np.median(cuts[errors == errors.min()]))
+
+
 def os_environment() -> None:
     """Native libraries of a Python worker keep to their one core."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

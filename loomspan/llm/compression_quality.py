@@ -3,7 +3,8 @@
 `fit` takes a bounded sample of labelled rows (`max_rows` per class, smallest hash of doc_id first; texts of more than
 `max_bytes` are not fitted on), builds a dictionary from the good texts and one from the bad ones, and fits a logistic
 line to the normalised difference of the sizes on rows that built no dictionary. `score` compresses every whole text,
-cut into blocks of `block` bytes, with either dictionary: (bad - good) / (bad + good) over all its blocks.
+cut into blocks of `block` bytes, with either dictionary: (bad - good) / length over all its blocks. Text that repeats
+itself compresses well with either and so gains little from the good dictionary.
 
 Null text counts as empty; an empty text has no difference and gets the calibrated score of 0. Repeated rows are
 scored each. Without labelled rows of both classes all rows get the rate of the class that is there (0.5 without
@@ -28,9 +29,9 @@ from loomspan.llm import common as C
 class Settings:
     max_rows: int = 1500  # labelled rows of each class that fitting reads
     max_bytes: int = 16384
-    dict_bytes: int = 112_640
-    block: int = 2048
-    level: int = 1
+    dict_bytes: int = 32_768
+    block: int = 1024
+    level: int = 3
     calibrate: int = 3  # each such row calibrates, the others build dictionaries
 
 
@@ -68,7 +69,7 @@ class Sizer:
         if not len(text):
             return 0.0
         good, bad = (sum(len(c.compress(text[i : i + self.block])) for i in range(0, len(text), self.block)) for c in self.coders)
-        return (bad - good) / (bad + good)
+        return (bad - good) / len(text)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, settings: Settings = Settings()) -> Model:
@@ -86,18 +87,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, settings: Settings = Set
     examples = sorted((int(y), bytes(t)) for y, t in zip(rows["label"], rows["text"]))
     np.random.default_rng(5).shuffle(examples)
     held, rest = examples[:: s.calibrate], [e for k, e in enumerate(examples) if k % s.calibrate]
-    good, bad = ([t for y, t in rest if int(y) == k] for k in (1, 0))
-    if not good or not bad or len({int(y) for y, _ in held}) < 2:
+    if len({int(y) for y, _ in rest}) < 2 or len({int(y) for y, _ in held}) < 2:
         return Model(b"", b"", 0.0, float(np.log(prior / (1 - prior))), s.block, s.level)
-    # Both dictionaries are built from as many bytes, lest the larger class compress better for its size alone.
+    # Rows that built no dictionary calibrate: classes are sampled unevenly, so each row stands for its share of the labels.
+    sizer = Sizer(*_dictionaries(rest, s), s.block, s.level)
+    x, y = np.array([sizer.difference(t) for _, t in held]), np.array([int(y) for y, _ in held])
+    slope, _ = C.logistic_line(x, y, prior)
+    rare = 1 if y.mean() > 0 and prior / y.mean() > (1 - prior) / (1 - y.mean()) else 0
+    times = np.where(y == rare, max(1, round((prior / y.mean()) / ((1 - prior) / (1 - y.mean())) if rare else ((1 - prior) / (1 - y.mean())) / (prior / y.mean()))), 1)
+    cut = C.best_cut(np.repeat(x, times), np.repeat(y, times))
+    return Model(*_dictionaries(examples, s), slope, -slope * cut, s.block, s.level)
+
+
+def _dictionaries(examples: list, s: Settings) -> tuple[bytes, bytes]:
+    """(good, bad), built from as many bytes each, lest the larger class compress better for its size alone."""
+    good, bad = ([t for y, t in examples if int(y) == k] for k in (1, 0))
     limit = max(1 << 18, min(sum(map(len, good)), sum(map(len, bad))))
-    kept = []
-    for texts in (good, bad):
-        ends = np.cumsum([len(t) for t in texts])
-        kept.append(dictionary(texts[: int(np.searchsorted(ends, limit)) + 1], s))
-    sizer = Sizer(*kept, s.block, s.level)
-    slope, shift = C.logistic_line(np.array([sizer.difference(t) for _, t in held]), np.array([int(y) for y, _ in held]), prior)
-    return Model(kept[0], kept[1], slope, shift, s.block, s.level)
+    return tuple(dictionary(texts[: int(np.searchsorted(np.cumsum([len(t) for t in texts]), limit)) + 1], s) for texts in (good, bad))
 
 
 def _score_batches(shared):
@@ -115,7 +121,7 @@ def _score_batches(shared):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score): the probability of label 1. The two dictionaries (0.2 MB) are broadcast."""
+    """(doc_id, score): the probability of label 1. The two dictionaries (64 KB) are broadcast."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", "text").mapInArrow(_score_batches(shared), f"doc_id {kind}, score double")
