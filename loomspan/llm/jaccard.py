@@ -13,8 +13,9 @@ documents link when 100 * |A & B| >= percent * |A | B|. The join is exact:
    `long_set` tokens would have too many combinations and index frequent tokens singly; sets within the join's reach of
    that size do both, so no pair is lost.
 5. Buckets of rare tokens are small and pair up. In a bucket of frequent tokens every member pairs with the member that
-   has the fewest tokens of its own. Buckets that are one component after these pairs are verified need no others;
-   what is left in different components of a bucket pairs up as well.
+   has the fewest tokens of its own. Buckets that are one component after these pairs are verified need no others. What
+   is left in different components pairs up where it can be similar: by what sets lack or have beside their head's
+   usual tokens (`delta_pairs`), so the near copies of a large group don't all meet.
 6. Every pair is verified on whole sets. Components come from repeated minimum labels with pointer jumps; all of this
    stays in tables.
 
@@ -225,16 +226,49 @@ def sets_for(docs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
     return whole_sets(C.likely(docs, F.xxhash64("doc_id"), bitmap), s).where("n > 0")
 
 
+def delta_pairs(members: DataFrame, shared: DataFrame, s: Settings) -> DataFrame:
+    """Distinct pairs (x, y) of different components among the members of each head that can be similar.
+
+    members: (head, node, n, component). Let U be the tokens that more than half of a head's members have, and the delta
+    of x its d(x) tokens of U that it lacks and its tokens outside U. Two members have |U| - d(x) - d(y) + s tokens in
+    common, s the size of their deltas' intersection. With s = 0 they are similar just if g(x) + g(y) is at most
+    (100 + percent) |U|, where g(x) = (100 + percent) d(x) + percent n(x); then either is similar to the member of least
+    g, too. So that member is paired with all, and the others only where they share delta tokens, enough of them.
+    Near copies of one text share most tokens and few of their deltas.
+    """
+    plain = shared.select("node", F.transform("tokens", lambda t: t["token"]).alias("tokens"))
+    known = members.join(plain, "node")
+    size = members.groupBy("head").agg(F.count("*").alias("m"))
+    counts = known.select("head", F.explode("tokens").alias("token")).groupBy("head", "token").agg(F.count("*").alias("c"))
+    usual = counts.join(size, "head").where("2 * c > m").groupBy("head").agg(F.collect_list("token").alias("usual"))
+    usual = size.select("head").join(usual, "head", "left").withColumn("usual", F.coalesce("usual", F.expr("cast(array() as array<bigint>)")))
+    whole, p = 100 + s.percent, s.percent
+    delta = known.join(usual, "head").withColumns({"lacks": F.array_except("usual", "tokens"), "adds": F.array_except("tokens", "usual"), "u": F.size("usual")})
+    delta = C.materialise(delta.select("head", "node", "n", "component", "u", F.size("lacks").alias("d"), F.concat("lacks", "adds").alias("delta")), "deltas")
+    least = delta.groupBy("head").agg(F.min(F.struct((F.col("d") * whole + F.col("n") * p).alias("g"), "node", "component")).alias("y")).select("head", F.col("y.node").alias("y"), F.col("y.component").alias("own"))
+    central = delta.select("head", F.col("node").alias("x"), "component").join(least, "head").where("component <> own").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    rows = delta.select("head", "node", "n", "component", "u", "d", F.size("delta").alias("k"), F.explode("delta").alias("token"))
+    u, v = rows.alias("u"), rows.alias("v")
+    need = (F.col("u.n") + F.col("v.n")) * p - (F.col("u.u") - F.col("u.d") - F.col("v.d")) * whole  # of s, times `whole`
+    fits = _fits(F.col("u.n"), F.col("v.n"), p) & (need <= F.least("u.k", "v.k") * whole)
+    both = u.join(v, (F.col("u.head") == F.col("v.head")) & (F.col("u.token") == F.col("v.token")) & (F.col("u.component") < F.col("v.component")) & fits)
+    both = both.groupBy(F.col("u.head").alias("head"), F.col("u.node").alias("a"), F.col("v.node").alias("b"), need.alias("need")).agg(F.count("*").alias("s")).where(F.col("s") * whole >= F.col("need"))
+    return central.unionAll(both.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))).distinct()
+
+
 def links(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """(documents, node components): doc_id, n, node of every document; node, component of linked nodes."""
-    digest = C.materialise(digests(docs, s), "digests")
+    prefixes = C.materialise(digests(docs, s), "digests")
+    digest = C.materialise(prefixes.select("doc_id", "n", "h1", "h2"), "sizes")
     classes = digest.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     classes = C.materialise(classes, "classes")
     # Copies share all tokens, but only with themselves: of each class its node alone is joined.
     spare = digest.join(classes.where("copies > 1"), ["n", "h1", "h2"]).where("doc_id <> node").select(F.col("doc_id").alias("node")).distinct()
-    stay = C.materialise(promising(digest, s).join(spare, "node", "left_anti"), "stay")
+    stay = C.materialise(promising(prefixes, s).join(spare, "node", "left_anti"), "stay")
+    C.discard(prefixes)
     sets = C.materialise(sets_for(docs, stay, s), "sets")
     shared = C.materialise(shared_tokens(sets, s), "shared")
+    C.discard(sets)
     index = C.materialise(buckets(shared, s), "buckets")
 
     rare = index.where(~F.col("many")).select("a", "node", "n")
@@ -248,14 +282,10 @@ def links(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     labels = components(first)
 
     # What frequent buckets still hold in different components.
-    placed = often.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = often.join(heads, ["a", "b"]).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("a", "b").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("a", "b")
-    open_ = C.materialise(placed.join(split, ["a", "b"]).select("a", "b", "node", "n", "component", "own"), "open")
-    u, v = open_.alias("u"), open_.alias("v")
-    room = F.least(F.col("u.n") - F.col("u.own"), F.col("v.n") - F.col("v.own")) * (100 + s.percent) >= (F.col("u.n") + F.col("v.n")) * s.percent
-    rest = u.join(v, (F.col("u.a") == F.col("v.a")) & (F.col("u.b") == F.col("v.b")) & (F.col("u.component") < F.col("v.component")) & room & _fits(F.col("u.n"), F.col("v.n"), s.percent))
-    rest = rest.select(F.least("u.node", "v.node").alias("x"), F.greatest("u.node", "v.node").alias("y")).distinct()
-    second = C.materialise(verified(rest, shared, s), "links")
+    members = placed.join(split, ["a", "b"]).select(F.col("head.node").alias("head"), "node", "n", "component").distinct()
+    second = C.materialise(verified(delta_pairs(C.materialise(members, "members"), shared, s), shared, s), "links")
     if second.limit(1).count():
         labels = components(first.unionAll(second))
     nodes = digest.select("doc_id", "n", "h1", "h2").join(classes.select("n", "h1", "h2", "node"), ["n", "h1", "h2"], "left")
