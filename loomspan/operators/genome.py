@@ -67,7 +67,7 @@ def prune(df: DataFrame, chroms: DataFrame, remove_one_bp: bool = False) -> Data
 def sort_rank(df: DataFrame, by_strand: bool = False) -> DataFrame:
     """Column `place` in the order of chr, then the smaller end, then id; with by_strand, reverse rows come last."""
     first = [F.when(is_reverse(), 1).otherwise(0)] if by_strand else []
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*first, "chr", F.least("start", "end"), "id")))
+    return df.withColumn("place", F.row_number().over(Window.orderBy(*first, "chr", F.least("start", "end"), "id")).cast("long"))
 
 
 def ordered(df: DataFrame) -> DataFrame:

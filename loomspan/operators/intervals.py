@@ -59,13 +59,13 @@ def annotate(query: DataFrame, target: DataFrame, keys: tuple[str, ...] = KEYS,
     pairs = overlap_join(query.select(*keys, "id", "start", "end"), target.select(*keys, "id", "start", "end"), keys, **bins)
     pairs = pairs.select(F.col("t_id").alias("target"), F.col("q_id").alias("query"), "intersect", "union", "qlen", "tlen", position_class().alias("qpos"))
     by = Window.partitionBy("target").orderBy((F.col("intersect") / F.col("union")).desc())
-    out = pairs.withColumn("qrank", F.rank().over(by))
+    out = pairs.withColumn("qrank", F.rank().over(by).cast("long"))
     if untie:
         firsts = F.count(F.when(F.col("qrank") == 1, 1)).over(Window.partitionBy("target"))
         order = F.row_number().over(Window.partitionBy("target").orderBy((F.col("intersect") / F.col("union")).desc(), "query"))
-        out = out.withColumn("qrank", F.when(firsts > 1, order).otherwise(F.col("qrank")))
+        out = out.withColumn("qrank", F.when(firsts > 1, order).otherwise(F.col("qrank")).cast("long"))
     if add_na:
-        out = target.select(F.col("id").alias("target")).join(out, "target", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("intersect", "union", "qlen", "tlen")}).withColumn("qrank", F.coalesce("qrank", F.lit(1)))
+        out = target.select(F.col("id").alias("target")).join(out, "target", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("intersect", "union", "qlen", "tlen")}).withColumn("qrank", F.coalesce("qrank", F.lit(1)).cast("long"))
     return out.select("target", "query", "intersect", "union", "qlen", "tlen", "qrank", "qpos")
 
 
@@ -160,7 +160,7 @@ def laid_out(segments: DataFrame, seed: int) -> DataFrame:
     base = segments.select("chr", "strand", "rep", "start", "end", "class").withColumn("n", F.row_number().over(own))
     base = base.withColumn("gap", F.col("start") - F.coalesce(F.lag("end").over(own), F.lit(0)) - 1)
     key = lambda what: F.md5(F.concat_ws(":", F.lit(seed), F.col("rep"), F.lit(what), F.col("chr"), F.col("strand"), F.col("n")))
-    place = lambda what: F.row_number().over(Window.partitionBy("chr", "strand", "rep").orderBy(key(what), "n"))
+    place = lambda what: F.row_number().over(Window.partitionBy("chr", "strand", "rep").orderBy(key(what), "n")).cast("long")
     lengths = base.select("chr", "strand", "rep", place("length").alias("k"), (F.col("end") - F.col("start") + 1).alias("length"), "class")
     laid = lengths.join(base.select("chr", "strand", "rep", place("gap").alias("k"), "gap"), ["chr", "strand", "rep", "k"])
     w = Window.partitionBy("chr", "strand", "rep").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
@@ -203,7 +203,7 @@ def align(sites: DataFrame, data: DataFrame, dst: int, value: str = "v", chroms:
 
     Positions without data, or beyond the chromosome, are null.
     """
-    rel = sites.withColumn("rel", F.explode(F.sequence(F.lit(-dst), F.lit(dst))))
+    rel = sites.withColumn("rel", F.explode(F.sequence(F.lit(-dst).cast("long"), F.lit(dst).cast("long"))))
     at = F.col("coor") + F.when(is_reverse(), -F.col("rel")).otherwise(F.col("rel"))
     points = data.select("chr", F.col("coor").alias("pos"), F.col(value).alias("value"))
     return rel.select("id", "chr", "rel", at.alias("pos")).join(points, ["chr", "pos"], "left").select("id", "rel", "value")

@@ -219,7 +219,7 @@ def sorted_overlaps(cells: DataFrame, p_min: float = 0.01, cut: bool = False) ->
     if cut:
         rows = rows.where("first is not null")
     order = [F.when(F.col("first").isNull(), 1).otherwise(0), F.col("first.column"), F.col("first.p"), "most", "query"]
-    return rows.select("query", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    return rows.select("query", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
 
 
 def transposed(cells: DataFrame) -> DataFrame:
