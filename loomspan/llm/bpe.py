@@ -245,6 +245,7 @@ def encode_parts(coder, texts: list[str]) -> list[bytes]:
 
 
 _CODERS: dict[tuple, object] = {}
+C.WORKER_CACHES.append(_CODERS)
 
 
 def coder(kind: Callable, *key: str):
@@ -302,7 +303,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 rows = [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4"))).hexdigest()) for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *map(pa.array, zip(*rows))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(C.trimmed(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(C.trimmed(run, keep=True), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -65,21 +66,32 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def trimmed(run):
-    """A batch function that gives the memory it has freed back to the system when its task ends."""
+#: What a worker process keeps between tasks, such as vocabularies; operators that don't use it drop it.
+WORKER_CACHES: list[dict] = []
 
-    def trim() -> None:
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+
+def give_back() -> None:
+    """Hand freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run, keep: bool = False):
+    """A batch function that hands memory back when its task ends; without `keep` the worker's caches go as it starts."""
 
     def wrapped(batches):
+        if not keep and any(WORKER_CACHES):
+            for cache in WORKER_CACHES:
+                cache.clear()
+            give_back()
         try:
             yield from run(batches)
         finally:
-            trim()
+            give_back()
 
     return wrapped
 
@@ -120,6 +132,8 @@ def bitmap_of(keys: DataFrame, limit: int = BITMAP_LIMIT) -> tuple[int, np.ndarr
     rows = rows.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
     words = np.zeros(bits // 64, np.int64)
     words[rows["word"].to_numpy(np.int64)] = rows["bit"].to_numpy(np.int64)
+    del rows
+    give_back()
     return bits, words
 
 

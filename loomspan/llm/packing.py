@@ -210,7 +210,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end: int
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * ids, names + ["ids"] * ids)
         coder.memory.clear()  # whole parts; their words stay remembered
 
-    return docs.select("doc_id", "text").mapInArrow(C.trimmed(run), f"doc_id {kind}, piece long, start long, length long, ids_crc32 long, task int, rank long" + ", ids binary" * ids)
+    return docs.select("doc_id", "text").mapInArrow(C.trimmed(run, keep=True), f"doc_id {kind}, piece long, start long, length long, ids_crc32 long, task int, rank long" + ", ids binary" * ids)
 
 
 def place(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -139,7 +139,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, settings: Settings = Set
     examples = sorted(((c, int(y)) for y, c in zip(rows["label"], rows["cols"])), key=lambda e: (e[1], bytes(e[0])))
     if len({y for _, y in examples}) < 2:
         return _constant(prior, s.bits)
-    return calibrated([(np.frombuffer(c, np.int32), y) for c, y in examples], prior, s)
+    del rows
+    model = calibrated([(np.frombuffer(c, np.int32), y) for c, y in examples], prior, s)
+    del examples
+    C.give_back()
+    return model
 
 
 def score_batches(model: Model, name: str = "score", drop: str | None = "text"):
