@@ -654,9 +654,17 @@ def _(spark, d):
 DNA = "(SELECT doc_id AS id, substr(upper(regexp_replace(text, '[^acgtACGT]', '', 'g')), 1, 400) AS seq FROM documents)"
 
 
-def dna(spark: SparkSession, d: str) -> DataFrame:
+#: DNA is the first 400 letters: the queries on it are SQL checks beside those of the same name and _whole.
+WHOLE_DNA = "(SELECT doc_id AS id, upper(regexp_replace(text, '[^acgtACGT]', '', 'g')) AS seq FROM documents)"
+
+
+def whole_dna(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select(F.col("doc_id").alias("id"), F.substring(F.upper(F.regexp_replace("text", "[^acgtACGT]", "")), 1, 400).alias("seq"))
+    return docs.select(F.col("doc_id").alias("id"), F.upper(F.regexp_replace("text", "[^acgtACGT]", "")).alias("seq"))
+
+
+def dna(spark: SparkSession, d: str) -> DataFrame:
+    return whole_dna(spark, d).withColumn("seq", F.substring("seq", 1, 400))
 
 
 @register("revcomp", f"SELECT id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM {DNA} AS s")
@@ -691,6 +699,32 @@ def _(spark, d):
     return s.select("id", sequence.mutate(F.col("seq"), F.array(F.concat(F.substring("seq", 1, 1), F.lit("1T")))).alias("mutated"))
 
 
+@register("revcomp_whole", ORACLE["revcomp"].replace(DNA, WHOLE_DNA))
+def _(spark, d):
+    return whole_dna(spark, d).select("id", sequence.revcomp(F.col("seq")).alias("rc"))
+
+
+@register("letter_frequency_whole", ORACLE["letter_frequency"].replace(DNA, WHOLE_DNA))
+def _(spark, d):
+    return rounded(sequence.letter_frequency(whole_dna(spark, d)), "frequency")
+
+
+@register("window_composition_whole", ORACLE["window_composition"].replace(DNA, WHOLE_DNA))
+def _(spark, d):
+    return rounded(sequence.window_composition(whole_dna(spark, d), 50, 25), "frequency")
+
+
+@register("skew_whole", ORACLE["skew"].replace(DNA, WHOLE_DNA))
+def _(spark, d):
+    return rounded(sequence.skew(whole_dna(spark, d), "G", "C", 50, 25), "skew", "cumulative")
+
+
+@register("mutate_whole", ORACLE["mutate"].replace(DNA, WHOLE_DNA))
+def _(spark, d):
+    s = whole_dna(spark, d).where("length(seq) > 3")
+    return s.select("id", sequence.mutate(F.col("seq"), F.array(F.concat(F.substring("seq", 1, 1), F.lit("1T")))).alias("mutated"))
+
+
 @register("scalar_transforms", "SELECT c_custkey AS id, round(asinh(c_acctbal), 6) AS ash, round(ln(abs(c_acctbal) + 1), 6) AS log_1, round((sign(c_acctbal) * abs(c_acctbal) ** 0.5 - 1) / 0.5, 6) AS bc, CAST(greatest(1, least(10, floor((c_acctbal - 0) / 900.0) + 1)) AS INT) AS palette FROM customer")
 def _(spark, d):
     c, x = spark.read.parquet(f"{d}/customer.parquet"), F.col("c_acctbal")
