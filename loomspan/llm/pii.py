@@ -9,6 +9,12 @@ occurs only with e. With n(e, t) >= support, terms at `generalise` or more becom
 Such occurrences near e are spans of kind `term`. Counts are over all documents and whole texts, aggregated before they
 are shuffled; a value or term in a third of all rows stays one row of partial counts for each task.
 
+That is what `spans` and `sanitise` do, and their SQL. `disclosure_spans` and `sanitise_disclosure` judge over whole
+documents instead: t is with e wherever both stand in one document, and as most values stand in one or two documents there
+is no least count. The estimate is smoothed: with p = n(e) / (N + 1), p(e | t) = (n(e, t) + prior p) / (n(t) + prior), and
+the disclosure is ln(p(e | t) / p) / ln(1 / p). A value of one document is disclosed by terms of next to no other document;
+the more documents agree, the nearer to 1, so that terms go altogether only on the evidence of several.
+
 Null text counts as empty: no spans. Repeated rows count as documents each, and get equal spans. Values are compared in
 lower case (email), by digits (card, phone) or as they stand (ip). An empty table gives an empty result; columns
 other than doc_id and text are kept by `sanitise` and ignored by `spans`. Patterns have no nested backtracking, so texts
@@ -19,7 +25,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm import common as C
@@ -46,6 +52,16 @@ class Settings:
     remove: float = 0.99
 
 
+@dataclass(frozen=True)
+class Whole:
+    """Settings of the judgement over whole documents; prior: documents with the term that are assumed besides those seen."""
+
+    min_letters: int = 4
+    prior: float = 0.5
+    generalise: float = 0.9
+    remove: float = 0.99
+
+
 def digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -162,6 +178,55 @@ def added_spans(found: DataFrame, risky: DataFrame) -> DataFrame:
     return hit.groupBy("__uid").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "remove"))).alias("__more"))
 
 
+def _words(text: Column, s: Whole) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(\p{L}{%d,}+)" % s.min_letters)), lambda w: F.lower(w)))
+
+
+def detect_whole(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Materialised: uid, the columns `keep`, spans, and the text of rows with spans."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = docs.select(*keep, text.alias("__text")).withColumn("__spans", base_spans(F.col("__text")))
+    return C.materialise(found.select(F.monotonically_increasing_id().alias("__uid"), *keep, "__spans", F.when(F.size("__spans") > 0, F.col("__text")).alias("__text")), "pii")
+
+
+def disclosing_whole(docs: DataFrame, found: DataFrame, s: Whole) -> DataFrame:
+    """(uid, term, remove): the terms to go in each row with spans.
+
+    Values of the same documents are judged alike, so each such group is counted once (h1, h2: its hash). A term in more
+    documents than `most` cannot reach the threshold whatever n(e, t) is; only the others meet the values.
+    """
+    held = found.where(F.size("__spans") > 0)
+    total = F.broadcast(found.agg(F.count("*").alias("total")))  # one row
+    values = held.select("__uid", F.explode(F.array_distinct(F.transform("__spans", value))).alias("value"))
+    groups = values.groupBy("value").agg(F.count("*").alias("ne"), F.bit_xor(F.xxhash64("__uid")).alias("h1"), F.bit_xor(F.xxhash64("__uid", F.lit(1))).alias("h2"))
+    p = F.col("ne") / (F.col("total") + 1)
+    most = (F.col("ne") + s.prior * p) * F.pow(p, F.lit(s.generalise - 1)) * (1 + 1e-9) - s.prior
+    groups = groups.crossJoin(total).withColumns({"p": p, "most": most})
+    of = values.join(groups, "value").select("__uid", "h1", "h2", "ne", "p", "most").distinct()
+    terms = docs.select(F.explode(_words(F.coalesce(F.col("text"), F.lit("")), s)).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
+    rare = terms.crossJoin(F.broadcast(groups.agg(F.max("most").alias("limit")))).where(F.col("nt") <= F.col("limit")).drop("limit")  # one row
+    words = held.select("__uid", F.explode(_words(F.col("__text"), s)).alias("term")).join(rare, "term")
+    pairs = C.materialise(words.join(of, "__uid").where(F.col("nt") <= F.col("most")), "pairs")
+    counted = pairs.groupBy("h1", "h2", "ne", "p", "term", "nt").agg(F.count("*").alias("net"))
+    disclosure = F.log((F.col("net") + s.prior * F.col("p")) / (F.col("nt") + s.prior) / F.col("p")) / -F.log("p")
+    risky = counted.withColumn("disclosure", disclosure).where(F.col("disclosure") >= s.generalise).select("h1", "h2", "ne", "term", (F.col("disclosure") >= s.remove).alias("remove"))
+    return pairs.join(risky, ["h1", "h2", "ne", "term"]).groupBy("__uid", "term").agg(F.max("remove").alias("remove"))
+
+
+def added_whole(found: DataFrame, gone: DataFrame, s: Whole) -> DataFrame:
+    """added_spans of all occurrences outside base spans."""
+    word = r"\p{L}{%d,}+" % s.min_letters
+    text = F.col("__text")
+    between, matches = F.split(text, word, -1), F.regexp_extract_all(text, F.lit(word), F.lit(0))
+    parts = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda b, m: F.struct(F.length(b).alias("skip"), F.length(m).alias("size"), F.lower(m).alias("term")))
+    rows = found.join(gone.select("__uid").distinct(), "__uid", "left_semi").select("__uid", F.posexplode(parts).alias("at", "w"))
+    so_far = F.sum(F.col("w.skip") + F.col("w.size")).over(Window.partitionBy("__uid").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    rows = rows.select("__uid", "w.term", "w.size", so_far.alias("end")).select("__uid", "term", (F.col("end") - F.col("size")).alias("start"), "end")
+    hit = rows.join(gone, ["__uid", "term"]).join(found.select("__uid", "__spans"), "__uid")
+    hit = hit.where(~F.exists("__spans", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))))
+    return hit.groupBy("__uid").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "remove"))).alias("__more"))
+
+
 def written(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
@@ -179,7 +244,16 @@ def _plain(spans: Column) -> Column:
 def spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, one row for each row of docs."""
     found = detect(docs, settings, ["doc_id"])
-    more = added_spans(found, disclosing(docs, found, settings))
+    return _listed(found, added_spans(found, disclosing(docs, found, settings)))
+
+
+def disclosure_spans(docs: DataFrame, settings: Whole = Whole()) -> DataFrame:
+    """spans, with terms judged over whole documents."""
+    found = detect_whole(docs, ["doc_id"])
+    return _listed(found, added_whole(found, disclosing_whole(docs, found, settings), settings))
+
+
+def _listed(found: DataFrame, more: DataFrame) -> DataFrame:
     rows = found.select("__uid", "doc_id", "__spans").join(more, "__uid", "left")
     count = [_count_of(k).alias(f"n_{kind}") for k, kind in enumerate(PATTERNS)]
     every = F.array_sort(F.concat(_plain(F.col("__spans")), F.coalesce(_plain(F.col("__more")), _none("struct<start:int,kind:int,end:int>"))))
@@ -191,9 +265,17 @@ def sanitise(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     Where spans overlap the first one's mark stands for all. Rows without spans keep their text as it is (null too).
     """
-    names = docs.columns
-    found = detect(docs, settings, names)
-    more = added_spans(found, disclosing(docs, found, settings))
+    found = detect(docs, settings, docs.columns)
+    return _cleaned(found, added_spans(found, disclosing(docs, found, settings)), docs.columns)
+
+
+def sanitise_disclosure(docs: DataFrame, settings: Whole = Whole()) -> DataFrame:
+    """sanitise, with terms judged over whole documents."""
+    found = detect_whole(docs, docs.columns)
+    return _cleaned(found, added_whole(found, disclosing_whole(docs, found, settings), settings), docs.columns)
+
+
+def _cleaned(found: DataFrame, more: DataFrame, names: list[str]) -> DataFrame:
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     base = F.transform("__spans", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(False).alias("remove")))
     every = F.array_sort(F.concat(base, F.coalesce(F.col("__more"), _none("struct<start:int,kind:int,end:int,remove:boolean>"))))
@@ -210,3 +292,7 @@ def sanitise(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 def op5_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans(C.table(spark, sf_dir, "documents"))
+
+
+def op5_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure_spans(C.table(spark, sf_dir, "documents"))
