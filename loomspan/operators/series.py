@@ -159,6 +159,39 @@ def recluster_step(df: DataFrame, cluster: str = "label", vector: str = "embeddi
     return joined.groupBy(id_).agg(F.min(F.struct(F.round(d, 9).alias("d"), "centre")).alias("best")).select(id_, F.col("best.centre").alias("cluster"))
 
 
+def recluster(df: DataFrame, cluster: str = "label", vector: str = "embedding", id_: str = "vec_id") -> DataFrame:
+    """(id, cluster): k-means from the clusters' own centres until no row moves. A centre that loses its last row stays where it is.
+
+    Each round is one job over df with the centres of two rounds; they are all that is gathered, clusters x dimensions.
+    """
+    rows = df.select(id_, F.col(cluster).alias("__own"), F.col(vector).alias("__v"))
+    kind = df.schema[cluster].dataType.simpleString()
+
+    def nearest(centres: dict, name: str, to: DataFrame) -> DataFrame:
+        table = df.sparkSession.createDataFrame([(list(centres.items()),)], f"__c array<struct<centre:{kind},c:array<double>>>")  # one row
+        far = lambda x: F.aggregate(F.zip_with("__v", x["c"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y)
+        best = F.array_min(F.transform("__c", lambda x: F.struct(F.round(far(x), 9).alias("d"), x["centre"].alias("centre"))))
+        return to.crossJoin(F.broadcast(table)).withColumn(name, F.when(F.col("__v").isNotNull(), best["centre"])).drop("__c")
+
+    def centres_of(labelled: DataFrame, label: str, moved: Column) -> tuple[dict, int]:
+        long = labelled.where(F.col(label).isNotNull()).select(F.col(label).alias("l"), moved.cast("long").alias("m"), F.posexplode("__v").alias("dim", "v"))
+        found, n = {}, 0
+        for r in long.groupBy("l", "dim").agg(F.avg("v").alias("v"), F.sum("m").alias("m")).orderBy("l", "dim").collect():
+            found.setdefault(r.l, []).append(float(r.v))
+            n += r.m if r.dim == 0 else 0
+        return found, n
+
+    centres, _ = centres_of(rows, "__own", F.lit(False))
+    before = rows.withColumn("__before", F.col("__own"))
+    while True:
+        now = nearest(centres, "__now", before)
+        found, moved = centres_of(now, "__now", ~F.col("__now").eqNullSafe(F.col("__before")))
+        if not moved:
+            return now.select(id_, F.col("__now").alias("cluster"))
+        before = nearest(centres, "__before", rows)
+        centres = centres | found
+
+
 def centre_correlation(df: DataFrame, cluster: str = "label", vector: str = "embedding", id_: str = "vec_id") -> DataFrame:
     """Pearson correlation of each row with each centre."""
     centres = class_means(df, cluster, vector).withColumnRenamed(cluster, "centre")

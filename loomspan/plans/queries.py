@@ -609,6 +609,11 @@ def _(spark, d):
     return series.recluster_step(spark.read.parquet(f"{d}/embeddings.parquet"))
 
 
+@register("recluster")
+def _(spark, d):
+    return series.recluster(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
 @register("centre_correlation", "WITH e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS k FROM embeddings), c AS (SELECT label, k, avg(v) AS v FROM e GROUP BY 1, 2) SELECT e.vec_id, c.label AS centre, round(corr(e.v, c.v), 5) AS r FROM e JOIN c USING (k) GROUP BY 1, 2")
 def _(spark, d):
     return rounded(series.centre_correlation(spark.read.parquet(f"{d}/embeddings.parquet")), "r", digits=5)

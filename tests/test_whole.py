@@ -2,8 +2,8 @@
 
 import re
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from loomspan.plans.queries import QUERIES
 
@@ -29,3 +29,19 @@ def test_sequences_are_whole(spark):
     assert set(windows) == {(i, k, x) for i, k in starts for x in "ACGT"}
     assert all(f == pytest.approx(want[i][k - 1 : k + 50].count(x) / 51, abs=1e-6) for (i, k, x), f in windows.items())
     assert {(r.id, r.start) for r in QUERIES["skew_whole"](spark, DATA).collect()} == starts
+
+
+def test_reclustering_settles(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "label", "embedding").collect()
+    x, own = np.array([r.embedding for r in rows], float), np.array([r.label for r in rows])
+    names = sorted(set(own))
+    centres, rounds = np.stack([x[own == k].mean(0) for k in names]), 0
+    while True:
+        new = np.array(names)[np.round(((x[:, None] - centres) ** 2).sum(2), 9).argmin(1)]
+        if (new == own).all():
+            break
+        own, rounds = new, rounds + 1
+        centres = np.stack([x[own == k].mean(0) if (own == k).any() else centres[i] for i, k in enumerate(names)])
+    got = {r.vec_id: r.cluster for r in QUERIES["recluster"](spark, DATA).collect()}
+    assert rounds > 1 and got == {r.vec_id: k for r, k in zip(rows, own)}
+    assert got != {r.vec_id: r.cluster for r in QUERIES["recluster_step"](spark, DATA).collect()}
