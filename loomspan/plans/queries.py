@@ -194,6 +194,12 @@ def _(spark, d):
     return rounded(intervals.permutation_p(s, s, 5), "p_value").select("query", "target", "p_value")
 
 
+@register("permutation_p_100")
+def _(spark, d):
+    s = seg(spark, d)
+    return rounded(intervals.permutation_p(s, s, 100), "p_value").select("query", "target", "p_value")
+
+
 @register("position_runs", """, p AS (SELECT DISTINCT chr, coor FROM fx_signal), m AS (SELECT chr, coor, CASE WHEN coor - lag(coor) OVER (PARTITION BY chr ORDER BY coor) <= 1 THEN 0 ELSE 1 END AS new FROM p),
 r AS (SELECT chr, coor, sum(new) OVER (PARTITION BY chr ORDER BY coor ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM m)
 SELECT chr, min(coor) AS start, max(coor) AS "end", count(*) AS n FROM r GROUP BY chr, run""", "fx_signal")
@@ -589,7 +595,7 @@ def _(spark, d):
 
 @register("dft_permutation_p")
 def _(spark, d):
-    return series.dft_permutation_p(fixture(spark, d, "fx_ts"), 50)
+    return series.dft_permutation_p(fixture(spark, d, "fx_ts"))
 
 
 @register("trend_class")

@@ -2,10 +2,11 @@
 
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
-from loomspan.plans.queries import QUERIES
+from loomspan.plans.queries import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
@@ -45,3 +46,17 @@ def test_reclustering_settles(spark):
     got = {r.vec_id: r.cluster for r in QUERIES["recluster"](spark, DATA).collect()}
     assert rounds > 1 and got == {r.vec_id: k for r, k in zip(rows, own)}
     assert got != {r.vec_id: r.cluster for r in QUERIES["recluster_step"](spark, DATA).collect()}
+
+
+def test_hundred_permutations(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{DATA}/events.parquet'")
+    want = con.execute(ORACLE["permutation_p"].replace("range(1, 6)", "range(1, 101)")).fetchall()
+    got = {(r["query"], r["target"]): r.p_value for r in QUERIES["permutation_p_100"](spark, DATA).collect()}
+    assert got == {(q, t): pytest.approx(float(p), abs=1e-6) for q, t, p in want}
+    assert any(round(p * 5, 6) % 1 for p in got.values())
+
+
+def test_dft_permutations_are_the_default(spark):
+    p = [r.p_value * 100 for r in QUERIES["dft_permutation_p"](spark, DATA).collect()]
+    assert all(abs(x - round(x)) < 1e-6 for x in p) and any(round(x) % 2 for x in p)
