@@ -168,10 +168,19 @@ def recluster(df: DataFrame, cluster: str = "label", vector: str = "embedding",
     kind = df.schema[cluster].dataType.simpleString()
 
     def nearest(centres: dict, name: str, to: DataFrame) -> DataFrame:
-        table = df.sparkSession.createDataFrame([(list(centres.items()),)], f"__c array<struct<centre:{kind},c:array<double>>>")  # one row
-        far = lambda x: F.aggregate(F.zip_with("__v", x["c"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y)
-        best = F.array_min(F.transform("__c", lambda x: F.struct(F.round(far(x), 9).alias("d"), x["centre"].alias("centre"))))
-        return to.crossJoin(F.broadcast(table)).withColumn(name, F.when(F.col("__v").isNotNull(), best["centre"])).drop("__c")
+        labels = sorted(centres)
+        table = np.array([centres[k] for k in labels])
+
+        def best(v: pd.Series) -> pd.Series:
+            out, there = pd.Series([None] * len(v), dtype=object), v.notna().to_numpy()
+            if there.any() and labels:
+                x = np.stack(v[there].to_numpy()).astype(float)
+                d = np.stack([np.round(((x - c) ** 2).sum(1), 9) for c in table], 1)
+                out[there] = [labels[i] for i in d.argmin(1)]
+            return out
+
+        best.__annotations__ = {"v": pd.Series, "return": pd.Series}
+        return to.withColumn(name, F.pandas_udf(best, kind)("__v"))
 
     def centres_of(labelled: DataFrame, label: str, moved: Column) -> tuple[dict, int]:
         long = labelled.where(F.col(label).isNotNull()).select(F.col(label).alias("l"), moved.cast("long").alias("m"), F.posexplode("__v").alias("dim", "v"))
