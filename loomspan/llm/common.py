@@ -37,22 +37,60 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str = "t") -> DataFrame:
+#: Folders of the tables that this process wrote, oldest first.
+_WRITTEN: list[str] = []
+
+
+def materialise(df: DataFrame, name: str = "t", **options: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomspan/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN[:] = [p for p in _WRITTEN if p.rsplit("/", 1)[1] != path.rstrip("/").rsplit("/", 1)[1]]
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing will read again."""
     for df in tables:
-        spark = df.sparkSession
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/loomspan/" in path:
-                where = spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+                _delete(df.sparkSession, path)
+
+
+def mark() -> int:
+    """Where `tidy` is to begin."""
+    return len(_WRITTEN)
+
+
+def tidy(since: int, *used: DataFrame) -> None:
+    """Delete the tables written since a mark, but those that `used` read. What a lazy result reads stays until its caller is done."""
+    kept = {f.rsplit("/", 2)[-2] for df in used for f in df.inputFiles()}
+    for path in _WRITTEN[since:]:
+        if path.rsplit("/", 1)[1] not in kept:
+            _delete(used[0].sparkSession, path)
+
+
+#: Keys that have this share of the rows or more are joined by broadcast, so there are at most so many of them.
+HOT = 512
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """left join right on keys (inner or left), right being a materialised table with one row for each key.
+
+    n says how many rows of left a key has. Keys with 1 / HOT or more of these rows, at most HOT by that, are broadcast, and
+    their rows stay where they are; the others are shuffled, none having more than that share. The same holds at every size.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = right.where(F.col(n) * HOT >= total)
+    plain = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(n) * HOT < total), keys, how)
+    return plain.unionByName(left.join(F.broadcast(hot), keys).select(*plain.columns))
 
 
 #: Rows of an Arrow batch of whole texts; Spark's default of 10,000 would be 35 MB of text on both sides of each worker.
@@ -113,20 +151,18 @@ def spread(df: DataFrame, column: str = "text") -> DataFrame:
 
 # ---------------------------------------------------------------- bitmaps
 
-#: Bits of the largest bitmap that is broadcast (16 MB); beyond it tables are joined without one.
+#: Bits of the largest bitmap (16 MB). Beyond 2**23 keys it fills up and lets more rows through to the exact step behind it.
 BITMAP_LIMIT = 1 << 27
 
 
-def bitmap_of(keys: DataFrame, limit: int = BITMAP_LIMIT) -> tuple[int, np.ndarray] | None:
-    """(bits, words): a bitmap with the hashes of the long column `key`, 16 bits or more for each; None beyond the limit.
+def bitmap_of(keys: DataFrame, limit: int = BITMAP_LIMIT) -> tuple[int, np.ndarray]:
+    """(bits, words): a bitmap with the hashes of the long column `key`, 16 bits or more for each as far as the limit goes.
 
     The executors OR the words, so at most limit / 64 rows reach the driver. All of the column is in the bitmap; one in
-    16 others may be as well, so it only saves work ahead of an exact step.
+    16 others may be as well, or more beyond the limit, so it only saves work ahead of an exact step.
     """
     n = keys.count()
-    bits = 1 << max(10, (16 * n - 1).bit_length() if n else 0)
-    if bits > limit:
-        return None
+    bits = min(limit, 1 << max(10, (16 * n - 1).bit_length() if n else 0))
     slot = F.pmod(F.xxhash64("key"), F.lit(bits))
     rows = keys.select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
     rows = rows.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
@@ -145,10 +181,8 @@ def ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def likely(df: DataFrame, key, bitmap: tuple[int, np.ndarray] | None, wanted: bool = True) -> DataFrame:
-    """Rows of df whose long `key` may be in the bitmap (all rows without one); with wanted=False the rows that are surely not."""
-    if bitmap is None:
-        return df if wanted else df.limit(0)
+def likely(df: DataFrame, key, bitmap: tuple[int, np.ndarray], wanted: bool = True) -> DataFrame:
+    """Rows of df whose long `key` may be in the bitmap; with wanted=False the rows that are surely not."""
     bits, words = bitmap
     shared = df.sparkSession.sparkContext.broadcast(words)
     names = df.columns

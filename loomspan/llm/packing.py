@@ -2,10 +2,12 @@
 
 Best fit looks only at lengths, so the plan is made for the histogram of lengths (at most `limit` entries, whatever the
 corpus): lengths go down, and a segment tree over the remaining capacities finds the tightest class of open bins in
-logarithmic time. Bins of one class take pieces of one length in a run, so the plan is a short list of runs: "pieces
-number r .. r+n-1 of this length go to bins b .. b+n-1 at this offset". It is exactly what best-fit decreasing does
-piece by piece. Executors then number the pieces of each length (a count per task and length, summed over tasks) and
-look their bin up in the plan. Its size is bounded by the limit and not by the corpus, so it is broadcast.
+logarithmic time. A bin that has taken a piece is the tightest for the next one of that length while it has room, so best
+fit fills one bin of the class after the other, each with floor(room / length) pieces. Bins of a class are alike, so that
+is a short list of runs: "pieces number r .. r+n-1 of this length go to bins b .. b+n-1 at this offset". Bins and their
+remaining capacities are those of best-fit decreasing piece by piece. Executors then number the pieces of each length (a
+count per task and length, summed over tasks) and look their bin up in the plan. Its size is bounded by the limit and not
+by the corpus, so it is broadcast.
 
 Documents longer than the limit are cut into full pieces; only the last may be shorter. Null text counts as empty
 and packs as the single end id. Repeated rows, equal ids and null ids are packed row by row. An empty table gives an
@@ -61,49 +63,44 @@ class CapacityTree:
 def plan(histogram: dict[int, int], limit: int = LIMIT) -> np.ndarray:
     """Runs (length, first rank, count, first bin, offset) of best-fit decreasing for so many pieces of each length."""
     tree, runs, bins = CapacityTree(limit), [], 0
-    open_: dict[int, deque[list[int]]] = {}  # remaining capacity: ranges of bins [first, count]
+    open_: dict[int, deque[tuple[int, int]]] = {}  # remaining capacity: ranges of bins (first, count)
     for length in sorted(histogram, reverse=True):
         rank, left = 0, histogram[length]
         while left:
             room = tree.tightest(length)
             if room is None:
-                # New bins: as many as the pieces of this length fill, each with as many as fit (best fit puts the
-                # next piece of this length into the bin just opened, for no other bin has room).
-                fit = limit // length
-                full, rest = divmod(left, fit)
-                for n, times in ((full, fit), (1, rest)):
-                    if n and times:
-                        # piece k of a bin: ranks k, k + times, ... are interchangeable, so they are dealt as k blocks
-                        for k in range(times):
-                            runs.append((length, rank, n, bins, k * length))
-                            rank += n
-                        remaining = limit - times * length
-                        if remaining:
-                            open_.setdefault(remaining, deque()).append([bins, n])
-                            tree.add(remaining, n)
-                        bins += n
-                break
-            ranges = open_[room]
-            first, n = ranges[0]
-            take = min(n, left)
-            runs.append((length, rank, take, first, limit - room))
-            rank, left = rank + take, left - take
-            tree.add(room, -take)
-            if take == n:
-                ranges.popleft()
+                room, fit = limit, limit // length
+                first, n = bins, -(-left // fit)
+                bins += n
             else:
-                ranges[0] = [first + take, n - take]
-            if room > length:
-                open_.setdefault(room - length, deque()).append([first, take])
-                tree.add(room - length, take)
+                fit = room // length
+                first, n = open_[room].popleft()
+                tree.add(room, -n)
+            full = min(n, left // fit)
+            rest = left - full * fit if full < n else 0
+            for at, count, times in ((first, full, fit), (first + full, 1, rest)):
+                if not count or not times:
+                    continue
+                for k in range(times):  # pieces of one length are alike, so they are dealt as blocks, one for each place
+                    runs.append((length, rank, count, at, limit - room + k * length))
+                    rank += count
+                if after := room - times * length:
+                    open_.setdefault(after, deque()).append((at, count))
+                    tree.add(after, count)
+            left -= full * fit + rest
+            used = full + (rest > 0)
+            if used < n:
+                open_.setdefault(room, deque()).appendleft((first + used, n - used))
+                tree.add(room, n - used)
     return np.array(runs, np.int64).reshape(-1, 5)
 
 
 class WordBPE:
     """Ids of a tokenizers file of the lower-casing word-end BPE kind; its parts are remembered as in bpe.ByteBPE.
 
-    Parts of plain ASCII and Latin-1 letters merge on the matrices of bpe.encode_pieces; all others, and files of any
-    other kind, go through the tokenizers library itself.
+    Parts of plain ASCII and Latin-1 letters merge on the matrices of bpe.encode_pieces; other parts go through the
+    tokenizers library, and so do whole texts with a special token's string, which is found before anything else, and all
+    texts where the file is of another kind.
     """
 
     PLAIN = re.compile(r"[\n\x20-\x7eÀ-ÖØ-öø-ÿ]*").fullmatch
@@ -121,7 +118,9 @@ class WordBPE:
             spec = json.load(f)
         model, norm, pre = spec["model"], spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
         kinds = [x.get("type") for x in norm.get("normalizers", [])], [x.get("type") for x in pre.get("pretokenizers", [])]
-        self.matrices = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+        added = spec.get("added_tokens") or []
+        self.special = [t["content"] for t in added]
+        self.matrices = not any(t.get("normalized") for t in added) and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
         if self.matrices:
             vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
             left, right, new = (np.array([vocab[f(m)] for m in merges], np.int64) for f in (lambda m: m[0], lambda m: m[1], lambda m: m[0] + m[1]))
@@ -136,7 +135,6 @@ class WordBPE:
 
             C.os_environment()
             self.library = Tokenizer.from_file(self.path)
-            self.library.encode_special_tokens = True
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
 
     @staticmethod
@@ -152,9 +150,7 @@ class WordBPE:
             words.clear()
         easy, cut, hard = [], [], []
         for p in parts:
-            if not self.matrices:
-                hard.append(p)
-            elif p.isascii() and (p.isalpha() or (p[:-1].isalpha() and p[-1] in ".,;:!?")):
+            if p.isascii() and (p.isalpha() or (p[:-1].isalpha() and p[-1] in ".,;:!?")):
                 low = p.lower()
                 easy.append(p)
                 cut.append((low,) if low.isalpha() else (low[:-1], low[-1]))
@@ -177,7 +173,15 @@ class WordBPE:
             self.memory.update(zip(hard, self.by_library(hard)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return bpe.encode_parts(self, texts)
+        if not self.matrices:
+            return self.by_library(texts)
+        whole = [i for i, t in enumerate(texts) if any(x in t for x in self.special)]
+        if not whole:
+            return bpe.encode_parts(self, texts)
+        out = bpe.encode_parts(self, ["" if any(x in t for x in self.special) else t for t in texts])
+        for i, ids in zip(whole, self.by_library([texts[i] for i in whole])):
+            out[i] = ids
+        return out
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end: int = END, ids: bool = False) -> DataFrame:

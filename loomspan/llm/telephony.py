@@ -1,13 +1,15 @@
 """Media columns: telephony audio. WAV in, WAV out, with mu-law, A-law and IMA ADPCM expanded to 16-bit PCM.
 
-`to_wav` wraps bytes losslessly as one of the three telephony codings (8 kHz, mono). `decode` reads a WAV column back:
+`to_media` wraps bytes losslessly as one of the three telephony codings (8 kHz, mono). `decode` reads a WAV column back:
 companded samples expand by a 256-entry lookup table, ADPCM blocks are decoded together, numpy working across blocks
 with one step per sample position, so the step count is the block's length and not the audio's. `resample` changes the
-rate by linear interpolation on an exact integer grid. `pcm_column` stores the resampled PCM.
+rate by linear interpolation on an exact integer grid. `pcm_column` adds the resampled PCM, and `store` writes both columns
+to a table in the shared folder. PCM is stored as one predict step of the reversible 5/3 lifting transform (`lifted`):
+samples of even number, then what the others differ from the mean of their neighbours, which is little in smooth signals.
 
 Null bytes count as empty. An empty payload has no samples. A column that is no WAV of these codings gives null. A
-last partial ADPCM block is kept as bytes and decoded as far as it goes. Repeated rows give the same value each; an
-empty table gives an empty result; further columns are not touched.
+last partial ADPCM block is kept as bytes and decoded as far as it goes. Long values are worked on one at a time. Repeated
+rows give the same value each; an empty table gives an empty result; further columns are not touched.
 """
 
 from __future__ import annotations
@@ -162,19 +164,45 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     return ((2 * (a * to + (pcm[right].astype(np.int64) - a) * part) + to) // (2 * to)).astype(np.int16)
 
 
+def lifted(pcm: np.ndarray) -> bytes:
+    """Samples of even number, then the differences of the others to their neighbours' mean, as little-endian int16."""
+    even = pcm[::2]
+    return np.concatenate([even, pcm[1::2] - _between(even, len(pcm) // 2)]).astype("<i2").tobytes()
+
+
+def unlifted(stored: bytes) -> np.ndarray:
+    """The samples that `lifted` stored."""
+    parts = np.frombuffer(stored, "<i2")
+    even = parts[: (len(parts) + 1) // 2]
+    out = np.empty(len(parts), np.int16)
+    out[::2], out[1::2] = even, parts[len(even) :] + _between(even, len(parts) // 2)
+    return out
+
+
+def _between(even: np.ndarray, n: int) -> np.ndarray:
+    """The means of n neighbours, rounded half up; the last sample is its own neighbour."""
+    a, b = even[:n].astype(np.int32), np.append(even[1:], even[-1:])[:n].astype(np.int32)
+    return ((a + b + 1) >> 1).astype(np.int16)
+
+
 def pcm_column(df: DataFrame, media: str = "media", rate: int = 16000, out: str = "pcm") -> DataFrame:
-    """df with the decoded, resampled little-endian PCM of its WAV column (null where that is no telephony WAV)."""
-    names = df.columns
+    """df with the decoded, resampled and lifted PCM of its WAV column (null where that is no telephony WAV)."""
+    names = [c for c in df.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = decode(batch.column(media).to_pylist())
-            pcm = [None if f is None else resample(f[1], f[0], rate).astype("<i2").tobytes() for f in found]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names if c != out), pa.array(pcm, pa.binary())], [*(c for c in names if c != out), out])
+            column = batch.column(media)
+            for a, b in C.slices(C.text_bytes(column)[0]):
+                found = decode(column.slice(a, b - a).to_pylist())
+                pcm = [None if f is None else lifted(resample(f[1], f[0], rate)) for f in found]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in names), pa.array(pcm, pa.binary())], [*names, out])
+
+    return df.mapInArrow(C.trimmed(run), f"{C.ddl(df.drop(out))}, `{out}` binary")
+
 
-    kept = df.drop(out)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return df.mapInArrow(run, f"{schema}, `{out}` binary")
+def store(df: DataFrame, name: str = "media") -> DataFrame:
+    """A table with media and PCM columns, written to the shared folder and read again. PCM is large: zstandard, level 9."""
+    return C.materialise(df, name, **{"compression": "zstd", "parquet.compression.codec.zstd.level": "9"})
 
 
 def padded(text: bytes, unit: int = BLOCK) -> bytes:
@@ -186,15 +214,14 @@ def coding_of(payload: bytes) -> int:
     return (MULAW, ALAW, ADPCM)[zlib.crc32(payload) % 3]
 
 
-def features(rate: int, pcm: np.ndarray, coding: int, to: int = 16000) -> str:
-    """Integer features: samples, peak, energy, zero crossings, and a checksum of the resampled PCM."""
+def features(pcm: np.ndarray, coding: int, rate: int) -> str:
+    """Integer features of stored PCM: samples, peak, energy, zero crossings, checksum."""
     wide = pcm.astype(np.int64)
     crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-    crc = zlib.crc32(resample(pcm, rate, to).astype("<i2").tobytes())
-    return f"{NAMES[coding]}:n={len(pcm)};peak={int(np.abs(wide).max(initial=0))};energy={int((wide * wide).sum())};crossings={crossings};pcm{to}={crc:08x}"
+    return f"{NAMES[coding]}@{rate}:n={len(pcm)};peak={int(np.abs(wide).max(initial=0))};energy={int((wide * wide).sum())};crossings={crossings};crc={zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
 
 
-def encode_texts(docs: DataFrame) -> DataFrame:
+def to_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): every whole text padded and stored as a WAV."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -211,24 +238,22 @@ def encode_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def media_digests(stored: DataFrame) -> DataFrame:
-    """What is read back from (doc_id, n_bytes, media): digests of payload and file, and features of the audio."""
+def media_digests(stored: DataFrame, rate: int = 16000) -> DataFrame:
+    """What is read back from a stored (doc_id, n_bytes, media, pcm): digests of payload and file, and features of the PCM."""
     kind = stored.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, body = C.text_bytes(batch.column("media"))
-            for a, b in C.slices(offsets, 2 << 20):
-                media = [body[offsets[i] : offsets[i + 1]].tobytes() for i in range(a, b)]
-                rows: list[list] = [[] for _ in range(6)]
-                for m, (rate, pcm) in zip(media, decode(media)):
-                    coding, _, _, data = parse_wav(m)
-                    for column, value in zip(rows, (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(m), hashlib.sha256(m).hexdigest(), features(rate, pcm, coding))):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("n_bytes").slice(a, b - a), *map(pa.array, rows)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            rows: list[list] = [[] for _ in range(6)]
+            for m, p in zip(batch.column("media"), batch.column("pcm")):
+                m, pcm = m.as_py(), unlifted(p.as_py())
+                coding, _, _, data = parse_wav(m)
+                for column, value in zip(rows, (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(m), hashlib.sha256(m).hexdigest(), features(pcm, coding, rate))):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return stored.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(C.trimmed(run), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(encode_texts(C.table(spark, sf_dir, "documents")))
+    return media_digests(store(pcm_column(to_media(C.table(spark, sf_dir, "documents")))))
