@@ -4,14 +4,19 @@
 `archive_bytes`: rows (archive, data) of a table in the shared folder, each data being a complete .warc.gz, so that any
 store that Spark writes can hold them. Of records with equal payloads (SHA-1) of at least `min_bytes` the one with the
 smallest page_id is a response; the others are revisits that name it and carry headers, but no payload.
-`capture_index` sorts lines keyed by the reversed-host URL into compressed blocks of `block_lines` lines, with a sparse
-directory (first key of each block). `lookup` searches that directory binarily, opens only the blocks that can hold a
-key, and reads its records by range. `read_back` goes through all blocks and reads every record by range.
-
-Null html counts as empty, null or odd URLs get the key of their own text. Repeated page_ids: every row gets its own
-record; rows with the same page_id and payload as the response are responses as well. Null page_ids sort last among
-equals, and are responses only where all of an equal payload's ids are null. An empty table gives empty archives,
-index and result. Other columns are ignored.
+
+`capture_index` sorts lines keyed by the reversed-host URL into compressed blocks of `block_lines` lines, and groups of
+blocks that follow each other. The sparse directory has the first key of each group: at most GROUPS entries and one for
+each partition of the sort, of at most KEY letters each, however many captures there are, so it is broadcast. `locate`
+searches it binarily for each key, sends the key to the groups that can hold it, searches these groups' blocks binarily,
+opens the blocks that can hold it, and finds its lines there by binary search. `read_back` reads captures by range.
+A query for some URLs and one for all of them go the same way.
+
+Null html counts as empty, null or odd URLs get the key of their own text. Long html is one record; it is worked on alone.
+Repeated page_ids: every row gets its own record; rows with the same page_id and payload as the response are responses as
+well. Null page_ids sort last among equals, and are responses only where all of an equal payload's ids are null. Copies
+of one payload may be any share of the rows: payloads that are surely alone aren't shuffled, and digests that many rows
+have are looked up where the rows are. An empty table gives empty archives, index and result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +28,8 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +37,9 @@ from loomspan.llm import common as C
 
 DATE = "2024-01-01T00:00:00Z"
 
+#: Groups of blocks in the sparse directory, and letters of a key there.
+GROUPS, KEY = 1 << 15, 64
+
 
 def url_key(url: str | None) -> str:
     """The host reversed and comma-joined, then ')' and path and query: 'com,example)/a?b'. Scheme and 'www.' don't count."""
@@ -101,11 +109,16 @@ def parse_record(member: bytes) -> dict:
 
 def with_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, refers_to): refers_to is null for responses."""
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    firsts = pages.select("page_id", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).where(F.octet_length("payload") >= min_bytes)
-    firsts = firsts.groupBy(F.sha1("payload").alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
-    return rows.join(firsts, "digest", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
+    long_enough = pages.select("page_id", payload.alias("payload")).where(F.octet_length("payload") >= min_bytes)
+    firsts = long_enough.groupBy(F.sha1("payload").alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    firsts = C.materialise(firsts, "firsts")
+    bitmap = C.bitmap_of(firsts.select(F.xxhash64("digest").alias("key")))
+    alone = C.likely(rows, F.xxhash64("digest"), bitmap, wanted=False).select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"))
+    near = C.split_join(C.likely(rows, F.xxhash64("digest"), bitmap), firsts, ["digest"], "copies", "left")
+    refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).cast("long")
+    return alone.unionByName(near.select("page_id", "url", "payload", refers_to.alias("refers_to")))
 
 
 def write_archives(rows: DataFrame, archive_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +139,7 @@ def write_archives(rows: DataFrame, archive_bytes: int = 1 << 20) -> tuple[DataF
         for batch in batches:
             for page_id, url, payload, refers_to in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "refers_to"))):
                 member = gzip_member(record(page_id.as_py(), url.as_py(), payload.as_py(), refers_to.as_py()))
-                captures.append({"key": url_key(url.as_py()), "page_id": page_id.as_py(), "offset": size, "length": len(member)})
+                captures.append({"key": index_key(url.as_py()), "page_id": page_id.as_py(), "offset": size, "length": len(member)})
                 data.append(member)
                 size += len(member)
                 if size >= archive_bytes:
@@ -142,23 +155,27 @@ def write_archives(rows: DataFrame, archive_bytes: int = 1 << 20) -> tuple[DataF
 
 
 def capture_index(captures: DataFrame, block_lines: int = 3000) -> DataFrame:
-    """Blocks (first_key, last_key, lines, block): sorted, zlib-compressed lines 'key page_id archive offset length'.
+    """Blocks (part, number, first_key, last_key, block): sorted, zlib-compressed lines 'key page_id archive offset length'.
 
-    Range partitioning sorts the whole table; equal keys in any number spread over blocks, so no host is too hot.
+    Range partitioning sorts the whole table; equal keys in any number spread over blocks, so no host is too hot. Parts and
+    numbers within them follow the keys.
     """
-    line = F.concat_ws("\t", F.regexp_replace("key", r"[\t\n]", " "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), "archive", "offset", "length")
+    line = F.concat_ws("\t", "key", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "archive", "offset", "length")
     # concat_ws skips nulls, and none is left here
-    ordered = captures.select(F.regexp_replace("key", r"[\t\n]", " ").alias("key"), F.xxhash64("archive", "offset").alias("tie"), line.alias("line"))
+    ordered = captures.select("key", F.xxhash64("archive", "offset").alias("tie"), line.alias("line"))
     ordered = ordered.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[str] = []
         lines: list[str] = []
+        part, number = TaskContext.get().partitionId(), 0
 
         def flush(n: int) -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"first_key": [keys[0]], "last_key": [keys[n - 1]], "lines": [n], "block": [zlib.compress("\n".join(lines[:n]).encode())]})
+            nonlocal number
+            columns = [[part], [number], [keys[0]], [keys[n - 1]], [zlib.compress("\n".join(lines[:n]).encode())]]
+            number += 1
             del keys[:n], lines[:n]
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()))], ["part", "number", "first_key", "last_key", "block"])
 
         for batch in batches:
             keys += batch.column("key").to_pylist()
@@ -168,19 +185,57 @@ def capture_index(captures: DataFrame, block_lines: int = 3000) -> DataFrame:
         if lines:
             yield flush(len(lines))
 
-    return ordered.select("key", "line").mapInArrow(run, "first_key string, last_key string, lines long, block binary")
+    return C.materialise(ordered.select("key", "line").mapInArrow(run, "part long, number long, first_key string, last_key string, block binary"), "captures")
 
 
-def index_lines(blocks: DataFrame) -> DataFrame:
-    """The captures that blocks list."""
+def directory(blocks: DataFrame) -> tuple[int, list[tuple[str, int, int]]]:
+    """(blocks in a group, sorted (first key, part, group)). A key is cut to KEY letters, which may only widen a search."""
+    width = max(1, -(-blocks.count() // GROUPS))
+    groups = blocks.groupBy("part", F.floor(F.col("number") / width).cast("long").alias("group")).agg(F.min("first_key").alias("first_key"))
+    rows = groups.select(F.substring("first_key", 1, KEY).alias("first_key"), "part", "group").collect()
+    return width, sorted((r["first_key"], r["part"], r["group"]) for r in rows)
+
+
+def block_lines_of(block: bytes) -> tuple[list[str], list[str]]:
+    """(keys, lines) of a block."""
+    lines = zlib.decompress(block).decode().split("\n")
+    return [x.split("\t", 1)[0] for x in lines], lines
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in batch.column("block"):
-                rows = [x.split("\t") for x in zlib.decompress(block.as_py()).decode().split("\n")]
-                yield pa.RecordBatch.from_pydict({"key": [r[0] for r in rows], "page_id": pa.array([int(r[1]) if r[1] else None for r in rows], pa.int64()), "archive": [r[2] for r in rows], "offset": [int(r[3]) for r in rows], "length": [int(r[4]) for r in rows]})
 
-    return blocks.select("block").mapInArrow(run, "key string, page_id long, archive string, offset long, length long")
+_LOCATED = "key string, page_id long, archive string, offset long, length long"
+
+
+def locate(blocks: DataFrame, keys: DataFrame) -> DataFrame:
+    """The captures (key, page_id, archive, offset, length) of distinct `keys` (key), by the directory and two binary searches."""
+    width, entries = directory(blocks)
+    shared = blocks.sparkSession.sparkContext.broadcast(entries)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = [e[0] for e in shared.value]
+        for batch in batches:
+            out: list[tuple[str, int, int]] = []
+            for key in batch.column("key").to_pylist():
+                low = max(0, bisect.bisect_left(firsts, key[:KEY]) - 1)
+                out += [(key, *shared.value[k][1:]) for k in range(low, bisect.bisect_right(firsts, key))]
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], ["key", "part", "group"])
+
+    def search(there: pa.Table, asked: pa.Table) -> pa.Table:
+        held = sorted(zip(*(there.column(c).to_pylist() for c in ("number", "first_key", "last_key", "block"))), key=lambda b: b[0])
+        firsts, lasts, opened, found = [b[1] for b in held], [b[2] for b in held], {}, []
+        for key in sorted(asked.column("key").to_pylist()):
+            for k in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key)):
+                if k not in opened:
+                    opened = {k: block_lines_of(held[k][3])}  # keys go up, so blocks before it are done
+                own, lines = opened[k]
+                found += [lines[i].split("\t") for i in range(bisect.bisect_left(own, key), bisect.bisect_right(own, key))]
+        columns = [[f[0] for f in found], [int(f[1]) if f[1] else None for f in found], [f[2] for f in found], [int(f[3]) for f in found], [int(f[4]) for f in found]]
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["key", "page_id", "archive", "offset", "length"])
+
+    asked = keys.select("key").mapInArrow(route, "key string, part long, group long")
+    grouped = blocks.withColumn("group", F.floor(F.col("number") / width).cast("long"))
+    return grouped.groupBy("part", "group").cogroup(asked.groupBy("part", "group")).applyInArrow(lambda there, asked: search(there, asked), _LOCATED)
 
 
 _OUT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -188,33 +243,34 @@ _OUT = "page_id long, payload_bytes long, payload_digest string, record_type str
 
 def read_back(archives: DataFrame, captures: DataFrame) -> DataFrame:
     """Read every capture by its range. A group is one archive with the lines that point into it: bounded in size."""
+    names = [c.split(" ")[0] for c in _OUT.split(", ")]
 
-    def run(_, there: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+    def run(there: pa.Table, lines: pa.Table) -> pa.Table:
+        rows: list[dict] = []
         if len(there):
-            data = memoryview(there["data"].iloc[0])
-            for _, same in lines.groupby(["offset", "length"]):
-                at, n = int(same["offset"].iloc[0]), int(same["length"].iloc[0])
-                rows += [parse_record(data[at : at + n])] * len(same)
-        out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-        return out.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+            data, last = memoryview(there.column("data")[0].as_py()), None
+            for at, n in sorted(zip(lines.column("offset").to_pylist(), lines.column("length").to_pylist())):
+                rows.append(rows[-1] if (at, n) == last else parse_record(data[at : at + n]))
+                last = at, n
+        return pa.Table.from_arrays([pa.array([r[c] for r in rows], pa.string() if c in ("payload_digest", "record_type") else pa.int64()) for c in names], names)
 
-    return archives.groupBy("archive").cogroup(captures.select("archive", "offset", "length").groupBy("archive")).applyInPandas(run, _OUT)
+    return archives.groupBy("archive").cogroup(captures.select("archive", "offset", "length").groupBy("archive")).applyInArrow(run, _OUT)
 
 
 def lookup(blocks: DataFrame, archives: DataFrame, urls: list[str]) -> DataFrame:
-    """Captures of some URLs: the directory says which blocks to open, their lines say what to read."""
-    directory = blocks.select("first_key", "last_key").orderBy("first_key", "last_key").collect()  # one row for each block
-    firsts, lasts, keys = [r["first_key"] for r in directory], [r["last_key"] for r in directory], sorted({url_key(u) for u in urls})
-    wanted = {(firsts[k], lasts[k]) for key in keys for k in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key))}
-    if not wanted:
-        return read_back(archives.limit(0), index_lines(blocks.limit(0)))
-    some = blocks.where(F.struct("first_key", "last_key").isin([F.struct(F.lit(a), F.lit(b)) for a, b in sorted(wanted)]))
-    lines = index_lines(some).where(F.col("key").isin(keys))
+    """Captures of some URLs."""
+    keys = archives.sparkSession.createDataFrame([(k,) for k in sorted({index_key(u) for u in urls})], "key string")
+    lines = C.materialise(locate(blocks, keys), "located")
     return read_back(archives.join(lines.select("archive").distinct(), "archive", "left_semi"), lines)
 
 
+def index_key(url: str | None) -> str:
+    """The key as the index holds it: tabs and line feeds are what separates its columns and lines."""
+    return url_key(url).replace("\t", " ").replace("\n", " ")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages, index them, ask the index for every key it can have, and read what it says."""
     archives, captures = write_archives(with_roles(C.table(spark, sf_dir, "pages")))
-    blocks = C.materialise(capture_index(captures), "captures")
-    return read_back(archives, index_lines(blocks))
+    keys = captures.select("key").distinct()
+    return read_back(archives, locate(capture_index(captures), keys))

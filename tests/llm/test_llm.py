@@ -286,24 +286,32 @@ def test_jaccard_odd_rows(spark):
 # ---------------------------------------------------------------- 7
 
 
-def test_warc_round_trip(spark):
-    schema = "page_id long, url string, html string, digest string"
-    rows = [(1, "http://www.b.com:80/x?Q=1", "<p>one</p>", "d"), (2, "http://b.com/y", "<p>one</p>", "d"), (3, None, None, "d"), (4, "nonsense", "", "d"), (5, "http://[bad", "é" * 50_000, "d"), (6, "http://a.b.com/", "x\r\n\r\ny", "d"), (7, "http://c.org/", "<p>one</p>", "d"), (8, "http://c.org/", "tab\there", "d")]
-    archives, captures = warc.write_archives(warc.with_roles(spark.createDataFrame(rows, schema)), 200)
-    blocks = common.materialise(warc.capture_index(captures, 2))
-    got = {r.page_id: r for r in warc.read_back(archives, warc.index_lines(blocks)).collect()}
+def test_warc_round_trip(spark, monkeypatch):
+    schema = "page_id long, url string, html string, digest string, first long, copies long"
+    rows = [(1, "http://www.b.com:80/x?Q=1", "<p>one</p>"), (2, "http://b.com/y", "<p>one</p>"), (3, None, None), (4, "nonsense", ""), (5, "http://[bad", "é" * 50_000), (6, "http://a.b.com/", "x\r\n\r\ny"), (7, "http://c.org/", "<p>one</p>"), (8, "http://c.org/", "tab\there"), (9, "http://d.org/a\tb", "y")]
+    rows += [(100 + i, "http://hot.net/" + "long" * 30, "same") for i in range(40)] + [(200 + i, f"http://hot.net/{'long' * 30}/{i}", f"own {i}") for i in range(20)] + [(None, "http://c.org/", "<p>one</p>"), (8, "http://c.org/", "tab\there")]
+    monkeypatch.setattr(warc, "GROUPS", 5)
+    archives, captures = warc.write_archives(warc.with_roles(spark.createDataFrame([(*r, "d", 1, 1) for r in rows], schema)), 200)
+    blocks = warc.capture_index(captures, 2)
+    width, entries = warc.directory(blocks)
+    assert width > 1 and blocks.count() >= 30 and len(entries) <= 5 + blocks.select("part").distinct().count()
+    got = collections.defaultdict(list)
+    for r in warc.read_back(archives, warc.locate(blocks, captures.select("key").distinct())).collect():
+        got[r.page_id].append(r)
+    assert sum(map(len, got.values())) == len(rows)
     first = {}
-    for i, _, html, _ in rows:
+    for i, _, html in rows:
         body = (html or "").encode()
         first.setdefault(body, i)
-        r = got[i]
-        assert r.payload_bytes == len(body) and r.payload_digest == base64.b32encode(hashlib.sha1(body).digest()).decode()
-        assert (r.record_type, r.refers_to) == (("response", None) if first[body] == i else ("revisit", first[body]))
-    assert blocks.count() >= 4
-    assert {r.page_id for r in warc.lookup(blocks, archives, ["http://b.com/y", "http://c.org", "http://none.net/"]).collect()} == {2, 7, 8}
+        for r in got[i]:
+            assert r.payload_bytes == len(body) and r.payload_digest == base64.b32encode(hashlib.sha1(body).digest()).decode()
+            assert (r.record_type, r.refers_to) == (("response", None) if first[body] == i else ("revisit", first[body]))
+    found = lambda *urls: sorted(r.page_id for r in warc.lookup(blocks, archives, list(urls)).collect() if r.page_id is not None)
+    assert found("http://b.com/y", "http://c.org", "http://none.net/", "http://d.org/a\tb") == [2, 7, 8, 8, 9]
+    assert found("http://hot.net/" + "long" * 30) == list(range(100, 140)) and found("http://none.net/") == []
     none = spark.createDataFrame([], schema)
     archives, captures = warc.write_archives(warc.with_roles(none))
-    assert warc.read_back(archives, warc.index_lines(warc.capture_index(captures))).count() == 0
+    assert warc.read_back(archives, warc.locate(warc.capture_index(captures), captures.select("key"))).count() == 0
 
 
 def test_warc_minimum_size(spark):
