@@ -43,19 +43,22 @@ _KINDS = [
     (3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 10 AND 15"),
 ]
 _FOUND = " UNION ALL ".join(f"SELECT uid, {k} AS k, '{kind}' AS kind, s, s + length(m) AS e, CASE {k} WHEN 0 THEN '0:' || lower(m) WHEN 1 THEN '1:' || m ELSE '{k}:' || d END AS value FROM (SELECT uid, u.s AS s, u.m AS m, regexp_replace(u.m, '[^0-9]', '', 'g') AS d FROM (SELECT uid, unnest({_matches('t', pattern)}) AS u FROM docs)) WHERE {check}" for k, kind, pattern, check in _KINDS)
-_NEAR = " UNION ALL ".join(f"SELECT uid, value, w0, w1, t, unnest({_matches('substr(t, CAST(w0 + 1 AS INT), CAST(w1 - w0 AS INT))', '[[:alpha:]L]')}) AS u FROM (SELECT f.uid, f.value, {a} AS w0, {b} AS w1, t FROM found f JOIN docs USING (uid)) AS x".replace("[[:alpha:]L]", r"\p{L}{4,}") for a, b in (("greatest(s - 48, 0)", "s"), ("e", "least(e + 48, length(t))")))
+_TERM = r"\p{L}{4,}"
 
 _PII = f"""
 WITH docs AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS t FROM documents),
 found AS ({_FOUND}),
-near AS (SELECT uid, value, lower(u.m) AS term, w0 + u.s AS s, w0 + u.s + length(u.m) AS e FROM ({_NEAR}) AS n
-  WHERE NOT (u.s = 0 AND w0 > 0 AND regexp_matches(substr(t, CAST(w0 AS INT), 1), '\\p{{L}}')) AND NOT (u.s + length(u.m) = w1 - w0 AND w1 < length(t) AND regexp_matches(substr(t, CAST(w1 + 1 AS INT), 1), '\\p{{L}}'))),
-free AS (SELECT * FROM near n WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.uid = n.uid AND f.s < n.e AND f.e > n.s)),
-pairs AS (SELECT value, term, count(DISTINCT uid) AS net FROM free GROUP BY 1, 2 HAVING count(DISTINCT uid) >= 3),
-ne AS (SELECT value, count(DISTINCT uid) AS ne FROM found GROUP BY 1),
-nt AS (SELECT term, count(*) AS nt FROM (SELECT DISTINCT uid, unnest(regexp_split_to_array(lower(t), '[^\\p{{L}}]+')) AS term FROM docs) AS x GROUP BY 1),
-risky AS (SELECT value, term FROM pairs JOIN ne USING (value) JOIN nt USING (term) CROSS JOIN (SELECT count(*) AS total FROM docs) AS c WHERE ln(net * total / (ne * nt)) / ln((total + 1) / ne) >= 0.9),
-every AS (SELECT uid, s, k, kind, e FROM found UNION ALL SELECT DISTINCT uid, s, 4, 'term', e FROM free JOIN risky USING (value, term)),
+held AS (SELECT DISTINCT uid, value FROM found),
+words AS (SELECT DISTINCT uid, lower(w) AS term FROM (SELECT uid, unnest(regexp_extract_all(t, '{_TERM}')) AS w FROM docs) AS x),
+ne AS (SELECT value, count(*) AS ne FROM held GROUP BY 1),
+nt AS (SELECT term, count(*) AS nt FROM words GROUP BY 1),
+pairs AS (SELECT value, term, count(*) AS net FROM held JOIN words USING (uid) GROUP BY 1, 2),
+rated AS (SELECT value, term, net, nt, ne / (total + 1) AS p FROM pairs JOIN ne USING (value) JOIN nt USING (term) CROSS JOIN (SELECT count(*) AS total FROM docs) AS c),
+risky AS (SELECT value, term FROM rated WHERE ln((net + 0.5 * p) / (nt + 0.5) / p) / -ln(p) >= 0.9),
+gone AS (SELECT DISTINCT uid, term FROM held JOIN risky USING (value)),
+placed AS (SELECT uid, lower(u.m) AS term, u.s AS s, u.s + length(u.m) AS e FROM (SELECT uid, unnest({_matches('t', _TERM)}) AS u FROM docs WHERE uid IN (SELECT uid FROM gone)) AS x),
+free AS (SELECT p.* FROM placed p JOIN gone USING (uid, term) WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.uid = p.uid AND f.s < p.e AND f.e > p.s)),
+every AS (SELECT uid, s, k, kind, e FROM found UNION ALL SELECT uid, s, 4, 'term', e FROM free),
 listed AS (SELECT uid, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, k, e) FILTER (WHERE k < 4) AS base, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, k, e) AS spans,
   count(*) FILTER (WHERE k = 0) AS n_email, count(*) FILTER (WHERE k = 1) AS n_ip, count(*) FILTER (WHERE k = 2) AS n_card, count(*) FILTER (WHERE k = 3) AS n_phone FROM every GROUP BY uid)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN listed USING (uid)

@@ -2,18 +2,17 @@
 
 Base spans are the leftmost non-overlapping matches of four kinds (email, ip, card, phone), with the checks of their
 kinds; failing matches are dropped without retries. Beyond them, terms can disclose a protected value: for a value e
-and a term t (a run of `min_letters` or more letters in lower case) that stands within `window` code points of e,
-the corpus gives n(e), n(t) and n(e, t), the numbers of documents with e, with t anywhere, and with t near e. The
-disclosure of e by t is pmi(e, t) / ic(e), with pmi = ln(n(e, t) N / (n(e) n(t))) and ic = ln(N / n(e)): 1 where t
-occurs only with e. With n(e, t) >= support, terms at `generalise` or more become [TERM], at `remove` or more they go.
-Such occurrences near e are spans of kind `term`. Counts are over all documents and whole texts, aggregated before they
-are shuffled; a value or term in a third of all rows stays one row of partial counts for each task.
-
-That is what `spans` and `sanitise` do, and their SQL. `disclosure_spans` and `sanitise_disclosure` judge over whole
-documents instead: t is with e wherever both stand in one document, and as most values stand in one or two documents there
-is no least count. The estimate is smoothed: with p = n(e) / (N + 1), p(e | t) = (n(e, t) + prior p) / (n(t) + prior), and
-the disclosure is ln(p(e | t) / p) / ln(1 / p). A value of one document is disclosed by terms of next to no other document;
-the more documents agree, the nearer to 1, so that terms go altogether only on the evidence of several.
+and a term t (a run of `min_letters` or more letters in lower case) that stand in one document, however far apart, the
+corpus gives n(e), n(t) and n(e, t), the numbers of documents with e, with t, and with both, and N, that of all documents.
+With p = n(e) / (N + 1) the smoothed p(e | t) is (n(e, t) + prior p) / (n(t) + prior), and the disclosure of e by t is
+ln(p(e | t) / p) / ln(1 / p): near 1 where t occurs only with e. Most values stand in one or two documents, so there is no
+least count. A value of one document is disclosed by terms of next to no other document; the more documents agree, the
+nearer to 1. Terms at `generalise` or more become [TERM], at `remove` or more they go, in all documents with e. Their
+occurrences outside base spans are spans of kind `term`.
+
+Counts are over all documents and whole texts, aggregated before they are shuffled. Values, terms and pairs that many
+documents have meet their counts by C.split_join. Work in one document is linear in its text and its spans: positions
+come from running sums over arrays in blocks (`running`), overlaps from a running maximum over ordered spans.
 
 Null text counts as empty: no spans. Repeated rows count as documents each, and get equal spans. Values are compared in
 lower case (email), by digits (card, phone) or as they stand (ip). An empty table gives an empty result; columns
@@ -23,6 +22,7 @@ of one endless run stay linear.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,21 +45,35 @@ KINDS = [*PATTERNS, "term"]
 
 @dataclass(frozen=True)
 class Settings:
-    window: int = 48
+    """prior: documents with the term that are assumed besides those seen."""
+
     min_letters: int = 4
-    support: int = 3
+    prior: float = 0.5
     generalise: float = 0.9
     remove: float = 0.99
 
 
-@dataclass(frozen=True)
-class Whole:
-    """Settings of the judgement over whole documents; prior: documents with the term that are assumed besides those seen."""
+#: Arrays are gone through in blocks of so many entries, texts in blocks of so many letters.
+BLOCK, LETTERS = 256, 1024
 
-    min_letters: int = 4
-    prior: float = 0.5
-    generalise: float = 0.9
-    remove: float = 0.99
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """The results of op over values[0..i] for every i (ints, op associative with 0 as its neutral). Copying an array for each
+    entry would be quadratic, so blocks are gone through one by one, then their last results."""
+    each = lambda v: F.aggregate(v, _none("int"), lambda acc, x: F.concat(acc, F.array(op(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)), x))))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / BLOCK).cast("int")), lambda k: each(F.slice(values, k * BLOCK + 1, F.lit(BLOCK))))
+
+    def joined(local: Column) -> Column:
+        ends = F.transform(local, lambda v: F.coalesce(F.try_element_at(v, F.lit(-1)), F.lit(0)))
+        before = F.aggregate(ends, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
+        return let(before, lambda b: F.flatten(F.transform(local, lambda v, i: F.transform(v, lambda x: op(F.get(b, i), x)))))
+
+    return let(blocks, joined)
 
 
 def digits(x: Column) -> Column:
@@ -91,17 +105,14 @@ def holds(kind: str, match: Column) -> Column:
 
 def located(text: Column, pattern: str) -> Column:
     """array<struct<start, end, match>> of a pattern's matches, in code points: the text between matches gives starts."""
-    between = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda b, m: F.struct(F.length(b).alias("skip"), m.alias("match")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)").alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["skip"]
-        end = begin + F.length(x["match"])
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("found"))
+    def placed(matches: Column) -> Column:
+        skips = F.transform(F.split(text, pattern, -1), lambda b: F.length(b))
+        sizes = F.zip_with(F.slice(skips, F.lit(1), F.size(matches)), matches, lambda s, m: s + F.length(m))
+        ends = let(sizes, lambda x: running(x, lambda a, b: a + b))
+        return F.zip_with(ends, matches, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("match")))
 
-    return F.aggregate(both, start, step, lambda acc: acc["found"])
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def _none(kind: str) -> Column:
@@ -128,69 +139,19 @@ def value(span: Column) -> Column:
     return F.concat(span["kind"].cast("string"), F.lit(":"), F.when(span["kind"] == 0, F.lower(span["match"])).when(span["kind"] == 1, span["match"]).otherwise(digits(span["match"])))
 
 
-_NEAR = "struct<value:string,term:string,start:int,end:int>"
-
-
-def near_terms(text: Column, spans: Column, s: Settings) -> Column:
-    """array<struct<value, term, start, end>>: whole terms within the window of a span, outside all base spans."""
-    word = r"\p{L}{%d,}+" % s.min_letters
-    size = F.length(text)
-
-    def side(x: Column, a: Column, b: Column) -> Column:
-        """Terms of text[a:b]; one that goes on beyond the window is no whole term."""
-        cut_left = (a > 0) & F.substring(text, a, 1).rlike(r"\p{L}")
-        cut_right = (b < size) & F.substring(text, b + 1, 1).rlike(r"\p{L}")
-        whole = F.filter(located(F.substring(text, a + 1, b - a), word), lambda m: ~((m["start"] == 0) & cut_left) & ~((m["end"] == b - a) & cut_right))
-        return F.transform(whole, lambda m: F.struct(value(x).alias("value"), F.lower(m["match"]).alias("term"), (m["start"] + a).alias("start"), (m["end"] + a).alias("end")))
-
-    def around(x: Column) -> Column:
-        return F.concat(side(x, F.greatest(x["start"] - s.window, F.lit(0)), x["start"]), side(x, x["end"], F.least(x["end"] + s.window, size)))
-
-    every = F.flatten(F.transform(spans, around))
-    return F.when(F.size(spans) > 0, F.filter(every, lambda t: ~F.exists(spans, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))).otherwise(_none(_NEAR))
-
-
-def detect(docs: DataFrame, s: Settings, keep: list[str]) -> DataFrame:
-    """Materialised: uid, the columns `keep`, spans, near. uid tells rows apart that may share a doc_id."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select(*keep, text.alias("__text")).withColumn("__spans", base_spans(F.col("__text")))
-    found = found.withColumn("__near", near_terms(F.col("__text"), F.col("__spans"), s))
-    return C.materialise(found.select(F.monotonically_increasing_id().alias("__uid"), *keep, "__spans", "__near"), "pii")
-
-
-def disclosing(docs: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
-    """(value, term, remove): pairs whose disclosure reaches the threshold, from counts over all documents."""
-    pairs = found.select(F.explode(F.array_distinct(F.transform("__near", lambda t: F.struct(t["value"].alias("value"), t["term"].alias("term"))))).alias("p")).groupBy("p.value", "p.term").agg(F.count("*").alias("net"))
-    pairs = C.materialise(pairs.where(F.col("net") >= s.support), "pairs")
-    values = found.select(F.explode(F.array_distinct(F.transform("__spans", value))).alias("value")).groupBy("value").agg(F.count("*").alias("ne"))
-    words = F.array_distinct(F.split(F.lower(F.col("text")), r"[^\p{L}]+"))
-    terms = docs.select(F.explode(words).alias("term")).where(F.length("term") >= s.min_letters).groupBy("term").agg(F.count("*").alias("nt"))
-    total = found.agg(F.count("*").alias("total"))
-    counted = pairs.join(values, "value").join(terms, "term").crossJoin(F.broadcast(total))  # one row
-    disclosure = F.log(F.col("net") * F.col("total") / (F.col("ne") * F.col("nt"))) / F.log((F.col("total") + 1) / F.col("ne"))
-    return counted.withColumn("disclosure", disclosure).where(F.col("disclosure") >= s.generalise).select("value", "term", (F.col("disclosure") >= s.remove).alias("remove"))
-
-
-def added_spans(found: DataFrame, risky: DataFrame) -> DataFrame:
-    """(uid, more): array<struct<start, kind, end, remove>> of the terms to go, for rows that have any."""
-    rows = found.where(F.size("__near") > 0).select("__uid", F.explode("__near").alias("t")).select("__uid", "t.value", "t.term", "t.start", "t.end")
-    hit = rows.join(risky, ["value", "term"]).groupBy("__uid", "start", "end").agg(F.max("remove").alias("remove"))
-    return hit.groupBy("__uid").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "remove"))).alias("__more"))
-
-
-def _words(text: Column, s: Whole) -> Column:
+def _words(text: Column, s: Settings) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(\p{L}{%d,}+)" % s.min_letters)), lambda w: F.lower(w)))
 
 
-def detect_whole(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Materialised: uid, the columns `keep`, spans, and the text of rows with spans."""
+def detect(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Materialised: uid, the columns `keep`, spans, and the text of rows with spans. uid tells rows apart that may share a doc_id."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(*keep, text.alias("__text")).withColumn("__spans", base_spans(F.col("__text")))
     return C.materialise(found.select(F.monotonically_increasing_id().alias("__uid"), *keep, "__spans", F.when(F.size("__spans") > 0, F.col("__text")).alias("__text")), "pii")
 
 
-def disclosing_whole(docs: DataFrame, found: DataFrame, s: Whole) -> DataFrame:
-    """(uid, term, remove): the terms to go in each row with spans.
+def disclosing(docs: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
+    """Materialised (uid, term, remove): the terms to go in each row with spans.
 
     Values of the same documents are judged alike, so each such group is counted once (h1, h2: its hash). A term in more
     documents than `most` cannot reach the threshold whatever n(e, t) is; only the others meet the values.
@@ -201,30 +162,34 @@ def disclosing_whole(docs: DataFrame, found: DataFrame, s: Whole) -> DataFrame:
     groups = values.groupBy("value").agg(F.count("*").alias("ne"), F.bit_xor(F.xxhash64("__uid")).alias("h1"), F.bit_xor(F.xxhash64("__uid", F.lit(1))).alias("h2"))
     p = F.col("ne") / (F.col("total") + 1)
     most = (F.col("ne") + s.prior * p) * F.pow(p, F.lit(s.generalise - 1)) * (1 + 1e-9) - s.prior
-    groups = groups.crossJoin(total).withColumns({"p": p, "most": most})
-    of = values.join(groups, "value").select("__uid", "h1", "h2", "ne", "p", "most").distinct()
+    groups = C.materialise(groups.crossJoin(total).withColumns({"p": p, "most": most}), "values")
+    of = C.split_join(values, groups, ["value"], "ne").select("__uid", "h1", "h2", "ne", "p", "most").distinct()
     terms = docs.select(F.explode(_words(F.coalesce(F.col("text"), F.lit("")), s)).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
-    rare = terms.crossJoin(F.broadcast(groups.agg(F.max("most").alias("limit")))).where(F.col("nt") <= F.col("limit")).drop("limit")  # one row
-    words = held.select("__uid", F.explode(_words(F.col("__text"), s)).alias("term")).join(rare, "term")
+    limit = F.broadcast(groups.agg(F.max("most").alias("limit")))  # one row
+    own = held.select("__uid", F.explode(_words(F.col("__text"), s)).alias("term"))
+    # only terms of rows with spans matter, counted there as well, as these are the rows that meet them
+    rare = C.materialise(own.groupBy("term").agg(F.count("*").alias("held")).join(terms.crossJoin(limit).where(F.col("nt") <= F.col("limit")).drop("limit"), "term"), "terms")
+    words = C.split_join(own, rare, ["term"], "held").select("__uid", "term", "nt")
     pairs = C.materialise(words.join(of, "__uid").where(F.col("nt") <= F.col("most")), "pairs")
     counted = pairs.groupBy("h1", "h2", "ne", "p", "term", "nt").agg(F.count("*").alias("net"))
     disclosure = F.log((F.col("net") + s.prior * F.col("p")) / (F.col("nt") + s.prior) / F.col("p")) / -F.log("p")
-    risky = counted.withColumn("disclosure", disclosure).where(F.col("disclosure") >= s.generalise).select("h1", "h2", "ne", "term", (F.col("disclosure") >= s.remove).alias("remove"))
-    return pairs.join(risky, ["h1", "h2", "ne", "term"]).groupBy("__uid", "term").agg(F.max("remove").alias("remove"))
+    risky = counted.withColumn("disclosure", disclosure).where(F.col("disclosure") >= s.generalise).select("h1", "h2", "ne", "term", "net", (F.col("disclosure") >= s.remove).alias("remove"))
+    gone = C.split_join(pairs.drop("p", "nt", "most"), C.materialise(risky, "risky"), ["h1", "h2", "ne", "term"], "net")
+    return C.materialise(gone.groupBy("__uid", "term").agg(F.max("remove").alias("remove")), "gone")
 
 
-def added_whole(found: DataFrame, gone: DataFrame, s: Whole) -> DataFrame:
-    """added_spans of all occurrences outside base spans."""
-    word = r"\p{L}{%d,}+" % s.min_letters
-    text = F.col("__text")
-    between, matches = F.split(text, word, -1), F.regexp_extract_all(text, F.lit(word), F.lit(0))
-    parts = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda b, m: F.struct(F.length(b).alias("skip"), F.length(m).alias("size"), F.lower(m).alias("term")))
-    rows = found.join(gone.select("__uid").distinct(), "__uid", "left_semi").select("__uid", F.posexplode(parts).alias("at", "w"))
-    so_far = F.sum(F.col("w.skip") + F.col("w.size")).over(Window.partitionBy("__uid").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    rows = rows.select("__uid", "w.term", "w.size", so_far.alias("end")).select("__uid", "term", (F.col("end") - F.col("size")).alias("start"), "end")
-    hit = rows.join(gone, ["__uid", "term"]).join(found.select("__uid", "__spans"), "__uid")
-    hit = hit.where(~F.exists("__spans", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))))
-    return hit.groupBy("__uid").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "remove"))).alias("__more"))
+def added_spans(found: DataFrame, gone: DataFrame, s: Settings) -> DataFrame:
+    """(uid, more): array<struct<start, kind, end, remove>> of the terms to go outside base spans, for rows that have any."""
+    some = found.join(gone.select("__uid").distinct(), "__uid", "left_semi")
+    terms = some.select("__uid", F.explode(located(F.col("__text"), r"\p{L}{%d,}+" % s.min_letters)).alias("w")).select("__uid", F.lower("w.match").alias("term"), "w.start", "w.end")
+    terms = terms.join(gone, ["__uid", "term"]).select("__uid", "start", "end", "remove", F.lit(True).alias("term"))
+    spans = some.select("__uid", F.explode("__spans").alias("b")).select("__uid", "b.start", "b.end", F.lit(False).alias("remove"), F.lit(False).alias("term"))
+    # A term meets a span just if some span that starts before the term's end ends beyond its start.
+    place = F.when(F.col("term"), F.col("end")).otherwise(F.col("start"))
+    order = Window.partitionBy("__uid").orderBy(place, F.col("term").desc(), "start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.coalesce(F.max(F.when(~F.col("term"), F.col("end"))).over(order), F.lit(0))
+    free = terms.unionByName(spans).withColumn("__reach", reach).where(F.col("term") & (F.col("__reach") <= F.col("start")))
+    return free.groupBy("__uid").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "remove"))).alias("__more"))
 
 
 def written(spans: Column) -> Column:
@@ -243,21 +208,38 @@ def _plain(spans: Column) -> Column:
 
 def spans(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, one row for each row of docs."""
-    found = detect(docs, settings, ["doc_id"])
-    return _listed(found, added_spans(found, disclosing(docs, found, settings)))
+    since = C.mark()
+    found = detect(docs, ["doc_id"])
+    gone = disclosing(docs, found, settings)
+    rows = found.select("__uid", "doc_id", "__spans").join(added_spans(found, gone, settings), "__uid", "left")
+    count = [_count_of(k).alias(f"n_{kind}") for k, kind in enumerate(PATTERNS)]
+    every = F.array_sort(F.concat(_plain(F.col("__spans")), F.coalesce(_plain(F.col("__more")), _none("struct<start:int,kind:int,end:int>"))))
+    out = rows.select("doc_id", *count, F.sha2(written(F.col("__spans")), 256).alias("base_sha256"), written(every).alias("spans"))
+    C.tidy(since, out)
+    return out
 
 
-def disclosure_spans(docs: DataFrame, settings: Whole = Whole()) -> DataFrame:
-    """spans, with terms judged over whole documents."""
-    found = detect_whole(docs, ["doc_id"])
-    return _listed(found, added_whole(found, disclosing_whole(docs, found, settings), settings))
+def replaced(text: Column, every: Column) -> Column:
+    """text with marks in place of spans (ordered by start); where spans overlap the first one's mark stands for all.
 
+    Pieces are cut from blocks of LETTERS letters, as a cut from the whole text would count from its start each time.
+    """
+    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-def _listed(found: DataFrame, more: DataFrame) -> DataFrame:
-    rows = found.select("__uid", "doc_id", "__spans").join(more, "__uid", "left")
-    count = [_count_of(k).alias(f"n_{kind}") for k, kind in enumerate(PATTERNS)]
-    every = F.array_sort(F.concat(_plain(F.col("__spans")), F.coalesce(_plain(F.col("__more")), _none("struct<start:int,kind:int,end:int>"))))
-    return rows.select("doc_id", *count, F.sha2(written(F.col("__spans")), 256).alias("base_sha256"), written(every).alias("spans"))
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / LETTERS).cast("int")
+        near = F.array_join(F.slice(blocks, first + 1, F.floor((F.greatest(b, F.lit(1)) - 1) / LETTERS).cast("int") - first + 1), "")
+        return F.when(b > a, F.substring(near, a - first * LETTERS + 1, b - a)).otherwise("")
+
+    def put(blocks: Column, size: Column, spans_: Column, ends: Column) -> Column:
+        # ends[i]: the furthest end of spans 0..i
+        before = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+        one = lambda x, i: F.when(x["start"] >= before(i), F.concat(piece(blocks, before(i), x["start"]), F.when(x["remove"], F.lit("")).otherwise(F.element_at(marks, x["kind"] + 1)))).otherwise("")
+        return F.concat(F.array_join(F.transform(spans_, one), ""), piece(blocks, F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0)), size))
+
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % LETTERS), F.lit(0))
+    furthest = lambda v: running(F.transform(v, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+    return let(every, lambda v: let(blocks, lambda b: let(furthest(v), lambda e: put(b, F.length(text), v, e))))
 
 
 def sanitise(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -265,34 +247,16 @@ def sanitise(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     Where spans overlap the first one's mark stands for all. Rows without spans keep their text as it is (null too).
     """
-    found = detect(docs, settings, docs.columns)
-    return _cleaned(found, added_spans(found, disclosing(docs, found, settings)), docs.columns)
-
-
-def sanitise_disclosure(docs: DataFrame, settings: Whole = Whole()) -> DataFrame:
-    """sanitise, with terms judged over whole documents."""
-    found = detect_whole(docs, docs.columns)
-    return _cleaned(found, added_whole(found, disclosing_whole(docs, found, settings), settings), docs.columns)
-
-
-def _cleaned(found: DataFrame, more: DataFrame, names: list[str]) -> DataFrame:
-    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    since = C.mark()
+    found = detect(docs, docs.columns)
+    gone = disclosing(docs, found, settings)
     base = F.transform("__spans", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(False).alias("remove")))
     every = F.array_sort(F.concat(base, F.coalesce(F.col("__more"), _none("struct<start:int,kind:int,end:int,remove:boolean>"))))
-    text = F.col("text")
-
-    def step(acc: Column, x: Column) -> Column:
-        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.when(x["remove"], F.lit("")).otherwise(F.element_at(marks, x["kind"] + 1)))
-        return F.when(x["start"] >= acc["at"], F.struct(new.alias("out"), x["end"].alias("at"))).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], x["end"]).alias("at")))
-
-    clean = F.aggregate("__every", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    rows = found.join(more, "__uid", "left").withColumn("__every", every)
-    return rows.select(*[F.when(F.size("__every") > 0, clean).otherwise(text).alias("text") if c == "text" else F.col(c) for c in names])
+    rows = found.join(added_spans(found, gone, settings), "__uid", "left").withColumn("__every", every)
+    out = rows.select(*[F.when(F.size("__every") > 0, replaced(F.col("text"), F.col("__every"))).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    C.tidy(since, out)
+    return out
 
 
 def op5_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans(C.table(spark, sf_dir, "documents"))
-
-
-def op5_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return disclosure_spans(C.table(spark, sf_dir, "documents"))

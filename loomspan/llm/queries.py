@@ -11,7 +11,6 @@ _MODULES = {
     "op3_best_fit_packing": ("packing", "op3_best_fit_packing"),
     "op4_toxicity": ("toxicity", "op4_toxicity"),
     "op5_pii_sanitise": ("pii", "op5_pii_sanitise"),
-    "op5_pii_disclosure": ("pii", "op5_pii_disclosure"),
     "op6_jaccard_join": ("jaccard", "op6_jaccard_join"),
     "op7_warc": ("warc", "op7_warc"),
     "op8_telephony": ("telephony", "op8_telephony"),

@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -213,17 +214,29 @@ def test_pii_base_spans(spark):
 
 
 def test_pii_terms(spark):
-    """A name that stands only with one address is disclosing; a word that is everywhere is not."""
-    texts = [(i, f"please write to Quimby at jo@ex.org today {'x' * i}") for i in range(4)] + [(10 + i, "please write today or be late") for i in range(40)]
+    """A name that stands only with one address is disclosing, in one document or in four; a word that is everywhere is not."""
+    texts = [(i, f"please write to Quimby at jo@ex.org today {'x' * i}") for i in range(4)] + [(10 + i, "please write today or be late") for i in range(400)]
     got = {r.doc_id: r.spans for r in pii.spans(docs_of(spark, texts)).collect()}
     text = texts[0][1]
     a = text.index("Quimby")
     assert got[0] == f"term:{a}:{a + 6},email:{text.index('jo@')}:{text.index('jo@') + 9}" and got[10] == ""
     clean = {r.doc_id: r.text for r in pii.sanitise(docs_of(spark, texts + ODD)).collect()}
-    assert clean[0] == "please write to  at [EMAIL] today " and clean[10] == texts[4][1] and clean[9001] is None
+    assert clean[0] == "please write to [TERM] at [EMAIL] today " and clean[10] == texts[4][1] and clean[9001] is None
     assert pii.sanitise(docs_of(spark, texts)).columns == docs_of(spark, texts).columns
 
 
+def test_pii_of_many_spans_in_one_text(spark):
+    """Work grows with the text: 20,000 addresses, each next to a word that discloses it."""
+    text = "".join(f"𝒳word{chr(97 + k % 26)}q{''.join(chr(97 + int(c)) for c in str(k))} a{k}@b.org é" for k in range(20_000))
+    began = time.perf_counter()
+    docs = docs_of(spark, [(1, text)] + [(2 + i, "plain words") for i in range(99)])
+    got = {r.doc_id: r for r in pii.spans(docs).collect()}
+    assert [x for x in got[1].spans.split(",") if not x.startswith("term")] == brute_spans(text).split(",") and got[1].n_email == 20_000
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}[1]
+    assert clean.count("[EMAIL]") == 20_000 and "@" not in clean and "wordc" not in clean.replace("[TERM]", "")
+    assert time.perf_counter() - began < 60
+
+
 # ---------------------------------------------------------------- 6
 
 

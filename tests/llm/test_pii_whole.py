@@ -39,22 +39,18 @@ def parsed(spans, terms):
 
 def test_terms_of_a_given_table(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
-    got = {r.doc_id: r.spans for r in queries.queries()["op5_pii_disclosure"](spark, SMALL).collect()}
-    plain = {r.doc_id: (r.base_sha256, r.spans) for r in queries.queries()["op5_pii_sanitise"](spark, SMALL).collect()}
-    assert got.keys() == docs.keys() == plain.keys()
+    got = {r.doc_id: r.spans for r in queries.queries()["op5_pii_sanitise"](spark, SMALL).collect()}
+    assert got.keys() == docs.keys()
     ids = sorted(docs)
     base = [parsed(got[i], False) for i in ids]
-    assert base == [parsed(plain[i][1], False) for i in ids]
     want = brute([docs[i] for i in ids], base)
     assert {i: [(a, b) for _, a, b in parsed(got[i], True)] for i in ids} == {i: want[k] for k, i in enumerate(ids)}
     assert sum(map(len, want.values())) > 0
-    assert not any(parsed(s, True) for _, s in plain.values())
 
 
 def test_a_name_far_from_a_value_of_one_document(spark):
     far = "plain words go on and on here " * 5
     texts = [(1, f"Quimby wrote. {far} mail jo@ex.org")] + [(10 + i, f"{far} mail wrote") for i in range(300)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    clean = {r.doc_id: r.text for r in pii.sanitise_disclosure(docs).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert clean[1] == f"[TERM] wrote. {far} mail [EMAIL]" and clean[10] == texts[1][1]
-    assert "Quimby" in {r.doc_id: r.text for r in pii.sanitise(docs).collect()}[1]
