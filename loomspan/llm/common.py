@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Odd multipliers and a per-byte table for polynomial hashes modulo 2**64.
@@ -224,6 +224,31 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         first = last
 
 
+# ---------------------------------------------------------------- labelled samples
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int, max_total: int) -> tuple[DataFrame, float | None]:
+    """(label, text) of a bounded sample of labelled documents, and the share of label 1 among all labels (None: no labels).
+
+    Of each class at most `max_rows` documents and `max_total` bytes of text, in the order of a hash of doc_id; texts of
+    more than `max_bytes` are not in it. Repeated labels count once; a doc_id with both labels has none. Of the texts of a
+    repeated doc_id the least one counts. So the sample depends on the rows and not on their order or partitions.
+    """
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("__most")).where("label = __most").drop("__most")
+    totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    picked = None
+    for y in (0, 1):
+        # orderBy + limit is a bounded top-k, not a sort of the table
+        part = known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+        picked = part if picked is None else picked.unionAll(part)
+    small = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.octet_length("text").between(1, max_bytes))
+    small = small.join(F.broadcast(picked), "doc_id").groupBy("label", "doc_id").agg(F.min("text").alias("text"))
+    w = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sample = small.withColumn("__so_far", F.sum(F.octet_length("text")).over(w)).where(F.col("__so_far") <= max_total)
+    return sample.select("label", "text"), totals.get(1, 0) / sum(totals.values()) if totals else None
+
+
 # ---------------------------------------------------------------- hashes
 
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

@@ -8,7 +8,8 @@ itself compresses well with either and so gains little from the good dictionary.
 
 Null text counts as empty; an empty text has no difference and gets the calibrated score of 0. Repeated rows are
 scored each. Without labelled rows of both classes all rows get the rate of the class that is there (0.5 without
-labels). An empty table gives an empty result. Columns other than doc_id and text are ignored.
+labels). An empty table gives an empty result. Columns other than doc_id and text are ignored. Repeated labels and
+repeated labelled rows count once (common.labelled), so the model doesn't depend on them, nor on any order of rows.
 """
 
 from __future__ import annotations
@@ -74,16 +75,9 @@ class Sizer:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, settings: Settings = Settings()) -> Model:
     s = settings
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
-    totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    prior = totals.get(1, 0) / sum(totals.values()) if totals else 0.5
-    prior = min(max(prior, 1e-6), 1 - 1e-6)
-    picked = None
-    for y in (0, 1):
-        part = known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_rows)
-        picked = part if picked is None else picked.unionAll(part)
-    small = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.octet_length("text").between(1, s.max_bytes))
-    rows = small.join(F.broadcast(picked), "doc_id").select("label", "text").limit(4 * s.max_rows).toPandas()
+    sample, prior = C.labelled(docs, labels, label, s.max_rows, s.max_bytes, s.max_rows * s.max_bytes)
+    prior = min(max(0.5 if prior is None else prior, 1e-6), 1 - 1e-6)
+    rows = sample.toPandas()
     examples = sorted((int(y), bytes(t)) for y, t in zip(rows["label"], rows["text"]))
     np.random.default_rng(5).shuffle(examples)
     held, rest = examples[:: s.calibrate], [e for k, e in enumerate(examples) if k % s.calibrate]

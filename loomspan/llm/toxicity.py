@@ -2,13 +2,14 @@
 
 Words are runs of letters, digits and bytes above 127 in lower case. A document's features are the distinct
 unigrams, bigrams and skip-grams (one word left out), hashed to 2**bits columns. `fit` reads a bounded sample of
-labelled rows (`max_rows` per class, smallest hash of doc_id first) and trains with per-coordinate rates and L1
+labelled rows (`max_rows` and `max_total` bytes of text per class, smallest hash of doc_id first) and trains with per-coordinate rates and L1
 sparsity, so the weights that scoring broadcasts are a few thousand (2**bits at the very most); examples held back
 from a second fit calibrate the score. `score` reads every whole text.
 
 Null text counts as empty and gets the score of a document without features. Repeated rows are scored each.
 Without labelled rows of both classes every document gets the rate of the class that is there (0.0 without labels).
-An empty table gives an empty result. Columns other than doc_id and text are ignored.
+An empty table gives an empty result. Columns other than doc_id and text are ignored. Repeated labels and repeated
+labelled rows count once (common.labelled), so the model doesn't depend on them, nor on any order of rows.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ class Settings:
     bits: int = 20
     max_rows: int = 4000  # labelled rows of each class that fitting reads
     max_bytes: int = 65536  # longer labelled texts are not fitted on
+    max_total: int = 1 << 26  # bytes of text of each class that fitting reads
     alpha: float = 0.3
     beta: float = 1.0
     l1: float = 8.0
@@ -124,18 +126,10 @@ def _sampled_features(bits: int):
 def fit(docs: DataFrame, labels: DataFrame, label: str, settings: Settings = Settings()) -> Model:
     """Train on a bounded sample of the labelled rows of `docs`; labels: (doc_id, <label>) of the rows to learn from."""
     s = settings
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
-    totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if not totals:
+    sample, prior = C.labelled(docs, labels, label, s.max_rows, s.max_bytes, s.max_total)
+    if prior is None:
         return _constant(0.0, s.bits)
-    prior = totals.get(1, 0) / sum(totals.values())
-    picked = None
-    for y in (0, 1):
-        # orderBy + limit is a bounded top-k, not a sort of the table
-        part = known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_rows)
-        picked = part if picked is None else picked.unionAll(part)
-    sample = docs.select("doc_id", "text").where(F.octet_length("text") <= s.max_bytes).join(F.broadcast(picked), "doc_id").select("label", "text")
-    rows = sample.mapInArrow(C.trimmed(_sampled_features(s.bits)), "label int, cols binary").limit(4 * s.max_rows).toPandas()
+    rows = sample.mapInArrow(C.trimmed(_sampled_features(s.bits)), "label int, cols binary").toPandas()
     examples = sorted(((c, int(y)) for y, c in zip(rows["label"], rows["cols"])), key=lambda e: (e[1], bytes(e[0])))
     if len({y for _, y in examples}) < 2:
         return _constant(prior, s.bits)

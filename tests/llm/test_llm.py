@@ -4,6 +4,7 @@ import base64
 import bisect
 import collections
 import hashlib
+import math
 import random
 import re
 import struct
@@ -103,6 +104,94 @@ def test_toxicity_ignores_label_columns(spark):
     assert sorted((r.doc_id, r.score) for r in a) == sorted((r.doc_id, r.score) for r in b)
 
 
+def scalar_ftrl(examples, s):
+    """FTRL-proximal one coordinate at a time: what each weight and the bias are in the end."""
+    z, n, bias = collections.defaultdict(float), collections.defaultdict(float), [0.0, 0.0]
+
+    def weight(j):
+        if abs(z[j]) <= s.l1:
+            return 0.0
+        return (math.copysign(s.l1, z[j]) - z[j]) / ((s.beta + math.sqrt(n[j])) / s.alpha + s.l2)
+
+    def shift():
+        return -bias[0] / ((s.beta + math.sqrt(bias[1])) / s.alpha)
+
+    order = np.random.default_rng(7)
+    for _ in range(s.epochs):
+        for k in order.permutation(len(examples)):
+            x, y = examples[k]
+            w, b = {j: weight(j) for j in x.tolist()}, shift()
+            g = 1 / (1 + math.exp(-sum(w.values()) - b)) - y
+            for j in w:
+                z[j] += g - (math.sqrt(n[j] + g * g) - math.sqrt(n[j])) / s.alpha * w[j]
+                n[j] += g * g
+            bias[0] += g - (math.sqrt(bias[1] + g * g) - math.sqrt(bias[1])) / s.alpha * b
+            bias[1] += g * g
+    return {j: weight(j) for j in z if weight(j)}, shift()
+
+
+def test_ftrl_equals_a_scalar_loop():
+    rng = np.random.default_rng(3)
+    examples = [(np.unique(rng.integers(0, 40, 12)).astype(np.int32), 0) for _ in range(60)]
+    examples = [(x, int((x < 8).sum() > 2)) for x, _ in examples]
+    s = toxicity.Settings(bits=6, l1=0.5)
+    model, (weights, bias) = toxicity.train(examples, s), scalar_ftrl(examples, s)
+    assert model.index.tolist() == sorted(weights) and 0 < len(weights) < 40
+    assert model.weight.tolist() == pytest.approx([weights[j] for j in sorted(weights)], rel=1e-9) and model.bias == pytest.approx(bias, rel=1e-9)
+
+
+def brute_features(text):
+    """The distinct unigrams, bigrams and skip-grams of a text."""
+    w = re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
+    return {(a,) for a in w} | set(zip(w, w[1:])) | {(a, None, b) for a, b in zip(w, w[2:])}
+
+
+def test_toxicity_features_and_scores(spark):
+    texts = ["a b a b c", "One two, THREE two one", "", "é x é x", "word " * 30]
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]).astype(np.int64)
+    row, col = toxicity.features(*common.joined(offsets, np.frombuffer("".join(texts).encode(), np.uint8), 0, len(texts)), 40)
+    assert [len(np.unique(col[row == i])) for i in range(len(texts))] == [len(brute_features(t)) for t in texts]
+    row, col = toxicity.features(*common.joined(offsets, np.frombuffer("".join(texts).encode(), np.uint8), 0, len(texts)), 12)
+    index = np.unique(col)[::2]
+    model = toxicity.Model(index, np.linspace(-1, 1, len(index)), 0.25, 12)
+    weights = dict(zip(index.tolist(), np.linspace(-1, 1, len(index)).astype(np.float32).tolist()))
+    got = {r.doc_id: r.score for r in toxicity.score(docs_of(spark, list(enumerate(texts))), model).collect()}
+    for i in range(len(texts)):
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-0.25 - sum(weights.get(j, 0.0) for j in set(col[row == i].tolist())))), abs=1e-7)
+
+
+def test_quality_scores_are_size_differences(spark):
+    """The score is the calibrated difference of the sizes of all blocks of the whole text under either dictionary."""
+    import zstandard
+
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    texts = sample(spark, 60) + [t for t in ODD if t[0] is not None and t[0] != 9009]
+    model = compression_quality.fit(docs_of(spark, sample(spark)), labels, "quality")
+    size = lambda raw, block: len(zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=False, write_checksum=False, write_dict_id=False).compress(block))
+    got = {r.doc_id: r.score for r in compression_quality.score(docs_of(spark, texts), model).collect()}
+    for i, t in texts:
+        body = (t or "").encode()
+        blocks = [body[k : k + model.block] for k in range(0, len(body), model.block)]
+        d = sum(size(model.bad, b) - size(model.good, b) for b in blocks) / max(len(body), 1)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-35, min(35, d * model.slope + model.shift)))), abs=1e-8)
+
+
+@pytest.mark.parametrize("module,label", [(compression_quality, "quality"), (toxicity, "toxic")])
+def test_fits_ignore_order_and_repeats(spark, module, label):
+    labels, docs = spark.read.parquet(f"{SMALL}/labels.parquet"), docs_of(spark, sample(spark))
+    one = module.fit(docs, labels, label)
+    both = labels.select("doc_id", label).limit(0).unionAll(spark.createDataFrame([(777_777, 0), (777_777, 1)], f"doc_id long, {label} int").select("doc_id", F.col(label).cast(labels.schema[label].dataType)))
+    two = module.fit(docs.unionAll(docs).repartition(7), labels.select("doc_id", label).unionAll(labels.select("doc_id", label)).unionAll(both).repartition(5), label)
+    assert all(np.array_equal(getattr(one, f), getattr(two, f)) for f in one.__dataclass_fields__)
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    docs = docs_of(spark, [(i, "x" * 1000) for i in range(50)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    sample_, prior = common.labelled(docs, labels, "toxic", 20, 2000, 5500)
+    assert prior == 0.5 and {r.label: r.n for r in sample_.groupBy("label").agg(F.count("*").alias("n")).collect()} == {0: 5, 1: 5}
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -486,6 +575,48 @@ def test_pipeline_stages(spark):
     assert sum(r.length for r in docs.collect()) > 0 and docs.select("doc_id").distinct().count() == len(before)
 
 
+def pipeline_rows(spark):
+    """Documents with nulls, empty and long texts, repeated rows, shared ids and columns that clash with inner names."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    one, long_ = " ".join(word() for _ in range(120)), " ".join(word() for _ in range(30_000))
+    near = one.replace(one.split()[60], "other", 1)
+    texts = [(1, one), (1, one), (2, "plain words"), (3, near), (4, None), (4, None), (5, ""), (6, " \n"), (7, long_), (7, long_), (8, "日本 é 𝒳 " * 20), (None, "no id at all here"), (None, "no id at all here"), (None, one), (9, "mail me at jo@ex.org"), (9, "another text of nine, quite unlike"), (10, "two words"), (11, "two words")]
+    return spark.createDataFrame([(i, t, "s", 1, 2, 3, i or 0) for i, t in texts], "doc_id long, text string, source string, rows int, component_id int, spans int, n_chars int"), texts
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Each stage gets what the one before it kept; the group of `one` is rows 1, 1, 3 and the one without an id."""
+    import corpus_pipeline
+
+    docs, texts = pipeline_rows(spark)
+    one, long_ = texts[0][1], texts[8][1]
+    results = {}
+    for name, stage in corpus_pipeline.STAGES:
+        after = common.materialise(stage(spark, docs, SMALL))
+        if name != "packing":
+            assert after.columns == docs.columns
+            results[name] = collections.Counter((r.doc_id, r.text) for r in after.collect())
+        docs = after
+    assert results["toxicity"] == collections.Counter(texts)
+    kept = [(1, one), (2, "plain words"), (4, None), (5, ""), (6, " \n"), (7, long_), (8, texts[10][1]), (None, "no id at all here"), *texts[14:16], (10, "two words")]
+    assert results["jaccard_join"] == results["repeated_spans"] == collections.Counter(kept)
+    clean = dict(results["pii"].keys())
+    assert sum(results["pii"].values()) == len(kept) and clean[1] == one and clean[4] is None and any("[EMAIL]" in (t or "") for _, t in results["pii"])
+    pieces = collections.Counter(r.doc_id for r in docs.collect())
+    assert set(pieces) == {i for i, _ in kept} and pieces[7] > 10 and pieces[4] == 1
+
+
+def test_jaccard_stage_of_repeated_rows(spark):
+    """A thousand equal rows are one document."""
+    import corpus_pipeline
+
+    text = " ".join(f"w{k}" for k in range(100))
+    docs = docs_of(spark, [(5, text)] * 1000 + [(6, text + " more"), (7, "short"), (7, "short")])
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, SMALL).collect())
+    assert got == {(5, text): 1, (7, "short"): 1}
+
+
 def test_pipeline_on_an_empty_table(spark):
     import corpus_pipeline
 
