@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Odd multipliers and a per-byte table for polynomial hashes modulo 2**64.
@@ -77,20 +77,36 @@ def tidy(since: int, *used: DataFrame) -> None:
             _delete(used[0].sparkSession, path)
 
 
-#: Keys that have this share of the rows or more are joined by broadcast, so there are at most so many of them.
+#: Keys with more than one in HOT of the rows are split, so there are fewer than HOT of them.
 HOT = 512
 
 
-def split_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
-    """left join right on keys (inner or left), right being a materialised table with one row for each key.
+def hot_keys(counts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """(keys, ways) of the keys with more than 1 / HOT of all rows, from a materialised (keys, n): fewer than HOT rows, for broadcasts."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.where(F.col(n) * HOT > total).select(*keys, F.ceil(F.col(n) * HOT / F.lit(max(total, 1))).cast("int").alias("__ways"))
 
-    n says how many rows of left a key has. Keys with 1 / HOT or more of these rows, at most HOT by that, are broadcast, and
-    their rows stay where they are; the others are shuffled, none having more than that share. The same holds at every size.
+
+def hot_in_sample(rows: DataFrame, keys: list[str], by: str, one_in: int = 64) -> DataFrame:
+    """hot_keys as one in 64 of the values of `by` shows them, for rows that would be dear to count. Only how rows are dealt hangs on it."""
+    some = rows.where(F.pmod(F.xxhash64(by, F.lit(77)), F.lit(one_in)) == 0)
+    return hot_keys(materialise(some.groupBy(*keys).agg(F.count("*").alias("n")), "sample"), keys, "n")
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, salt: Column, how: str = "inner") -> DataFrame:
+    """left join right on keys (inner or left); right has one row for each key. Rows of a hot key are dealt to its `ways`.
+
+    Right's rows of such keys are there once for each way. salt: a long of left's rows that spreads them.
     """
-    total = right.agg(F.sum(n)).first()[0] or 0
-    hot = right.where(F.col(n) * HOT >= total)
-    plain = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(n) * HOT < total), keys, how)
-    return plain.unionByName(left.join(F.broadcast(hot), keys).select(*plain.columns))
+    way = F.coalesce(F.pmod(salt, F.col("__ways")), F.lit(0)).cast("int")
+    left = left.join(F.broadcast(hot), keys, "left").withColumn("__way", way).drop("__ways")
+    right = right.join(F.broadcast(hot), keys, "left").withColumn("__way", F.explode(F.sequence(F.lit(0), F.coalesce("__ways", F.lit(1)) - 1))).drop("__ways")
+    return left.join(right, [*keys, "__way"], how).drop("__way")
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, salt: Column, how: str = "inner") -> DataFrame:
+    """salted_join with a materialised right whose column n says how many rows of left a key has."""
+    return salted_join(left, right, keys, hot_keys(right, keys, n), salt, how)
 
 
 #: Rows of an Arrow batch of whole texts; Spark's default of 10,000 would be 35 MB of text on both sides of each worker.

@@ -15,14 +15,16 @@ documents link when 100 * |A & B| >= percent * |A | B|. The join is exact:
 5. Buckets of rare tokens are small and pair up. In a bucket of frequent tokens every member pairs with the member that
    has the fewest tokens of its own. Buckets that are one component after these pairs are verified need no others. What
    is left in different components pairs up where it can be similar: by what sets lack or have beside their head's
-   usual tokens (`delta_pairs`), so the near copies of a large group don't all meet.
+   usual tokens (`delta_pairs`), and there only by as many of their rarest deltas as they need, so the near copies of a
+   large group don't all meet.
 6. Every pair is verified on whole sets. Components come from repeated minimum labels with pointer jumps; all of this
    stays in tables.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing. Texts with fewer words than a
 shingle have their whole word sequence as one. Rows that repeat a doc_id are one document, linked when any of its texts
 are. Null doc_ids keep their set size and have no component (null). An empty table gives an empty result; further
-columns are ignored.
+columns are ignored. Very long texts are hashed one at a time. Tokens, bucket heads and groups that hold a large share of the rows are
+dealt to several tasks (common.salted_join).
 """
 
 from __future__ import annotations
@@ -137,14 +139,15 @@ def whole_sets(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def shared_tokens(sets: DataFrame, s: Settings) -> DataFrame:
-    """(node, n, tokens): the tokens that another set has too, rarest first; sets with too few of them are gone.
+    """(node, n, tokens): the tokens that another row has too, rarest first; sets with too few of them are gone.
 
-    sets: materialised (node, n, tokens).
+    sets: materialised (node, n, tokens). Equal rows become one; a node of several texts has several sets.
     """
-    rows = sets.select("node", "n", F.explode("tokens").alias("token"))
+    rows = sets.select("node", "n", F.hash("tokens").alias("__set"), F.explode("tokens").alias("token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    found = rows.join(counts, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
-    return found.where(F.size("tokens") * 100 >= F.col("n") * s.percent)
+    hot = C.hot_in_sample(rows, ["token"], "node")
+    found = C.salted_join(rows, counts, ["token"], hot, F.xxhash64("node")).groupBy("node", "n", "__set").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("tokens"))
+    return found.where(F.size("tokens") * 100 >= F.col("n") * s.percent).drop("__set")
 
 
 def buckets(shared: DataFrame, s: Settings) -> DataFrame:
@@ -168,11 +171,13 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, shared: DataFrame, s: Settings) -> DataFrame:
-    """Of distinct (x, y) those that are similar."""
+    """Of distinct (x, y) those that are similar. Each node's tokens meet its pairs; nodes of many pairs in many tasks."""
+    pairs = C.materialise(pairs.distinct(), "pairs")
     tokens = shared.select("node", "n", F.transform("tokens", lambda t: t["token"]).alias("tokens"))
     left = tokens.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx"))
     right = tokens.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty"))
-    both = pairs.join(left, "x").join(right, "y")
+    hot = lambda c: C.hot_keys(C.materialise(pairs.groupBy(c).agg(F.count("*").alias("n")), "partners"), [c], "n")
+    both = C.salted_join(C.salted_join(pairs, left, ["x"], hot("x"), F.xxhash64("y")), right, ["y"], hot("y"), F.xxhash64("x"))
     common = F.size(F.array_intersect("tx", "ty"))
     return both.where(common * (100 + s.percent) >= (F.col("nx") + F.col("ny")) * s.percent).select("x", "y").distinct()
 
@@ -198,10 +203,7 @@ def promising(digest: DataFrame, s: Settings) -> DataFrame:
     rows = digest.where("n > 0 and doc_id is not null")
     seen = rows.select("h1", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
     seen = C.materialise(seen, "seen")
-    if (bitmap := C.bitmap_of(seen, s.bitmap_limit)) is None:
-        k = rows.select("doc_id", "need", F.explode("prefix").alias("key")).join(seen, "key").groupBy("doc_id", "need").agg(F.count("*").alias("k"))
-        return k.where("k >= need").select(F.col("doc_id").alias("node")).distinct()
-    bits, words = bitmap
+    bits, words = C.bitmap_of(seen, s.bitmap_limit)
     shared = digest.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,52 +220,58 @@ def promising(digest: DataFrame, s: Settings) -> DataFrame:
 
 
 def sets_for(docs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
-    """(node, n, tokens) of the documents in `nodes`; a few others may be there. Texts are not shuffled if a bitmap will do."""
+    """(node, n, tokens) of the documents in `nodes`; a few others may be there, which later steps drop. Texts are not shuffled."""
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     bitmap = C.bitmap_of(nodes.select(F.xxhash64("node").alias("key")), s.bitmap_limit)
-    if bitmap is None:
-        docs = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id")
     return whole_sets(C.likely(docs, F.xxhash64("doc_id"), bitmap), s).where("n > 0")
 
 
 def delta_pairs(members: DataFrame, shared: DataFrame, s: Settings) -> DataFrame:
-    """Distinct pairs (x, y) of different components among the members of each head that can be similar.
-
-    members: (head, node, n, component). Let U be the tokens that more than half of a head's members have, and the delta
-    of x its d(x) tokens of U that it lacks and its tokens outside U. Two members have |U| - d(x) - d(y) + s tokens in
-    common, s the size of their deltas' intersection. With s = 0 they are similar just if g(x) + g(y) is at most
-    (100 + percent) |U|, where g(x) = (100 + percent) d(x) + percent n(x); then either is similar to the member of least
-    g, too. So that member is paired with all, and the others only where they share delta tokens, enough of them.
+    """Pairs (x, y) of different components among the members of each head that can be similar.
+
+    members: materialised (head, node, n, component). Let U be the tokens that more than half of a head's members have, and
+    the delta of x its d(x) tokens of U that it lacks and its tokens outside U. Two members have |U| - d(x) - d(y) + s tokens in
+    common, s the size of their deltas' intersection. With g(x) = (100 + percent) d(x) + percent n(x) they are similar just if
+    (100 + percent) (|U| + s) >= g(x) + g(y). With s = 0, either is similar to the member of least g, too; so that member is
+    paired with all. With s > 0 they share delta tokens, x at least as many as its need, (g(x) + least g) / (100 + percent) - |U|:
+    so of its delta, rarest tokens first, only the first |delta| - need + 1 are indexed, and two similar members meet there.
     Near copies of one text share most tokens and few of their deltas.
     """
-    plain = shared.select("node", F.transform("tokens", lambda t: t["token"]).alias("tokens"))
-    known = members.join(plain, "node")
-    size = members.groupBy("head").agg(F.count("*").alias("m"))
+    known = members.join(shared.select("node", "tokens"), "node")
+    size = C.materialise(members.groupBy("head").agg(F.count("*").alias("m")), "heads")
+    hot, by = C.hot_keys(size, ["head"], "m"), F.xxhash64("node")
     counts = known.select("head", F.explode("tokens").alias("token")).groupBy("head", "token").agg(F.count("*").alias("c"))
-    usual = counts.join(size, "head").where("2 * c > m").groupBy("head").agg(F.collect_list("token").alias("usual"))
-    usual = size.select("head").join(usual, "head", "left").withColumn("usual", F.coalesce("usual", F.expr("cast(array() as array<bigint>)")))
+    usual = C.salted_join(counts, size, ["head"], hot, F.xxhash64("token")).where("2 * c > m").groupBy("head").agg(F.collect_list("token").alias("usual"))
+    usual = size.select("head").join(usual, "head", "left").withColumn("usual", F.coalesce("usual", F.expr("cast(array() as array<struct<df:bigint,token:bigint>>)")))
     whole, p = 100 + s.percent, s.percent
-    delta = known.join(usual, "head").withColumns({"lacks": F.array_except("usual", "tokens"), "adds": F.array_except("tokens", "usual"), "u": F.size("usual")})
-    delta = C.materialise(delta.select("head", "node", "n", "component", "u", F.size("lacks").alias("d"), F.concat("lacks", "adds").alias("delta")), "deltas")
-    least = delta.groupBy("head").agg(F.min(F.struct((F.col("d") * whole + F.col("n") * p).alias("g"), "node", "component")).alias("y")).select("head", F.col("y.node").alias("y"), F.col("y.component").alias("own"))
-    central = delta.select("head", F.col("node").alias("x"), "component").join(least, "head").where("component <> own").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    rows = delta.select("head", "node", "n", "component", "u", "d", F.size("delta").alias("k"), F.explode("delta").alias("token"))
+    delta = C.salted_join(known, usual, ["head"], hot, by).withColumns({"lacks": F.array_except("usual", "tokens"), "adds": F.array_except("tokens", "usual"), "u": F.size("usual")})
+    g = F.size("lacks") * whole + F.col("n") * p
+    delta = C.materialise(delta.select("head", "node", "n", "component", "u", g.alias("g"), F.array_sort(F.concat("lacks", "adds")).alias("delta")), "deltas")
+    least = delta.groupBy("head").agg(F.min(F.struct("g", "node", "component")).alias("least"))
+    delta = C.salted_join(delta, least, ["head"], hot, by)
+    central = delta.where(F.col("component") != F.col("least.component")).select(F.least("node", "least.node").alias("x"), F.greatest("node", "least.node").alias("y"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("g") + F.col("least.g") - F.col("u") * whole) / whole))
+    indexed = F.slice("delta", F.lit(1), F.greatest(F.lit(0), F.size("delta") - need + 1).cast("int"))
+    rows = delta.select("head", "node", "n", "component", "u", "g", F.size("delta").alias("k"), F.explode(indexed).alias("token"))
     u, v = rows.alias("u"), rows.alias("v")
-    need = (F.col("u.n") + F.col("v.n")) * p - (F.col("u.u") - F.col("u.d") - F.col("v.d")) * whole  # of s, times `whole`
-    fits = _fits(F.col("u.n"), F.col("v.n"), p) & (need <= F.least("u.k", "v.k") * whole)
+    fits = _fits(F.col("u.n"), F.col("v.n"), p) & (F.col("u.g") + F.col("v.g") <= (F.col("u.u") + F.least("u.k", "v.k")) * whole)
     both = u.join(v, (F.col("u.head") == F.col("v.head")) & (F.col("u.token") == F.col("v.token")) & (F.col("u.component") < F.col("v.component")) & fits)
-    both = both.groupBy(F.col("u.head").alias("head"), F.col("u.node").alias("a"), F.col("v.node").alias("b"), need.alias("need")).agg(F.count("*").alias("s")).where(F.col("s") * whole >= F.col("need"))
-    return central.unionAll(both.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))).distinct()
+    return central.unionAll(both.select(F.least("u.node", "v.node").alias("x"), F.greatest("u.node", "v.node").alias("y")))
 
 
-def links(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(documents, node components): doc_id, n, node of every document; node, component of linked nodes."""
+def links(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, node components, hot nodes): doc_id, n, node of every document; node, component of linked nodes."""
     prefixes = C.materialise(digests(docs, s), "digests")
     digest = C.materialise(prefixes.select("doc_id", "n", "h1", "h2"), "sizes")
     classes = digest.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     classes = C.materialise(classes, "classes")
+    documents = C.split_join(digest, classes, ["n", "h1", "h2"], "copies", F.xxhash64("doc_id"), "left")
+    documents = C.materialise(documents.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")), "documents")
     # Copies share all tokens, but only with themselves: of each class its node alone is joined.
-    spare = digest.join(classes.where("copies > 1"), ["n", "h1", "h2"]).where("doc_id <> node").select(F.col("doc_id").alias("node")).distinct()
+    spare = documents.where("doc_id <> node").select(F.col("doc_id").alias("node")).distinct().join(classes.select("node"), "node", "left_anti")
+    # A doc_id with several texts holds their classes together.
+    own = documents.where("n > 0").groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("__most")).where("x <> __most")
+    held = own.join(documents, "doc_id").where("x <> node").select("x", F.col("node").alias("y")).distinct()
     stay = C.materialise(promising(prefixes, s).join(spare, "node", "left_anti"), "stay")
     C.discard(prefixes)
     sets = C.materialise(sets_for(docs, stay, s), "sets")
@@ -275,28 +283,31 @@ def links(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     other = rare.select("a", F.col("node").alias("y"), F.col("n").alias("ny"))
     small = rare.join(other, "a").where((F.col("node") < F.col("y")) & _fits(F.col("n"), F.col("ny"), s.percent)).select(F.col("node").alias("x"), "y")
     often = index.where("many")
+    hot, by = C.hot_in_sample(often, ["a", "b"], "node"), F.xxhash64("node")
     heads = often.groupBy("a", "b").agg(F.min(F.struct("own", "node", "n")).alias("head"), F.count("*").alias("members")).where("members > 1").select("a", "b", "head")
-    stars = often.join(heads, ["a", "b"]).where((F.col("node") != F.col("head.node")) & _fits(F.col("n"), F.col("head.n"), s.percent))
+    stars = C.salted_join(often, heads, ["a", "b"], hot, by).where((F.col("node") != F.col("head.node")) & _fits(F.col("n"), F.col("head.n"), s.percent))
     stars = stars.select(F.least("node", "head.node").alias("x"), F.greatest("node", "head.node").alias("y"))
-    first = C.materialise(verified(small.unionAll(stars).distinct(), shared, s), "links")
+    first = C.materialise(verified(small.unionAll(stars), shared, s).unionAll(held), "links")
     labels = components(first)
 
     # What frequent buckets still hold in different components.
-    placed = often.join(heads, ["a", "b"]).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = C.salted_join(often, heads, ["a", "b"], hot, by).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("a", "b").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("a", "b")
-    members = placed.join(split, ["a", "b"]).select(F.col("head.node").alias("head"), "node", "n", "component").distinct()
+    members = C.salted_join(placed, split, ["a", "b"], hot, by).select(F.col("head.node").alias("head"), "node", "n", "component").distinct()
     second = C.materialise(verified(delta_pairs(C.materialise(members, "members"), shared, s), shared, s), "links")
     if second.limit(1).count():
         labels = components(first.unionAll(second))
-    nodes = digest.select("doc_id", "n", "h1", "h2").join(classes.select("n", "h1", "h2", "node"), ["n", "h1", "h2"], "left")
-    return nodes.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")), labels
+    return documents, labels, C.hot_keys(classes.groupBy("node").agg(F.sum("copies").alias("n")), ["node"], "n")
 
 
 def jaccard_components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each row of docs."""
-    documents, labels = links(docs, settings)
-    out = documents.join(labels, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    since = C.mark()
+    documents, labels, hot = links(docs, settings)
+    out = C.salted_join(documents, labels, ["node"], hot, F.xxhash64("doc_id"), "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    C.tidy(since, out)
+    return out
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ nearer to 1. Terms at `generalise` or more become [TERM], at `remove` or more th
 occurrences outside base spans are spans of kind `term`.
 
 Counts are over all documents and whole texts, aggregated before they are shuffled. Values, terms and pairs that many
-documents have meet their counts by C.split_join. Work in one document is linear in its text and its spans: positions
+documents have are dealt to several tasks (common.split_join). Work in one document is linear in its text and its spans: positions
 come from running sums over arrays in blocks (`running`), overlaps from a running maximum over ordered spans.
 
 Null text counts as empty: no spans. Repeated rows count as documents each, and get equal spans. Values are compared in
@@ -163,18 +163,18 @@ def disclosing(docs: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
     p = F.col("ne") / (F.col("total") + 1)
     most = (F.col("ne") + s.prior * p) * F.pow(p, F.lit(s.generalise - 1)) * (1 + 1e-9) - s.prior
     groups = C.materialise(groups.crossJoin(total).withColumns({"p": p, "most": most}), "values")
-    of = C.split_join(values, groups, ["value"], "ne").select("__uid", "h1", "h2", "ne", "p", "most").distinct()
+    of = C.split_join(values, groups, ["value"], "ne", F.xxhash64("__uid")).select("__uid", "h1", "h2", "ne", "p", "most").distinct()
     terms = docs.select(F.explode(_words(F.coalesce(F.col("text"), F.lit("")), s)).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
     limit = F.broadcast(groups.agg(F.max("most").alias("limit")))  # one row
     own = held.select("__uid", F.explode(_words(F.col("__text"), s)).alias("term"))
     # only terms of rows with spans matter, counted there as well, as these are the rows that meet them
     rare = C.materialise(own.groupBy("term").agg(F.count("*").alias("held")).join(terms.crossJoin(limit).where(F.col("nt") <= F.col("limit")).drop("limit"), "term"), "terms")
-    words = C.split_join(own, rare, ["term"], "held").select("__uid", "term", "nt")
+    words = C.split_join(own, rare, ["term"], "held", F.xxhash64("__uid")).select("__uid", "term", "nt")
     pairs = C.materialise(words.join(of, "__uid").where(F.col("nt") <= F.col("most")), "pairs")
     counted = pairs.groupBy("h1", "h2", "ne", "p", "term", "nt").agg(F.count("*").alias("net"))
     disclosure = F.log((F.col("net") + s.prior * F.col("p")) / (F.col("nt") + s.prior) / F.col("p")) / -F.log("p")
     risky = counted.withColumn("disclosure", disclosure).where(F.col("disclosure") >= s.generalise).select("h1", "h2", "ne", "term", "net", (F.col("disclosure") >= s.remove).alias("remove"))
-    gone = C.split_join(pairs.drop("p", "nt", "most"), C.materialise(risky, "risky"), ["h1", "h2", "ne", "term"], "net")
+    gone = C.split_join(pairs.drop("p", "nt", "most"), C.materialise(risky, "risky"), ["h1", "h2", "ne", "term"], "net", F.xxhash64("__uid"))
     return C.materialise(gone.groupBy("__uid", "term").agg(F.max("remove").alias("remove")), "gone")
 
 

@@ -3,21 +3,23 @@
 Triggers: a rolling hash of `trigger` bytes runs over the text; in each window of `length` bytes the trigger of least
 hash (leftmost among equals) is that window's. A window's trigger depends on its bytes alone, so equal windows have
 theirs at the same place. Consecutive windows with the same trigger make one phrase: the bytes from the first such
-window's start to the last one's end. Phrases overlap like those of a prefix-free parse, and every window lies in exactly
-one phrase.
+window's start to the last one's end. Every window lies in exactly one phrase.
 
 Dictionary: phrases counted by (trigger, phrase). If a phrase occurs twice, all its windows repeat. If all phrases of a
 trigger are one, there is nothing else to find; a trigger that occurs once has no repeats. What is left are triggers
-with different phrases, at the edges of repeats. There the dictionary's suffixes are put in order: one copy of each
-phrase is taken, the suffixes at its windows are sorted by their keys (a hash of the suffix cut at `length` bytes,
-where comparisons end), and runs of equal neighbours are repeats. The corpus order of a highly repetitive text thus
-comes from its dictionary, whose size follows the distinct text, not the copies. Phrases meet by trigger in sorted
-partitions; those of a trigger with more than `crowd` phrases meet by suffix key instead, so no task gets them all.
+with different phrases, at the edges of repeats. One copy of each such phrase is taken, and phrases meet by trigger in
+sorted partitions. There their bytes are put into corpus order (`corpus_order`): they are parsed once more, into short
+phrases that end at the next trigger and overlap by it; the suffix array of these phrases' dictionary and the suffix array
+of the parse combine into the order of all suffixes, as the bytes up to the next trigger are prefix-free and what follows
+them is a suffix of the parse. Windows that repeat are neighbours in that order with `length` bytes in common. The sorting
+follows the distinct text and not the copies. Triggers with more than `crowd` phrases would make one task large: these
+are split by the windows themselves, whose hashes are counted before they are shuffled, so no task gets them all.
 
 Texts are UTF-8 bytes, null counts as empty; matches never cross documents, and a document may match itself. Strings
 are judged on the input, not on what is left. Repeated rows match each other whole where they have 200 bytes. Shorter
-texts have no such string and stay. doc_ids may repeat or be null: rows are told apart by doc_id and a hash of the text,
-and rows that are equal in both get equal results. An empty table gives an empty result.
+texts have no such string and stay; long ones are parsed one at a time. doc_ids may repeat or be null: rows are told apart
+by doc_id and a hash of the text, and rows that are equal in both get equal results. An empty table gives an empty result;
+`remove_repeats` keeps further columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +40,9 @@ from loomspan.llm import common as C
 class Settings:
     length: int = 200
     trigger: int = 64
-    crowd: int = 4096
+    crowd: int = 2048
+    inner: int = 8  # bytes of a trigger of the second parse
+    modulus: int = 32  # one in so many places has one
 
 
 def phrases(data: np.ndarray, prefix: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,28 +136,109 @@ def _suffix_keys(bodies: pa.Array, trigger: np.ndarray, s: Settings) -> tuple[np
     return who, at, C.span_hash(prefix, begin, begin + s.length) + C.mix(trigger.view(np.uint64))[who]
 
 
-def _equal_neighbours(bodies: pa.Array, trigger: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(phrase number, first window, last window) of the runs of windows whose suffixes stand more than once."""
-    who, at, key = _suffix_keys(bodies, trigger, s)
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
-    hit = np.zeros(len(key), bool)
+def suffix_ranks(first: np.ndarray, left: np.ndarray, seen: int) -> np.ndarray:
+    """The suffix array of some strings in a row, as ranks (equal suffixes share one), by prefix doubling.
+
+    first: a key of the `seen` symbols from each place on, 0 beyond the string's end; left: symbols to the string's end. Only
+    suffixes that are not yet alone, and not yet compared to their ends, are sorted again.
+    """
+    _, of, counts = np.unique(first, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(counts) - counts)[of]
+    n = np.int64(len(rank) + 1)
+    live = np.flatnonzero((counts[of] > 1) & (left >= seen))
+    while len(live):
+        after = np.zeros(len(live), np.int64)
+        inside = left[live] > seen
+        after[inside] = rank[live[inside] + seen] + 1
+        key = rank[live] * n + after
+        order = np.argsort(key, kind="stable")
+        live, key = live[order], key[order]
+        group = key // n
+        place = np.arange(len(key))
+        group_start = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]]), place, 0))
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        key_start = np.maximum.accumulate(np.where(new, place, 0))
+        rank[live] = group + key_start - group_start
+        size = np.diff(np.append(np.flatnonzero(new), len(key)))
+        seen *= 2
+        live = live[(np.repeat(size, size) > 1) & (left[live] >= seen)]
+    return rank
+
+
+def _ends(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, how many follow to the string's end) of the strings [begin, end), one after the other."""
+    size = end - begin
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return at + np.repeat(begin, size), np.repeat(size, size) - at
+
+
+def corpus_order(data: np.ndarray, begin: np.ndarray, end: np.ndarray, prefix: np.ndarray, s: Settings) -> np.ndarray:
+    """A number for each byte of the texts [begin, end) of data, ascending in the order of the texts' suffixes (equal: equal).
+
+    Prefix-free parsing: triggers cut the texts into phrases, which overlap by a trigger. A suffix is first ordered by the
+    rest of its phrase, that is by the dictionary's suffix array, and then by the phrases after it, by that of the parse.
+    """
+    where, left = _ends(begin, end)
+    whole = np.flatnonzero(left >= s.inner)
+    places = where[whole]
+    is_start = np.zeros(len(where), bool)
+    is_start[whole] = C.span_hash(prefix, places, places + s.inner) % np.uint64(s.modulus) == 0
+    is_start[np.cumsum(end - begin)[end > begin] - (end - begin)[end > begin]] = True
+    starts = np.flatnonzero(is_start)  # of phrases, in `where`
+    text = np.repeat(np.arange(len(begin)), end - begin)
+    last = np.append(text[starts[1:]] != text[starts[:-1]], True)  # the last phrase of its text
+    size = np.where(last, left[starts], np.append(starts[1:], 0) - starts + s.inner)
+    # the dictionary: one copy of each phrase
+    a = where[starts]
+    _, one, of = np.unique(C.span_hash(prefix, a, a + size), return_index=True, return_inverse=True)
+    inside, rest = _ends(a[one], a[one] + size[one])
+    symbols, first = data[inside].astype(np.int64) + 1, np.zeros(len(inside), np.int64)
+    for k in range(7):  # seven symbols of nine bits
+        ahead = np.zeros(len(inside), np.int64)
+        ahead[: max(0, len(inside) - k)] = symbols[k:]
+        first = first << 9 | np.where(rest > k, ahead, 0)
+    dictionary = suffix_ranks(first, rest, 7)
+    phrase_at = np.cumsum(size[one]) - size[one]
+    # the parse: phrases by their rank in the dictionary
+    per_text = np.bincount(text[starts], minlength=len(begin))
+    _, follow = _ends(np.cumsum(per_text) - per_text, np.cumsum(per_text))
+    parse = suffix_ranks(dictionary[phrase_at[of]] + 1, follow, 1)
+    next_ = np.where(last, 0, np.append(parse[1:], 0) + 1)
+    phrase = np.cumsum(is_start) - 1
+    rest_of = dictionary[phrase_at[of][phrase] + np.arange(len(where)) - starts[phrase]]
+    return rest_of * np.int64(len(starts) + 1) + next_[phrase]
+
+
+def _equal_neighbours(bodies: pa.Array, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase number, first window, last window) of the runs of windows that stand more than once."""
+    offsets, data = C.text_bytes(bodies)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    prefix = C.prefix_hash(data)
+    number = corpus_order(data, offsets[:-1], offsets[1:], prefix, s)
+    begin, left = _ends(offsets[:-1], offsets[1:])
+    begin = begin[left >= s.length]
+    order = begin[np.argsort(number[begin], kind="stable")]
+    string = C.span_hash(prefix, order, order + s.length)
+    same = string[1:] == string[:-1]
+    hit = np.zeros(len(data), bool)
     hit[order[1:][same]] = hit[order[:-1][same]] = True
     where = np.flatnonzero(hit)
     if not len(where):
         return (np.zeros(0, np.int64),) * 3
-    new = np.concatenate([[True], (np.diff(where) != 1) | (np.diff(who[where]) != 0)])
+    who = np.searchsorted(offsets, where, "right") - 1
+    new = np.concatenate([[True], (np.diff(where) != 1) | (np.diff(who) != 0)])
     last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(where) - 1]])
-    return who[where[new]], at[where[new]], at[where[last]]
+    at = where - offsets[who]
+    return who[new], at[new], at[last]
 
 
-def sorted_suffixes(texts: DataFrame, s: Settings, chunk_bytes: int = 1 << 20) -> DataFrame:
+def sorted_suffixes(texts: DataFrame, s: Settings, chunk_bytes: int = 1 << 19) -> DataFrame:
     """(row, twin, first, last): repeated windows of phrases, which meet by trigger in sorted partitions."""
     names = ["row", "twin", "first", "last"]
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
-        who, first, last = _equal_neighbours(table.column("body"), table.column("trigger").to_numpy(), s)
+        who, first, last = _equal_neighbours(table.column("body"), s)
         base = table.column("first").to_numpy()[who]
         return pa.RecordBatch.from_arrays([pa.array(table.column("row").to_numpy()[who]), pa.array(table.column("twin").to_numpy()[who]), pa.array((first + base).astype(np.int32)), pa.array((last + base).astype(np.int32))], names)
 
@@ -199,36 +284,40 @@ def crowded_suffixes(texts: DataFrame, s: Settings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("row").take(take), part.column("twin").take(take), pa.array(first.astype(np.int32))], ["key", "row", "twin", "first"])
 
     windows = texts.select("trigger", "row", "twin", "first", "body").mapInArrow(run, "key long, row long, twin long, first int")
-    equal = windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return windows.join(equal, "key").select("row", "twin", "first", F.col("first").alias("last"))
+    equal = C.materialise(windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "equal")
+    found = C.split_join(windows, equal, ["key"], "n", F.xxhash64("row", "first"))
+    return found.select("row", "twin", "first", F.col("first").alias("last"))
 
 
 def covered(rows: DataFrame, s: Settings) -> DataFrame:
-    """Materialised (row, twin, spans: array<struct<first, last>>): windows [first, last] that repeat, for rows with any."""
+    """Materialised (row, twin, spans: array<struct<first, last>>, rows): windows [first, last] that repeat, for rows with any."""
+    since = C.mark()
     entries = C.materialise(dictionary_entries(rows, s), "phrases")
     # Triggers that occur once, which are nearly all of them, end here.
     triggers = entries.groupBy("trigger").agg(F.count("*").alias("n"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi"))
-    triggers = C.materialise(triggers.where("n > 1").selectExpr("trigger", "lo <> hi as mixed"), "triggers")
+    triggers = C.materialise(triggers.where("n > 1").selectExpr("trigger", "lo <> hi as mixed", "n"), "triggers")
     some = C.likely(entries, F.col("trigger"), C.bitmap_of(triggers.select(F.col("trigger").alias("key"))))
-    found = C.materialise(some.join(triggers, "trigger"), "repeated")
-    C.discard(entries)
+    found = C.materialise(C.split_join(some, triggers, ["trigger"], "n", F.xxhash64("row", "first")).drop("n"), "repeated")
+    C.discard(entries, triggers)
     mixed = found.where("mixed").drop("mixed")
     counted = mixed.groupBy("trigger", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("row", "twin", "first", "last")).alias("one"))
     counted = C.materialise(counted, "dictionary")
     # All windows of a phrase that occurs twice are known to repeat; its one copy is there for the others.
     whole = found.where("not mixed").select("row", "twin", "first", "last")
-    copies = mixed.join(counted.where("n > 1").select("trigger", "phrase"), ["trigger", "phrase"]).select("row", "twin", "first", "last")
-    crowds = counted.groupBy("trigger").agg((F.count("*") > s.crowd).alias("crowded"))
-    span = F.struct("trigger", "crowded", "one.first", (F.col("one.last") + s.length).alias("end"))
-    asked = counted.join(crowds, "trigger").select("one.row", "one.twin", span.alias("span")).groupBy("row", "twin").agg(F.collect_list("span").alias("spans"))
-    asked = C.materialise(asked, "asked")
+    copies = C.split_join(mixed, counted.where("n > 1").select("trigger", "phrase", "n"), ["trigger", "phrase"], "n", F.xxhash64("row", "first")).select("row", "twin", "first", "last")
+    crowds = C.materialise(counted.groupBy("trigger").agg(F.count("*").alias("phrases")), "crowds")
+    span = F.struct("trigger", (F.col("phrases") > s.crowd).alias("crowded"), "one.first", (F.col("one.last") + s.length).alias("end"))
+    placed = C.split_join(counted, crowds, ["trigger"], "phrases", F.col("phrase"))
+    asked = C.materialise(placed.select("one.row", "one.twin", span.alias("span")).groupBy("row", "twin").agg(F.collect_list("span").alias("spans")), "asked")
     sources = C.likely(rows.select("row", "twin", "text"), F.col("twin"), C.bitmap_of(asked.select(F.col("twin").alias("key"))))
     # rows that are equal in doc_id and text are one source
     texts = C.materialise(phrase_bytes(sources, asked).dropDuplicates(["trigger", "row", "twin", "first"]), "suffixes")
     single = sorted_suffixes(texts.where("not crowded"), s).unionAll(crowded_suffixes(texts.where("crowded"), s))
     every = whole.unionAll(copies).unionAll(single)
-    out = C.materialise(every.groupBy("row", "twin").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
-    C.discard(triggers, found, counted, asked, texts)
+    # a row that is there many times says the same each time: sets, and how many rows there are
+    spans = every.groupBy("row", "twin").agg(F.collect_set(F.struct("first", "last")).alias("spans"), F.count("*").alias("n"))
+    out = C.materialise(spans.select("row", "twin", "spans", F.ceil(F.col("n") / F.size("spans")).alias("rows")), "spans")
+    C.tidy(since, out)
     return out
 
 
@@ -236,7 +325,8 @@ def with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
     """rows with their spans (null: none). Rows that surely have none aren't shuffled."""
     bitmap = C.bitmap_of(found.select(F.col("twin").alias("key")))
     near, far = C.likely(rows, F.col("twin"), bitmap), C.likely(rows, F.col("twin"), bitmap, wanted=False)
-    return near.join(found, ["row", "twin"], "left").select(*rows.columns, "spans").unionAll(far.withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType)))
+    near = C.split_join(near, found.withColumnRenamed("rows", "__rows"), ["row", "twin"], "__rows", F.monotonically_increasing_id(), "left")
+    return near.select(*rows.columns, "spans").unionAll(far.withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType)))
 
 
 def keep_mask(n: int, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:

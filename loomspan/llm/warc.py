@@ -15,8 +15,8 @@ A query for some URLs and one for all of them go the same way.
 Null html counts as empty, null or odd URLs get the key of their own text. Long html is one record; it is worked on alone.
 Repeated page_ids: every row gets its own record; rows with the same page_id and payload as the response are responses as
 well. Null page_ids sort last among equals, and are responses only where all of an equal payload's ids are null. Copies
-of one payload may be any share of the rows: payloads that are surely alone aren't shuffled, and digests that many rows
-have are looked up where the rows are. An empty table gives empty archives, index and result. Other columns are ignored.
+of one payload may be any share of the rows: payloads that are surely alone aren't shuffled, and rows of a digest that many
+rows have are dealt to many tasks. An empty table gives empty archives, index and result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -116,7 +116,7 @@ def with_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     firsts = C.materialise(firsts, "firsts")
     bitmap = C.bitmap_of(firsts.select(F.xxhash64("digest").alias("key")))
     alone = C.likely(rows, F.xxhash64("digest"), bitmap, wanted=False).select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"))
-    near = C.split_join(C.likely(rows, F.xxhash64("digest"), bitmap), firsts, ["digest"], "copies", "left")
+    near = C.split_join(C.likely(rows, F.xxhash64("digest"), bitmap), firsts, ["digest"], "copies", F.monotonically_increasing_id(), "left")
     refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).cast("long")
     return alone.unionByName(near.select("page_id", "url", "payload", refers_to.alias("refers_to")))
 
