@@ -42,16 +42,16 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     uid = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
     rows = docs.withColumn("__uid", uid)
     found = jaccard.jaccard_components(rows.select(F.col("__uid").alias("doc_id"), "text"))
-    ids = rows.groupBy("__uid").agg(F.first(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("id"), F.count("*").alias("rows"))
+    ids = rows.groupBy("__uid").agg(F.first(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("id"), F.count("*").alias("__rows"))
     groups = ids.join(found.select(F.col("doc_id").alias("__uid"), "component_id").distinct(), "__uid")
     firsts = groups.groupBy("component_id").agg(F.min(F.struct("id", "__uid")).alias("first")).select(F.col("first.__uid").alias("__uid"), F.lit(True).alias("__stays"))
     # what goes, and what there is more than once: most rows are neither
-    told = groups.join(firsts, "__uid", "left").where("__stays is null or rows > 1").select("__uid", F.coalesce("__stays", F.lit(False)).alias("__stays"), "rows")
+    told = groups.join(firsts, "__uid", "left").where("__stays is null or __rows > 1").select("__uid", F.coalesce("__stays", F.lit(False)).alias("__stays"), "__rows")
     told = common.materialise(told, "told")
     common.tidy(since, told)
     bitmap = common.bitmap_of(told.select(F.col("__uid").alias("key")))
-    near = common.split_join(common.likely(rows, F.col("__uid"), bitmap), told, ["__uid"], "rows", "left").where(F.coalesce("__stays", F.lit(True)))
-    several = F.coalesce(F.col("rows"), F.lit(1)) > 1
+    near = common.split_join(common.likely(rows, F.col("__uid"), bitmap), told, ["__uid"], "__rows", F.monotonically_increasing_id(), "left").where(F.coalesce("__stays", F.lit(True)))
+    several = F.coalesce(F.col("__rows"), F.lit(1)) > 1
     every = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     once = near.where(several).withColumn("__n", F.row_number().over(Window.partitionBy("__uid").orderBy(every))).where("__n = 1")
     parts = common.likely(rows, F.col("__uid"), bitmap, wanted=False), near.where(~several), once
