@@ -73,6 +73,31 @@ def test_graph_small_tables(spark):
     assert vector_graph.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_graph_of_frequent_ids_and_vectors(spark):
+    """Neither 3,000 rows of one id nor 3,000 ids of one vector reach a task whole; the least vector and the least ids count."""
+    rng = np.random.default_rng(2)
+    rows = [(7, [float(v) for v in rng.normal(size=8) + 5]) for _ in range(2999)] + [(7, [-9.0] * 8)] + [(10_000 + i, [1.0] * 8) for i in range(3000)] + [(i, [float(v) for v in rng.normal(size=8)]) for i in range(100, 200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(9)
+    nodes = vector_graph.distinct_nodes(df, 11)
+    assert nodes.count() == 102 and {tuple(r.ids) for r in nodes.where("embedding[0] = 1 and size(ids) > 1").collect()} == {tuple(range(10_000, 10_011))}
+    got = vector_graph.nearest(df, df.where("vec_id in (7, 10000, 10005)")).collect()
+    near = {q: [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (7, 10000, 10005)}
+    assert near[10000] == [(10_001 + i, 0.0) for i in range(10)] and near[10005] == [(10_000 + i, 0.0) for i in range(11) if i != 5]
+    assert len(near[7]) == 10 and all(s == pytest.approx(math.sqrt(sum((a + 9) ** 2 for a in dict(rows[3000:])[v])), rel=1e-12) for v, s in near[7])
+
+
+def test_a_search_sees_few_nodes(spark):
+    """What a search sees grows slower than the shard: twice the rows, clearly less than twice the nodes."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 16))
+    s = vector_graph.Settings(search_beam=24)
+    share = []
+    for n in (1000, 4000):
+        df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x[:n])], "vec_id long, embedding array<double>")
+        share.append(vector_graph.seen_share(vector_graph.build_index(vector_graph.distinct_nodes(df, 11), 1, s), x[:20], s))
+    assert share[1] < 0.45 * share[0] and share[1] < 0.15
+
+
 # ---------------------------------------------------------------- 2 and 4
 
 
