@@ -34,12 +34,24 @@ def to_index(features: DataFrame, chroms: DataFrame, circular: bool = False, col
     return joined.select("*", *[(F.col(c) + shift).alias(f"idx_{c}") for c in cols]).drop("offset", "total")
 
 
-def from_index(df: DataFrame, chroms: DataFrame, cols: tuple[str, ...] = ("idx_start", "idx_end")) -> DataFrame:
-    """chr, strand and plain positions back from index columns. The first column decides chr and strand for all."""
+#: Running indexes meet chromosomes by blocks of so many positions.
+INDEX_BLOCK = 1 << 22
+
+
+def _strands(chroms: DataFrame) -> DataFrame:
+    """(chr, strand, len, low, block): where each chromosome strand lies on the running index, once for each block it touches."""
     index = chrom_index(chroms)
     both = index.select("chr", "len", F.col("offset").alias("low"), F.lit("+").alias("strand")).unionAll(index.select("chr", "len", F.col("offset") + F.col("total"), F.lit("-")))
+    # a chromosome has positions low + 1 .. low + len
+    return both.where("len > 0").withColumn("block", F.explode(F.sequence(F.floor((F.col("low") + 1) / INDEX_BLOCK), F.floor((F.col("low") + F.col("len")) / INDEX_BLOCK))))
+
+
+def from_index(df: DataFrame, chroms: DataFrame, cols: tuple[str, ...] = ("idx_start", "idx_end")) -> DataFrame:
+    """chr, strand and plain positions back from index columns. The first column decides chr and strand for all."""
     at = F.col(cols[0])
-    joined = df.drop("chr", "strand").join(both, (at > F.col("low")) & (at <= F.col("low") + F.col("len")), "left")
+    there = _strands(chroms).withColumnRenamed("block", "__block")
+    rows = df.drop("chr", "strand").withColumn("__block", F.floor(at / INDEX_BLOCK))
+    joined = rows.join(there, (rows["__block"] == there["__block"]) & (at > F.col("low")) & (at <= F.col("low") + F.col("len")), "left").drop("__block")
     return joined.select("*", *[(F.col(c) - F.col("low")).alias(c.removeprefix("idx_")) for c in cols if c.removeprefix("idx_") not in df.columns]).drop("low", "len", *cols)
 
 
@@ -64,10 +76,29 @@ def prune(df: DataFrame, chroms: DataFrame, remove_one_bp: bool = False) -> Data
     return out.where("start <> end") if remove_one_bp else out
 
 
+def numbered(df: DataFrame, first: list[Column], position: Column, last: list[str], out: str, block: int = 1 << 20) -> DataFrame:
+    """Column `out`: 1, 2, ... in the order of `first`, `position`, `last`, which together are unique.
+
+    Rows are counted by `first` and blocks of positions, the counts are summed, and a window numbers each block's rows: the
+    one window over everything sees a row for each block of the genome and none for each row of df.
+    """
+    names = [f"__f{i}" for i in range(len(first))]
+    rows = df.withColumns({**dict(zip(names, first)), "__at": position}).withColumn("__block", F.floor(F.col("__at") / block))
+    counts = rows.groupBy(*names, "__block").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy(*names, "__block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    counts = counts.select(*[F.col(c).alias(f"{c}b") for c in names], F.col("__block").alias("__blockb"), before.alias("__before"))
+    same = F.col("__block").eqNullSafe(F.col("__blockb"))
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}b"))
+    place = F.row_number().over(Window.partitionBy(*names, "__block").orderBy("__at", *last))
+    numbered_ = rows.withColumn("__place", place).join(counts, same)
+    return numbered_.withColumn(out, (F.col("__place") + F.col("__before")).cast("long")).select(*[c for c in df.columns if c != out], out)
+
+
 def sort_rank(df: DataFrame, by_strand: bool = False) -> DataFrame:
     """Column `place` in the order of chr, then the smaller end, then id; with by_strand, reverse rows come last."""
     first = [F.when(is_reverse(), 1).otherwise(0)] if by_strand else []
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*first, "chr", F.least("start", "end"), "id")).cast("long"))
+    return numbered(df, [*first, F.col("chr")], F.least("start", "end"), ["id"], "place")
 
 
 def ordered(df: DataFrame) -> DataFrame:
@@ -77,9 +108,12 @@ def ordered(df: DataFrame) -> DataFrame:
 
 def split_at_borders(df: DataFrame, chroms: DataFrame) -> DataFrame:
     """Index intervals (id, idx_start, idx_end) cut where chromosomes meet: id, part, chr, strand, start, end."""
-    index = chrom_index(chroms)
-    both = index.select("chr", "len", F.col("offset").alias("low"), F.lit("+").alias("strand")).unionAll(index.select("chr", "len", F.col("offset") + F.col("total"), F.lit("-")))
-    joined = df.select("id", "idx_start", "idx_end").join(both, (F.col("idx_start") <= F.col("low") + F.col("len")) & (F.col("idx_end") > F.col("low")))
+    there = _strands(chroms).withColumnRenamed("block", "__block")
+    blocks = F.sequence(F.floor(F.col("idx_start") / INDEX_BLOCK), F.floor(F.col("idx_end") / INDEX_BLOCK))
+    rows = df.select("id", "idx_start", "idx_end").withColumn("__block", F.explode(blocks))
+    joined = rows.join(there, "__block").where((F.col("idx_start") <= F.col("low") + F.col("len")) & (F.col("idx_end") > F.col("low")))
+    # both may touch several blocks: they meet in the first that they share
+    joined = joined.where(F.col("__block") == F.floor(F.greatest(F.col("idx_start"), F.col("low") + 1) / INDEX_BLOCK))
     parts = joined.select("id", "chr", "strand", F.greatest(F.col("idx_start") - F.col("low"), F.lit(1)).alias("start"), F.least(F.col("idx_end") - F.col("low"), F.col("len")).alias("end"), "low")
     return parts.withColumn("part", F.row_number().over(Window.partitionBy("id").orderBy("low"))).select("id", "part", "chr", "strand", "start", "end")
 
@@ -144,7 +178,8 @@ def tag_duplicates(df: DataFrame, name: str, order: str) -> DataFrame:
 
 def insert_rows(df: DataFrame, new: DataFrame, place: str = "place") -> DataFrame:
     """Rows of `new` come right after the row of df that has the same place."""
-    return df.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1))).withColumn(place, F.row_number().over(Window.orderBy(place, "__new", "id"))).drop("__new")
+    both = df.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    return numbered(both, [], F.col(place), ["__new", "id"], "__n").drop(place, "__new").withColumnRenamed("__n", place)
 
 
 def collapse_list(df: DataFrame, name: str) -> DataFrame:

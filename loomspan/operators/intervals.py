@@ -69,6 +69,45 @@ def annotate(query: DataFrame, target: DataFrame, keys: tuple[str, ...] = KEYS,
     return out.select("target", "query", "intersect", "union", "qlen", "tlen", "qrank", "qpos")
 
 
+def annotate_by(query: DataFrame, target: DataFrame, qtype: str, ttype: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """annotate for every type of queries and of targets at once: qtype, ttype, target, query, lengths, rank within all three."""
+    pairs = overlap_join(query.select(*keys, "id", "start", "end", F.col(qtype).alias("type")), target.select(*keys, "id", "start", "end", F.col(ttype).alias("type")), keys)
+    rows = pairs.select(F.col("q_type").alias("qtype"), F.col("t_type").alias("ttype"), F.col("t_id").alias("target"), F.col("q_id").alias("query"), "intersect", "union", "qlen", "tlen")
+    return rows.withColumn("qrank", F.rank().over(Window.partitionBy("qtype", "target").orderBy((F.col("intersect") / F.col("union")).desc())).cast("long"))
+
+
+def with_types(df: DataFrame, types: list[str] | None, column: str = "type") -> DataFrame:
+    """Rows of the given types; all without a list."""
+    return df if types is None else df.where(F.col(column).isin(types))
+
+
+def known_chromosomes(df: DataFrame, chroms: DataFrame) -> DataFrame:
+    """Rows whose chr is in the index."""
+    return df.join(chroms.select("chr"), "chr", "left_semi")
+
+
+def self_overlap(df: DataFrame, **options) -> DataFrame:
+    """Hits of a set's forward rows on its reverse rows: query is forward, target reverse, both in the place of the other."""
+    forward, reverse = df.where(~is_reverse()), df.where(is_reverse())
+    return annotate(forward, switch_strand(reverse), **options)
+
+
+def facing(query: DataFrame, target: DataFrame, width: int, **options) -> DataFrame:
+    """Hits between flanks of either set on opposite strands: those after the ends for a positive width (convergent), those
+    before the starts for a negative one (divergent)."""
+    from loomspan.operators.genome import flank
+
+    return annotate(flank(query, width), switch_strand(flank(target, width)), **options)
+
+
+def as_target_sees(hits: DataFrame, each_target: bool = False) -> DataFrame:
+    """Hits with the relation as the target has it; targets without a hit go, unless each_target. A collapsed list's parts turn each."""
+    part = lambda x: F.coalesce(target_view(x), x)
+    turned = F.array_join(F.transform(F.split("qpos", ";"), part), ";")
+    out = hits.withColumn("qpos", F.when(turned != "NA", turned))
+    return out if each_target else out.where(F.col("qlen").cast("string") != "0")
+
+
 def collapsed(hits: DataFrame, columns: list[str], by: str = "target", order: list[str] | None = None) -> DataFrame:
     """One row for each target, several hits' values joined by ';' in hit order (missing: NA)."""
     sort = order or ["qrank", "query"]
@@ -77,8 +116,12 @@ def collapsed(hits: DataFrame, columns: list[str], by: str = "target", order: li
     return grouped.select(by, *[F.array_join(F.transform("hits", lambda h: h[f"__{c}"]), ";").alias(c) for c in columns])  # noqa: B023
 
 
-def annotate_target(query: DataFrame, target: DataFrame, qcols: list[str], only_best: bool = True, min_jaccard: float | None = None, **options) -> DataFrame:
-    """Every target with columns of its best hits; hits below min_jaccard keep the row and lose all else."""
+def annotate_target(query: DataFrame, target: DataFrame, qcols: list[str], only_best: bool = True, min_jaccard: float | None = None, tcols: list[str] | None = None, prefix: str = "", details: bool = True, **options) -> DataFrame:
+    """Every target with columns of its best hits; hits below min_jaccard keep the row and lose all else.
+
+    tcols: columns of the target to go with it. prefix: comes before the name of every column but those, with '_'. Without
+    details the query and its columns are all.
+    """
     hits = annotate(query, target, add_na=True, **options)
     hits = hits.join(query.select(F.col("id").alias("query"), *qcols), "query", "left")
     if only_best:
@@ -86,7 +129,11 @@ def annotate_target(query: DataFrame, target: DataFrame, qcols: list[str], only_
     if min_jaccard is not None:
         low = F.try_divide("intersect", "union") < min_jaccard
         hits = hits.withColumns({c: F.when(F.coalesce(low, F.lit(False)), F.lit(None)).otherwise(F.col(c)) for c in hits.columns if c != "target"})
-    return collapsed(hits, ["query", *qcols, "qpos", "qrank", "qlen", "intersect", "union"])
+    shown = ["query", *qcols, *(["qpos", "qrank", "qlen", "intersect", "union"] if details else [])]
+    out = collapsed(hits, shown)
+    if tcols:
+        out = out.join(target.select(F.col("id").alias("target"), *tcols), "target")
+    return out.select(*[F.col(c).alias(f"{prefix}_{c}" if prefix else c) for c in ("target", *shown)], *(tcols or []))
 
 
 def antisense(query: DataFrame, target: DataFrame, **options) -> DataFrame:
@@ -147,6 +194,21 @@ def class_overlap(query: DataFrame, target: DataFrame, qclass: str = "type", tcl
     return out.withColumn("jaccard", F.try_divide("intersect", "union"))
 
 
+def permutation_table(query: DataFrame, target: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
+    """The rows that `sources.readers.read_jaccard` reads: query, target, intersect, union, jaccard, count, random, permutations,
+    and the margins: the covered positions of each query class and each target class with an empty other name.
+
+    count: pairs of overlapping rows; random: replicates whose jaccard is at least the real one.
+    """
+    p = permutation_p(query, target, replicates, seed)
+    pairs = overlap_join(query, target).groupBy(F.col("q_type").alias("query"), F.col("t_type").alias("target")).agg(F.count("*").alias("count"))
+    cells = p.join(pairs, ["query", "target"], "left").select("query", "target", "intersect", "union", "jaccard", F.coalesce("count", F.lit(0)).alias("count"), F.round(F.col("p_value") * replicates).cast("long").alias("random"), F.lit(replicates).cast("long").alias("permutations"))
+    none = [F.lit(None).cast("long").alias("union"), F.lit(None).cast("double").alias("jaccard"), F.lit(None).cast("long").alias("count"), F.lit(None).cast("long").alias("random"), F.lit(None).cast("long").alias("permutations")]
+    q = p.select("query", F.lit("").alias("target"), F.col("query_bp").alias("intersect"), *none).distinct()
+    t = p.select(F.lit("").alias("query"), "target", F.col("target_bp").alias("intersect"), *none).distinct()
+    return cells.unionByName(q).unionByName(t)
+
+
 def pair_counts(hits: DataFrame, qclass: str, tclass: str) -> DataFrame:
     return hits.groupBy(qclass, tclass).agg(F.count("*").alias("count"))
 

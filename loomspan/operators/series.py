@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -76,8 +78,14 @@ def dft_permutation_p(df: DataFrame, permutations: int = 100, seed: int = 1) ->
     return wide.mapInPandas(run, f"id {df.schema['id'].dataType.simpleString()}, k long, p_value double")
 
 
-def sliding_dft(df: DataFrame, window: int, by: list[str], order: str, value: str, components: list[int]) -> DataFrame:
-    """Amplitudes of some components in each full window ahead of a position, scaled by the window."""
+def sliding_dft(df: DataFrame, window: int, by: list[str], order: str, value: str, components: list[int] | None = None, periods: tuple[float, float] | None = None) -> DataFrame:
+    """Amplitudes of some components in each full window ahead of a position, scaled by the window.
+
+    Without components all of 0 .. window / 2. periods: only components whose period, window / k, lies within (0 has none).
+    """
+    components = list(range(window // 2 + 1)) if components is None else components
+    if periods:
+        components = [k for k in components if k and periods[0] <= window / k <= periods[1]]
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(0, window - 1)
     rows = df.withColumn("__w", F.collect_list(value).over(w)).where(F.size("__w") == window)
     rows = rows.withColumn("k", F.explode(F.array(*map(F.lit, components))))
@@ -127,36 +135,80 @@ def fused_runs(runs: DataFrame, min_gap: int, min_length: int, keys: tuple[str,
 
 
 def greedy_fusion(runs: DataFrame, min_segment: int, keys: tuple[str, ...] = ("chr",)) -> DataFrame:
-    """The shortest segment under min_segment joins its shorter neighbour, again and again. One key's segments are one group."""
+    """The shortest segment under min_segment joins its shorter neighbour, again and again: a heap over a linked list.
+
+    Of equal lengths the leftmost is first, of equal neighbours the left one is taken. One key's segments are one group.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         s = pdf.sort_values("start")[["start", "end"]].to_numpy().tolist()
-        while len(s) > 1:
-            lens = [b - a for a, b in s]
-            i = int(np.argmin(lens))
-            if lens[i] >= min_segment:
+        n = len(s)
+        before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
+        heap = [(b - a, a, i) for i, (a, b) in enumerate(s)]
+        heapq.heapify(heap)
+        left = n
+        while left > 1:
+            size, at, i = heapq.heappop(heap)
+            if not alive[i] or s[i] != [at, at + size]:
+                continue  # it has grown or gone since
+            if size >= min_segment:
                 break
-            j = i + 1 if i == 0 or (i + 1 < len(s) and lens[i + 1] < lens[i - 1]) else i - 1
+            p, q = before[i], after[i]
+            j = q if p < 0 or (q < n and s[q][1] - s[q][0] < s[p][1] - s[p][0]) else p
             a, b = min(i, j), max(i, j)
-            s[a : b + 1] = [[s[a][0], s[b][1]]]
-        out = pd.DataFrame(s, columns=["start", "end"])
+            s[a] = [s[a][0], s[b][1]]
+            alive[b], after[a], left = False, after[b], left - 1
+            if after[b] < n:
+                before[after[b]] = a
+            heapq.heappush(heap, (s[a][1] - s[a][0], s[a][0], a))
+        out = pd.DataFrame([x for x, ok in zip(s, alive) if ok], columns=["start", "end"])
         return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "start", "end"]]
 
     kinds = ", ".join(f"{k} {runs.schema[k].dataType.simpleString()}" for k in keys)
     return runs.groupBy(*keys).applyInPandas(run, f"{kinds}, start long, end long")
 
 
+def presegment_summary(segments: DataFrame, signal: DataFrame) -> DataFrame:
+    """(id, length, covered, points, reads) of segments (id, chr, start, end): positions with reads, (position, time) points with
+    reads, and all reads of signal (chr, coor, t, reads)."""
+    from loomspan.operators.intervals import points_in
+
+    held = points_in(signal.where("reads > 0"), segments.select("id", "chr", "start", "end"))
+    sums = held.groupBy(F.col("t_id").alias("id")).agg(F.countDistinct("q_coor").alias("covered"), F.count("*").alias("points"), F.sum("q_reads").alias("reads"))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("covered", "points", "reads")}
+    return segments.select("id", (F.col("end") - F.col("start") + 1).alias("length")).join(sums, "id", "left").withColumns(zero)
+
+
+def track_spectrum(df: DataFrame, components: list[int], by: list[str], order: str, value: str) -> DataFrame:
+    """(by, k, period, amplitude): components of whole tracks (positions 1..n), amplitude over n, period n / k.
+
+    One pass: each component is two sums over the rows, so a track may be as long as it likes.
+    """
+    n = df.groupBy(*by).agg(F.count("*").alias("n"))
+    rows = df.join(F.broadcast(n), by) if by else df.crossJoin(F.broadcast(n))  # a row for each track
+    angle = lambda k: 2 * np.pi * k * (F.col(order) - 1) / F.col("n")
+    parts = [f(F.col(value) * g(angle(k))).alias(f"{name}{k}") for k in components for name, f, g in (("re", F.sum, F.cos), ("im", F.sum, F.sin))]
+    sums = rows.groupBy(*by, "n").agg(*parts)
+    each = F.array(*[F.struct(F.lit(k).alias("k"), (F.sqrt(F.col(f"re{k}") ** 2 + F.col(f"im{k}") ** 2) / F.col("n")).alias("amplitude")) for k in components])
+    return sums.select(*by, "n", F.explode(each).alias("c")).select(*by, "c.k", F.try_divide(F.col("n"), F.col("c.k")).alias("period"), "c.amplitude")
+
+
 def class_means(df: DataFrame, cluster: str, vector: str) -> DataFrame:
     """(cluster, dim, value): centres of vectors."""
     return df.select(cluster, F.posexplode(vector).alias("dim", "v")).groupBy(cluster, "dim").agg(F.avg("v").alias("value"))
 
 
+def _centres(df: DataFrame, cluster: str, vector: str) -> DataFrame:
+    """One row: `centres`, an array of (centre, c). Centres are few: clusters x dimensions."""
+    one = class_means(df, cluster, vector).groupBy(F.col(cluster).alias("centre")).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("c"))
+    return one.agg(F.array_sort(F.collect_list(F.struct("centre", "c"))).alias("centres"))
+
+
 def recluster_step(df: DataFrame, cluster: str = "label", vector: str = "embedding", id_: str = "vec_id") -> DataFrame:
-    """One Lloyd step from the clusters' own centres: (id, cluster) of the nearest. Centres are few: clusters x dimensions."""
-    centres = class_means(df, cluster, vector).groupBy(F.col(cluster).alias("centre")).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("c"))
-    joined = df.crossJoin(centres)  # rows by centres: that is what a step compares
-    d = F.aggregate(F.zip_with(vector, "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return joined.groupBy(id_).agg(F.min(F.struct(F.round(d, 9).alias("d"), "centre")).alias("best")).select(id_, F.col("best.centre").alias("cluster"))
+    """One Lloyd step from the clusters' own centres: (id, cluster) of the nearest. Rows stay where they are and see all centres."""
+    sums = lambda c: F.aggregate(F.zip_with(vector, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    best = F.array_min(F.transform("centres", lambda x: F.struct(F.round(sums(x["c"]), 9).alias("d"), x["centre"].alias("centre"))))
+    return df.crossJoin(F.broadcast(_centres(df, cluster, vector))).select(id_, best["centre"].alias("cluster"))  # one row
 
 
 def recluster(df: DataFrame, cluster: str = "label", vector: str = "embedding", id_: str = "vec_id") -> DataFrame:
@@ -202,22 +254,28 @@ def recluster(df: DataFrame, cluster: str = "label", vector: str = "embedding",
 
 
 def centre_correlation(df: DataFrame, cluster: str = "label", vector: str = "embedding", id_: str = "vec_id") -> DataFrame:
-    """Pearson correlation of each row with each centre."""
-    centres = class_means(df, cluster, vector).withColumnRenamed(cluster, "centre")
-    long = df.select(id_, F.posexplode(vector).alias("dim", "v"))
-    return long.join(centres, "dim").groupBy(id_, "centre").agg(F.corr("v", "value").alias("r"))
-
-
-def kmeans(df: DataFrame, ks: list[int], vector: str = "features", seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(assignments: id, k, cluster; model: k, sse, bic): spherical k-means models with their Gaussian BIC."""
+    """Pearson correlation of each row with each centre. Rows stay where they are and see all centres."""
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    shifted = lambda v: F.transform(v, lambda x: x - F.try_divide(total(v), F.size(v)))
+    own = df.select(id_, F.transform(vector, lambda x: x.cast("double")).alias("__v")).select(id_, F.col("__v"), F.try_divide(total(F.col("__v")), F.size("__v")).alias("__m"))
+    own = own.select(id_, F.zip_with("__v", F.array_repeat("__m", F.size("__v")), lambda x, m: x - m).alias("__v"))
+    centres = _centres(df, cluster, vector).select(F.transform("centres", lambda x: F.struct(x["centre"].alias("centre"), shifted(x["c"]).alias("c"))).alias("centres"))
+    rows = own.crossJoin(F.broadcast(centres)).select(id_, "__v", F.explode("centres").alias("x"))  # one row
+    dot = lambda a, b: total(F.zip_with(a, b, lambda p, q: p * q))
+    r = F.try_divide(dot(F.col("__v"), F.col("x.c")), F.sqrt(dot(F.col("__v"), F.col("__v")) * dot(F.col("x.c"), F.col("x.c"))))
+    return rows.select(id_, F.col("x.centre").alias("centre"), r.alias("r"))
+
+
+def kmeans(df: DataFrame, ks: list[int], vector: str = "features", seed: int = 1, starts: int = 3, max_iter: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(assignments: id, k, cluster; model: k, sse, bic): k-means models with their Gaussian BIC, each the best of some starts."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    data = df.select("id", array_to_vector(vector).alias("features")).cache()
+    data = df.select("id", array_to_vector(vector).alias("features")).persist()
     n, parts, model = data.count(), None, []
     dim = len(data.first()["features"]) if n else 0
     for k in ks:
-        fitted = KMeans(k=k, seed=seed, featuresCol="features").fit(data)
+        fitted = min((KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features").fit(data) for i in range(starts)), key=lambda m: m.summary.trainingCost)
         got = fitted.transform(data).select("id", F.lit(k).alias("k"), F.col("prediction").alias("cluster"))
         parts = got if parts is None else parts.unionAll(got)
         sse = float(fitted.summary.trainingCost)
@@ -225,6 +283,39 @@ def kmeans(df: DataFrame, ks: list[int], vector: str = "features", seed: int = 1
     return parts, df.sparkSession.createDataFrame([(k, s, float(b)) for k, s, b in model], "k int, sse double, bic double")
 
 
+def nuisance(assign: DataFrame, correlation: DataFrame, least: float) -> DataFrame:
+    """(id, cluster) with cluster 0 for rows that correlate with no centre by more than `least`; correlation: (id, centre, r)."""
+    best = correlation.groupBy("id").agg(F.max("r").alias("r"))
+    return assign.join(best, "id", "left").withColumn("cluster", F.when(F.coalesce(F.col("r") <= least, F.lit(True)), 0).otherwise(F.col("cluster"))).drop("r")
+
+
+def selected(assign: DataFrame, model: DataFrame, k: int | str | None = None, criterion: str = "bic") -> DataFrame:
+    """Assignments of one k: a number, a name such as 'K:8', or the model's best."""
+    if k is None:
+        return assign.join(F.broadcast(selected_model(model, criterion)), "k", "left_semi")  # one row
+    return assign.where(F.col("k") == int(str(k).rpartition(":")[2]))
+
+
+def sets_by_size(df: DataFrame, name: str) -> DataFrame:
+    """(name, count, place): sets from the largest to the smallest, equal ones by name. There are few sets."""
+    n = df.groupBy(name).agg(F.count("*").alias("count"))
+    return n.withColumn("place", F.row_number().over(Window.orderBy(F.col("count").desc(), name)).cast("long"))
+
+
+def nonzero_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with some value that is neither 0 nor missing in the columns."""
+    some = F.lit(False)
+    for c in columns:
+        some = some | F.coalesce(F.col(c) != 0, F.lit(False))
+    return df.where(some)
+
+
+def column_range(df: DataFrame, first: int, last: int, keys: tuple[str, ...] = ("chr", "coor")) -> DataFrame:
+    """The keys and data columns number first..last (from 1)."""
+    data = [c for c in df.columns if c not in keys]
+    return df.select(*keys, *data[first - 1 : last])
+
+
 def selected_model(model: DataFrame, criterion: str = "bic") -> DataFrame:
     """The k of the best criterion (least BIC), the smaller of equals."""
     return model.agg(F.min(F.struct(criterion, "k")).alias("m")).select("m.k")
@@ -244,26 +335,36 @@ def circular_density(df: DataFrame, value: str, bandwidth: float, points: int =
     return grid.groupBy("g", "x").agg((F.sum(F.col("c") * turn) / (F.sum("c") * bandwidth * np.sqrt(2 * np.pi))).alias("density"))
 
 
+def trends(x: list, y: list, min_n: int = 4, tolerance: float = 0.05) -> list[str]:
+    """What the slope of each series does; series of one length are fitted together by a cubic in x scaled to -1..1."""
+    out, groups = ["nodata"] * len(x), {}
+    for i, (a, b) in enumerate(zip(x, y)):
+        a, b = (np.asarray([] if v is None else v, float) for v in (a, b))
+        ok = np.isfinite(a) & np.isfinite(b)
+        if ok.sum() > min_n:
+            groups.setdefault(int(ok.sum()), []).append((i, a[ok], b[ok]))
+    for n, rows in groups.items():
+        a, b = np.stack([r[1] for r in rows]), np.stack([r[2] for r in rows])
+        lo, hi = a.min(1, keepdims=True), a.max(1, keepdims=True)
+        z = 2 * (a - lo) / np.maximum(hi - lo, 1e-300) - 1
+        powers = z[:, :, None] ** np.arange(min(3, n - 1) + 1)
+        fit = np.matmul(np.linalg.pinv(powers), b[:, :, None])[:, :, 0]
+        grid = np.linspace(-1, 1, 50)[:, None] ** np.arange(fit.shape[1] - 1)
+        slope = 2 * (fit[:, 1:] * np.arange(1, fit.shape[1])) @ grid.T  # over the whole range of x
+        sign = np.where(np.abs(slope) <= tolerance * np.maximum(np.ptp(b, axis=1), 1e-12)[:, None], 0, np.sign(slope)).astype(int)
+        for (i, _, _), s in zip(rows, sign):
+            s = s[s != 0]
+            turns = tuple(s[np.concatenate([[True], s[1:] != s[:-1]])].tolist()) if len(s) else ()
+            out[i] = {(): "flat", (1,): "increasing", (-1,): "decreasing", (1, -1): "peak", (-1, 1): "trough"}.get(turns, "complex")
+    return out
+
+
 def trend_class(min_n: int = 4, tolerance: float = 0.05):
     """A pandas UDF for (x, y) arrays: increasing, decreasing, flat, peak, trough, complex or nodata, from a smoothed slope."""
 
     @F.pandas_udf("string")
     def classify(x: pd.Series, y: pd.Series) -> pd.Series:
-        def one(a, b):
-            a, b = np.asarray(a, float), np.asarray(b, float)
-            ok = np.isfinite(a) & np.isfinite(b)
-            a, b = a[ok], b[ok]
-            if len(a) <= min_n:
-                return "nodata"
-            order = np.argsort(a)
-            a, b = a[order], b[order]
-            fit = np.polynomial.Polynomial.fit(a, b, min(3, len(a) - 1))
-            slope = fit.deriv()(np.linspace(a[0], a[-1], 50)) * (a[-1] - a[0])
-            sign = np.where(np.abs(slope) <= tolerance * max(np.ptp(b), 1e-12), 0, np.sign(slope))
-            runs = [s for i, s in enumerate(sign[sign != 0]) if i == 0 or s != sign[sign != 0][i - 1]]
-            return {(): "flat", (1,): "increasing", (-1,): "decreasing", (1, -1): "peak", (-1, 1): "trough"}.get(tuple(int(r) for r in runs), "complex")
-
-        return pd.Series([one(a, b) for a, b in zip(x, y)])
+        return pd.Series(trends(list(x), list(y), min_n, tolerance), x.index)
 
     return classify
 
@@ -280,8 +381,8 @@ def rescaled(avg: Column, count: Column, least_positive: Column) -> Column:
     return avg * count * F.pow(F.lit(2.0), -F.log2(least_positive))
 
 
-def loess_normalised(df: DataFrame, reference: DataFrame | None = None, bins: int = 200, span: float = 0.3) -> DataFrame:
-    """(id, column, value, normalised) from long (id, column, value).
+def loess_normalised(df: DataFrame, reference: DataFrame | None = None, bins: int = 200, span: float = 0.3, max_columns: int = 4096) -> DataFrame:
+    """(id, column, value, normalised) from long (id, column, value). More than max_columns columns are an error.
 
     Each column's values are fitted as a smooth function of the rows' medians (over `reference` ids, if given), and
     values are read back through its inverse. Fits use the means of at most `bins` bins a column, so no task holds a column.
@@ -307,12 +408,21 @@ def loess_normalised(df: DataFrame, reference: DataFrame | None = None, bins: in
         return pd.DataFrame({"column": [pdf["column"].iloc[0]], "xs": [x], "ys": [np.maximum.accumulate(smooth)]})
 
     curves = means.groupBy("column").applyInPandas(fit, f"column {df.schema['column'].dataType.simpleString()}, xs array<double>, ys array<double>")
+    rows = curves.limit(max_columns + 1).collect()
+    if len(rows) > max_columns:
+        raise ValueError(f"more than {max_columns} columns")
+    shared = df.sparkSession.sparkContext.broadcast({r["column"]: (np.array(r["xs"]), np.array(r["ys"])) for r in rows})  # at most max_columns x 2 x bins numbers
 
-    def back(value: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([np.nan if v is None or np.isnan(v) else float(np.interp(v, b, a)) for v, a, b in zip(value, xs, ys)])
+    def back(column: pd.Series, value: pd.Series) -> pd.Series:
+        out = np.full(len(value), np.nan)
+        for name, at in value.groupby(column).indices.items():
+            xs, ys = shared.value[name]
+            v = value.to_numpy(float)[at]
+            out[at] = np.where(np.isnan(v), np.nan, np.interp(v, ys, xs))
+        return pd.Series(out, value.index)
 
-    back.__annotations__ = {"value": pd.Series, "xs": pd.Series, "ys": pd.Series, "return": pd.Series}
-    return df.join(curves, "column").select("id", "column", "value", F.pandas_udf(back, "double")("value", "xs", "ys").alias("normalised"))
+    back.__annotations__ = {"column": pd.Series, "value": pd.Series, "return": pd.Series}
+    return df.select("id", "column", "value", F.pandas_udf(back, "double")("column", "value").alias("normalised"))
 
 
 def density_grid(df: DataFrame, x: str, y: str, n: int = 128, bandwidth: float = 2.0, circular: bool = False) -> DataFrame:
@@ -341,8 +451,13 @@ def density_grid(df: DataFrame, x: str, y: str, n: int = 128, bandwidth: float =
     return counts.groupBy(F.lit(1).alias("all")).applyInPandas(smooth, "i int, j int, density double, level int")
 
 
-def medoids(df: DataFrame, k: int, columns: list[str], seed: int = 1, rounds: int = 20) -> DataFrame:
-    """(id, cluster): k-medoids of min-max scaled columns. For small tables of summaries: distances are within one task."""
+def medoids(df: DataFrame, k: int, columns: list[str], seed: int = 1, rounds: int = 1000, most: int = 5000) -> DataFrame:
+    """(id, cluster): k-medoids of min-max scaled columns, until no medoid moves.
+
+    For tables of summaries: all distances are within one task, so more than `most` rows are an error.
+    """
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows")
     ends = df.agg(*[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns])
     scaled = df.crossJoin(ends).select("id", F.array(*[F.coalesce(F.try_divide(F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")), F.lit(0.0)) for c in columns]).alias("v"))
 

@@ -13,25 +13,57 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------- distributions
 
 
-def ln_factorial(n: Column) -> Column:
+def _ln_factorial(n: np.ndarray) -> np.ndarray:
     """ln n!: a table up to 15, Stirling's series beyond (exact to double precision there)."""
-    small = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(16)])
-    x = F.greatest(n.cast("double"), F.lit(16.0))
-    series = x * F.ln(x) - x + 0.5 * F.ln(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
-    return F.when(n < 16, F.element_at(small, (F.least(n, F.lit(15)) + 1).cast("int"))).otherwise(series)
+    small = np.array([math.lgamma(k + 1) for k in range(16)])
+    x = np.maximum(n, 16.0)
+    series = x * np.log(x) - x + 0.5 * np.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return np.where(n < 16, small[np.clip(n, 0, 15).astype(int)], series)
 
 
-def ln_choose(n: Column, k: Column) -> Column:
-    return ln_factorial(n) - ln_factorial(k) - ln_factorial(n - k)
+def hypergeometric_tail(q: np.ndarray, k: np.ndarray, m: np.ndarray, total: np.ndarray, upper: bool = True) -> np.ndarray:
+    """P[X >= q] (or P[X <= q]) for k draws from `total` of which m are marked, for all cells at once.
+
+    The side of the mode that q is not on is summed by the ratio of neighbouring terms, from its largest term outwards, until
+    no term adds to any sum; the other side is one less that. So the steps follow the spread and not the margins.
+    """
+    q, k, m, total = (np.asarray(v, float) for v in (q, k, m, total))
+    if not upper:  # draws that are not marked
+        return hypergeometric_tail(k - q, k, total - m, total)
+    low, high = np.maximum(0.0, k + m - total), np.minimum(k, m)
+    at = np.clip(q, low, high)
+    mean = np.divide(k * m, total, out=np.zeros_like(k), where=total > 0)
+    right = at > mean  # sum at, at + 1, ...; else 1 - (at - 1, at - 2, ...)
+    x = np.where(right, at, at - 1)
+    inside = (x >= low) & (x <= high)
+    y = np.clip(x, low, high)
+    choose = lambda n, r: _ln_factorial(n) - _ln_factorial(r) - _ln_factorial(n - r)
+    term = np.where(inside, np.exp(choose(m, y) + choose(total - m, k - y) - choose(total, k)), 0.0)
+    tail, live = term.copy(), np.flatnonzero(term > 0)
+    x, ahead = y.copy(), np.arange(64.0)
+    while len(live):  # 64 terms of each live cell at a time
+        v, r = x[live, None] + np.where(right[live, None], ahead, -ahead), right[live, None]
+        kk, mm, rest = k[live, None], m[live, None], (total[live] - m[live] - k[live])[:, None]
+        with np.errstate(all="ignore"):
+            ratio = np.where(r, (mm - v) * (kk - v) / ((v + 1) * (rest + v + 1)), v * (rest + v) / ((mm - v + 1) * (kk - v + 1)))
+        ends = np.where(r, v >= high[live, None], v <= low[live, None])
+        terms = term[live, None] * np.cumprod(np.where(np.maximum.accumulate(ends, 1), 0.0, ratio), 1)
+        tail[live] += terms.sum(1)
+        term[live] = terms[:, -1]
+        x[live] += np.where(right[live], 64.0, -64.0)
+        live = live[term[live] > tail[live] * 1e-17]
+    found = np.where(right, tail, 1 - tail)
+    return np.where(q > high, 0.0, np.where(q <= low, 1.0, np.clip(found, 0.0, 1.0)))
 
 
 def hypergeometric(q: Column, k: Column, m: Column, total: Column, upper: bool = True) -> Column:
-    """P[X >= q] (or P[X <= q]) for k draws from `total` of which m are marked."""
-    lowest, highest = F.greatest(F.lit(0).cast("long"), k + m - total), F.least(k, m)
-    term = lambda x: F.exp(ln_choose(m, x) + ln_choose(total - m, k - x) - ln_choose(total, k))
-    a, b = (F.greatest(q, lowest), highest) if upper else (lowest, F.least(q, highest))
-    tail = F.aggregate(F.when(a <= b, F.sequence(a, b)), F.lit(0.0), lambda acc, x: acc + term(x))
-    return F.least(F.lit(1.0), F.coalesce(tail, F.lit(0.0)))
+    """hypergeometric_tail of columns."""
+
+    def tail(q: pd.Series, k: pd.Series, m: pd.Series, total: pd.Series) -> pd.Series:
+        return pd.Series(hypergeometric_tail(q, k, m, total, upper), q.index)
+
+    tail.__annotations__ = {"q": pd.Series, "k": pd.Series, "m": pd.Series, "total": pd.Series, "return": pd.Series}
+    return F.pandas_udf(tail, "double")(q, k, m, total)
 
 
 def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -124,12 +156,32 @@ def ratio_histogram(hits: DataFrame, width: float = 0.05) -> DataFrame:
     return hits.where("qrank = 1 and query is not null").groupBy(b.cast("long").alias("bin")).agg(F.count("*").alias("count"))
 
 
+def running_count(counts: DataFrame, value: str, n: str, by: list[str], out: str, parts: int = 256) -> DataFrame:
+    """counts with the running sum `out` of n in the order of value, for each of by; (by, value) is unique.
+
+    No window holds a whole group: values are dealt to `parts` ranges by approximate quantiles of them all, ranges are summed,
+    and a window runs within each range.
+    """
+    cuts = counts.agg(F.percentile_approx(value, F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10_000).alias("c")).first()["c"]
+    cuts = sorted(set(cuts or []))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    rows = counts.withColumn("__part", part)
+    sums = rows.groupBy(*by, "__part").agg(F.sum(n).alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__sum")
+    sums = sums.select(*by, "__part", before.alias("__before"))
+    w = Window.partitionBy(*by, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.withColumn("__own", F.sum(n).over(w)).join(sums, [*by, "__part"])
+    return joined.withColumn(out, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
+
+
 def ecdf(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """(by, x, cdf) at every distinct value: counts first, then a running sum of those, so few rows meet in a window."""
+    """(by, x, cdf) at every distinct value: counts first, then running sums of those in ranges of values."""
     by = by or []
     n = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("x")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    return n.select(*by, "x", (F.sum("n").over(w) / F.sum("n").over(Window.partitionBy(*by))).alias("cdf"))
+    total = n.groupBy(*by).agg(F.sum("n").alias("total"))
+    run = running_count(n, "x", "n", by, "upto")
+    run = run.join(total, by) if by else run.crossJoin(F.broadcast(total))  # one row
+    return run.select(*by, "x", (F.col("upto") / F.col("total")).alias("cdf"))
 
 
 def collect_stats(parts: dict[str, DataFrame]) -> DataFrame:
@@ -277,14 +329,20 @@ def ci95(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def welch_profile(df: DataFrame, cluster: str = "cluster", value: str = "x", min_obs: int = 5) -> DataFrame:
-    """Each cluster against all other rows: statistic, df, sign. The others' moments are the totals less the cluster's."""
-    s = df.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.sum(F.col(value) * F.col(value)).alias("ss"), F.sum(value).alias("s"), F.var_samp(value).alias("v"))
-    every = s.agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"), F.sum("ss").alias("all_ss"))
-    j = s.crossJoin(every)  # one row
-    rn, rs = F.col("all_n") - F.col("n"), F.col("all_s") - F.col("s")
-    rm = F.try_divide(rs, rn)
-    rv = F.try_divide(F.col("all_ss") - F.col("ss") - rs * rm, rn - 1)
-    j = j.select(cluster, "n", rn.alias("rn"), (F.col("m") - rm).alias("d"), (F.col("v") / F.col("n")).alias("a"), F.try_divide(rv, rn).alias("b"))
+    """Each cluster against all other rows: statistic, df, sign.
+
+    The others' moments are merged from those of the other clusters around the common mean, so large means don't cancel:
+    every cluster has (n, m, M2), and all rows have the mean M and the sum of squares about it.
+    """
+    v = F.col(value).cast("double")
+    s = df.where(F.col(value).isNotNull()).groupBy(cluster).agg(F.count(value).alias("n"), F.avg(v).alias("m"), (F.var_pop(v) * F.count(value)).alias("m2"), F.var_samp(v).alias("v"))
+    grand = df.where(F.col(value).isNotNull()).agg(F.count(value).alias("all_n"), F.avg(v).alias("all_m"), (F.var_pop(v) * F.count(value)).alias("all_m2"))
+    j = s.crossJoin(F.broadcast(grand))  # one row
+    rn, gap = F.col("all_n") - F.col("n"), F.col("m") - F.col("all_m")
+    # d: the cluster's mean less the others'; the others' squares: all less the cluster's less the distance of both means
+    d = F.try_divide(gap * F.col("all_n"), rn)
+    m2 = F.greatest(F.lit(0.0), F.col("all_m2") - F.col("m2") - F.try_divide(gap * gap * F.col("n") * F.col("all_n"), rn))
+    j = j.select(cluster, "n", rn.alias("rn"), d.alias("d"), (F.col("v") / F.col("n")).alias("a"), F.try_divide(F.try_divide(m2, rn - 1), rn).alias("b"))
     enough = (F.col("n") >= min_obs) & (F.col("rn") >= 2)
     t = F.when(enough, F.try_divide(F.col("d"), F.sqrt(F.col("a") + F.col("b")))).otherwise(0.0)
     dof = F.try_divide((F.col("a") + F.col("b")) ** 2, F.col("a") ** 2 / (F.col("n") - 1) + F.col("b") ** 2 / (F.col("rn") - 1))
@@ -297,32 +355,92 @@ def with_t_p(profile: DataFrame) -> DataFrame:
 
 
 def ranksum_profile(df: DataFrame, cluster: str = "cluster", value: str = "x") -> DataFrame:
-    """Each cluster against the others: U / (n1 n2) - 0.5 with average ranks for ties.
+    """Each cluster against the others: U / (n1 n2) - 0.5 with average ranks for ties, and `ties`, the sum of c^3 - c over values.
 
-    Ranks come from counts of distinct values, so the window sees one row a value.
+    Ranks come from counts of distinct values, so windows see one row a value, in ranges of values.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    below = F.sum("c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
-    ranks = counts.select(value, (below + (F.col("c") + 1) / 2).alias("rank"))
-    s = df.join(ranks, value).groupBy(cluster).agg(F.count("*").alias("n"), F.sum("rank").alias("r"))
-    every = s.agg(F.sum("n").alias("all_n"))
+    there = df.where(F.col(value).isNotNull())
+    counts = there.groupBy(value).agg(F.count("*").alias("c"))
+    ranks = running_count(counts, value, "c", [], "upto").select(value, (F.col("upto") - F.col("c") + (F.col("c") + 1) / 2).alias("rank"))
+    # one row for each cluster and value meets its rank, so a frequent value is no hot key
+    s = there.groupBy(cluster, value).agg(F.count("*").alias("k")).join(ranks, value).groupBy(cluster).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("rank")).alias("r"))
+    every = counts.agg(F.sum("c").alias("all_n"), F.sum(F.col("c").cast("double") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
     n1, n2 = F.col("n"), F.col("all_n") - F.col("n")
-    return s.crossJoin(every).select(cluster, "n", (F.try_divide(F.col("r") - n1 * (n1 + 1) / 2, n1 * n2) - 0.5).alias("statistic"), n2.alias("others"))
+    return s.crossJoin(F.broadcast(every)).select(cluster, "n", (F.try_divide(F.col("r") - n1 * (n1 + 1) / 2, n1 * n2) - 0.5).alias("statistic"), n2.alias("others"), "ties")  # one row
 
 
 def with_ranksum_p(profile: DataFrame) -> DataFrame:
-    """Normal approximation with continuity correction."""
-    n1, n2 = F.col("n"), F.col("others")
-    z = F.greatest(F.abs(F.col("statistic") * n1 * n2) - 0.5, F.lit(0.0)) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)
+    """Normal approximation with continuity and tie correction."""
+    n1, n2 = F.col("n").cast("double"), F.col("others").cast("double")
+    n = n1 + n2
+    variance = n1 * n2 / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1)))
+    z = F.try_divide(F.greatest(F.abs(F.col("statistic") * n1 * n2) - 0.5, F.lit(0.0)), F.sqrt(variance))
     return profile.withColumn("p_value", normal_p(z))
 
 
-def line(df: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """n, r, ordinary least squares and total least squares (slope of the first principal axis)."""
-    sxx, syy, sxy = F.var_pop(x), F.var_pop(y), F.covar_pop(x, y)
+def cluster_profile(df: DataFrame, test: str | Callable, cluster: str = "cluster", value: str = "x", min_obs: int = 5, cells: int = 4096) -> DataFrame:
+    """(cluster, n, statistic, p_value, sign) of each cluster against all other rows by `test`.
+
+    test: "t" (Welch), "ranksum", or a function of (own values, own counts, others' values, others' counts) that returns
+    (statistic, p). A function sees each cluster's and the others' distributions as distinct values with their counts; the
+    values of all rows are first rounded to at most `cells` quantile cells (their means) where there are more distinct ones.
+    """
+    if test == "t":
+        return with_t_p(welch_profile(df, cluster, value, min_obs)).select(cluster, "n", "statistic", "p_value", "sign")
+    if test == "ranksum":
+        found = with_ranksum_p(ranksum_profile(df, cluster, value))
+        few = (F.col("n") < min_obs) | (F.col("others") < 2)
+        return found.select(cluster, "n", F.when(few, 0.0).otherwise(F.col("statistic")).alias("statistic"), F.when(few, 1.0).otherwise(F.col("p_value")).alias("p_value"), F.when(~few & (F.col("statistic") < 0), -1).otherwise(1).alias("sign"))
+    v = F.col(value).cast("double")
+    there = df.where(F.col(value).isNotNull()).select(F.col(cluster).alias("__c"), v.alias("__v"))
+    counts = there.groupBy("__c", "__v").agg(F.count("*").alias("__n"))
+    if counts.select("__v").distinct().limit(cells + 1).count() > cells:
+        cuts = sorted(set(there.agg(F.percentile_approx("__v", F.array(*[F.lit(k / cells) for k in range(1, cells)]), 100 * cells).alias("c")).first()["c"]))
+
+        def cell(x: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(cuts, x.to_numpy(), "left"), x.index)
+
+        cell.__annotations__ = {"x": pd.Series, "return": pd.Series}
+        counts = counts.withColumn("__cell", F.pandas_udf(cell, "int")("__v"))
+        mean = counts.groupBy("__cell").agg((F.sum(F.col("__v") * F.col("__n")) / F.sum("__n")).alias("__v"))
+        counts = counts.drop("__v").join(mean, "__cell").groupBy("__c", "__v").agg(F.sum("__n").alias("__n"))
+    every = F.broadcast(counts.groupBy("__v").agg(F.sum("__n").alias("__all")).agg(F.array_sort(F.collect_list(F.struct("__v", "__all"))).alias("__all")))  # one row of at most `cells`
+    own = counts.groupBy("__c").agg(F.array_sort(F.collect_list(F.struct("__v", "__n"))).alias("__own"), F.sum("__n").alias("n")).crossJoin(every)
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for c, mine, n, all_ in zip(pdf["__c"], pdf["__own"], pdf["n"], pdf["__all"]):
+                x, k = np.array([r["__v"] for r in mine]), np.array([r["__n"] for r in mine])
+                y, m = np.array([r["__v"] for r in all_]), np.array([r["__all"] for r in all_])
+                m[np.searchsorted(y, x)] -= k
+                enough = n >= min_obs and m.sum() >= 2
+                statistic, p = test(x, k, y[m > 0], m[m > 0]) if enough else (0.0, 1.0)
+                rows.append((c, n, float(statistic), float(p), -1 if statistic < 0 else 1))
+            yield pd.DataFrame(rows, columns=["c", "n", "statistic", "p_value", "sign"])
+
+    return own.mapInPandas(run, f"c {df.schema[cluster].dataType.simpleString()}, n long, statistic double, p_value double, sign int").withColumnRenamed("c", cluster)
+
+
+def line(df: DataFrame, by: list[str], x: str = "x", y: str = "y", outliers: float | None = None, transform: Callable[[Column], Column] | None = None, least: int = 2) -> DataFrame:
+    """n, r, ordinary least squares and total least squares (slope of the first principal axis), for groups of `least` rows or more.
+
+    transform (such as asinh or log10) comes first, then missing and infinite values go, then, with `outliers`, rows beyond
+    that many standard deviations of their group's mean in x or y.
+    """
+    f = transform or (lambda c: c)
+    rows = df.withColumns({"__x": f(F.col(x)).cast("double"), "__y": f(F.col(y)).cast("double")})
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
+    rows = rows.where(finite("__x") & finite("__y"))
+    if outliers is not None:
+        moments = rows.groupBy(*by).agg(*[f_(c).alias(f"{c}{k}") for c in ("__x", "__y") for k, f_ in (("m", F.avg), ("s", F.stddev_samp))])
+        rows = rows.join(moments, by) if by else rows.crossJoin(F.broadcast(moments))  # one row
+        near = lambda c: F.coalesce(F.abs(F.col(c) - F.col(f"{c}m")) <= outliers * F.col(f"{c}s"), F.lit(True))
+        rows = rows.where(near("__x") & near("__y"))
+    sxx, syy, sxy = F.var_pop("__x"), F.var_pop("__y"), F.covar_pop("__x", "__y")
     tls = F.try_divide(syy - sxx + F.sqrt((syy - sxx) * (syy - sxx) + 4 * sxy * sxy), 2 * sxy)
-    ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return ok.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("r"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), tls.alias("tls_slope"), (F.avg(y) - tls * F.avg(x)).alias("tls_intercept"))
+    found = rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("r"), F.regr_slope("__y", "__x").alias("slope"), F.regr_intercept("__y", "__x").alias("intercept"), tls.alias("tls_slope"), (F.avg("__y") - tls * F.avg("__x")).alias("tls_intercept"))
+    return found.where(F.col("n") >= least)
 
 
 def with_line_p(lines: DataFrame) -> DataFrame:
@@ -352,3 +470,103 @@ def timing(log: DataFrame) -> DataFrame:
     """Total and running seconds by type from (seq, type, length, seconds)."""
     w = Window.partitionBy("type").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return log.withColumn("running", F.sum("seconds").over(w))
+
+
+def timing_rows(log: DataFrame) -> DataFrame:
+    """(seq, type, length, seconds) from a log of (seq, label, value): a row of `Timeseries N` begins a length, `SEGMENT TYPE`
+    names a type, and `elapsed, sec` ends a run. seq is the order of the lines; a log is one small file."""
+    w = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda label, kind: F.last(F.when(F.col("label") == label, F.col("value").cast(kind)), ignorenulls=True).over(w)
+    rows = log.withColumns({"type": last("SEGMENT TYPE", "string"), "length": last("Timeseries N", "long")})
+    return rows.where("label = 'elapsed, sec'").select("seq", "type", "length", F.col("value").cast("double").alias("seconds"))
+
+
+def segment_average(reads: DataFrame, avg: str | Callable[[Column], Column] = "mean", mean_ratio: bool = False, rm_extreme: bool = False, endcut: float = 0.0, k: int = 1, endrule: str = "median") -> DataFrame:
+    """(id, t, value): average read count of each segment's positions at each time point, from reads (id, coor, t, value).
+
+    In this order, as asked for: mean_ratio divides each position's series by its own mean; endcut leaves out that share of
+    the segment's positions (rounded half to even) at either end; a running median of k time points (odd) smooths each
+    position's series, whose ends are medians of fewer points (endrule "median"), stay ("keep") or repeat the first full
+    median ("constant"); rm_extreme leaves out positions whose mean over time is below the 10 % or above the 90 % quantile
+    of the segment's; the mean or median (or any Column aggregate) is taken; mean_ratio multiplies by the segment's mean.
+    """
+    position = Window.partitionBy("id", "coor")
+    rows = reads.select("id", "coor", "t", F.col("value").cast("double").alias("value"))
+    if mean_ratio:
+        scale = rows.groupBy("id").agg(F.avg("value").alias("__scale"))
+        rows = rows.withColumn("value", F.try_divide(F.col("value"), F.avg("value").over(position)))
+    if endcut or rm_extreme:
+        places = rows.groupBy("id", "coor").agg(F.count("*").alias("__t"))
+        if endcut:
+            places = places.withColumns({"__at": F.row_number().over(Window.partitionBy("id").orderBy("coor")), "__n": F.count("*").over(Window.partitionBy("id"))})
+            cut = F.bround(F.col("__n") * endcut)
+            places = places.where((F.col("__at") > cut) & (F.col("__at") <= F.col("__n") - cut))
+            rows = rows.join(places.select("id", "coor"), ["id", "coor"], "left_semi")
+    if k > 1:
+        order, half = position.orderBy("t"), k // 2
+        at, size = F.row_number().over(order), F.count("*").over(position)
+        near = F.least(at - 1, size - at)  # points to the nearer end
+        full = F.when(near >= half, F.percentile("value", F.lit(0.5)).over(order.rowsBetween(-half, half)))
+        if endrule == "constant":
+            first, final = F.first(full_ := F.col("__full"), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)), F.last(full_, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+            rows = rows.withColumn("__full", full).withColumn("value", F.coalesce("__full", first, final, "value")).drop("__full")
+        else:
+            less = [F.when(near == h, F.percentile("value", F.lit(0.5)).over(order.rowsBetween(-h, h))) for h in range(half)] if endrule == "median" else [F.col("value")]
+            rows = rows.withColumn("value", F.coalesce(full, *less))
+    if rm_extreme:
+        means = rows.groupBy("id", "coor").agg(F.avg("value").alias("__mean"))
+        ends = means.groupBy("id").agg(F.percentile("__mean", F.lit(0.1)).alias("__lo"), F.percentile("__mean", F.lit(0.9)).alias("__hi"))
+        kept = means.join(ends, "id").where((F.col("__mean") >= F.col("__lo")) & (F.col("__mean") <= F.col("__hi")))
+        rows = rows.join(kept.select("id", "coor"), ["id", "coor"], "left_semi")
+    centre = {"median": F.median, "mean": F.avg}.get(avg, avg)
+    out = rows.groupBy("id", "t").agg(centre("value").alias("value"))
+    return out.join(scale, "id").select("id", "t", (F.col("value") * F.col("__scale")).alias("value")) if mean_ratio else out
+
+
+def noise_filters(segments: DataFrame, averages: DataFrame, reads: DataFrame, p_values: DataFrame, oscillation: DataFrame, min_points: int = 12, min_log: float = -0.5, min_length: int = 90, p_cut: float = 0.05) -> DataFrame:
+    """(id, lowex, fewpoints, short, unsig, unsig_r, noise): which segments are weak.
+
+    segments (id, start, end); averages (id, t, value); reads (id, mean) of read_dist; p_values (id, significant) of p_dist;
+    oscillation (id, p) of a rhythm test. lowex: ln of the mean under min_log; fewpoints: at most min_points time points with
+    reads; short: under min_length; unsig: no significant position; unsig_r: p is not under p_cut; noise: unsig_r and lowex.
+    """
+    points = averages.groupBy("id").agg(F.count(F.when(F.col("value") > 0, 1)).alias("__points"))
+    every = segments.select("id", (F.col("end") - F.col("start") + 1).alias("__length")).join(points, "id", "left").join(reads.select("id", "mean"), "id", "left")
+    every = every.join(p_values.select("id", "significant"), "id", "left").join(oscillation.select("id", "p"), "id", "left")
+    # without reads the logarithm is minus infinity
+    low = F.when(F.coalesce("mean", F.lit(0.0)) <= 0, True).otherwise(F.ln("mean") < min_log)
+    unsigned = F.coalesce(F.col("p") >= p_cut, F.lit(True))
+    return every.select("id", low.alias("lowex"), (F.coalesce("__points", F.lit(0)) <= min_points).alias("fewpoints"), (F.col("__length") < min_length).alias("short"), (F.coalesce("significant", F.lit(0.0)) == 0).alias("unsig"), unsigned.alias("unsig_r"), (unsigned & low).alias("noise"))
+
+
+def dynamics(segments: DataFrame, reads: DataFrame, oscillation: DataFrame, p_cut: float = 0.05) -> DataFrame:
+    """One row for each segment (id, chr, start, end): read counts, circular phase and p-values of its positions.
+
+    reads (chr, coor, t, value), oscillation (chr, coor, phase, p). Phases are weighted by 1 - p. Both joins are bucketed.
+    """
+    from loomspan.operators.intervals import points_in
+
+    held = points_in(reads, segments.select("id", "chr", "start", "end")).select(F.col("t_id").alias("id"), F.col("q_value").alias("value"))
+    marks = points_in(oscillation, segments.select("id", "chr", "start", "end")).select(F.col("t_id").alias("id"), F.col("q_phase").alias("phase"), F.col("q_p").alias("p"), (1 - F.coalesce("q_p", F.lit(1.0))).alias("weight"))
+    counts = read_dist(held, ["id"], "value").select("id", *[F.col(c).alias(f"r_{c}") for c in ("total", "n", "mean", "variance", "least", "most", "zero_share")])
+    angles = phase_dist(marks, ["id"], "phase", "weight").select("id", F.col("mean_phase").alias("ph_mean"), F.col("resultant").alias("ph_resultant"))
+    return segments.select("id").join(counts, "id", "left").join(angles, "id", "left").join(p_dist(marks, ["id"], "p", p_cut).select("id", F.col("mean_p").alias("p_mean"), F.col("significant").alias("p_significant"), F.col("missing").alias("p_missing")), "id", "left")
+
+
+def recovery(query: DataFrame, target: DataFrame, qtype: str = "type", ttype: str = "type", **cuts) -> DataFrame:
+    """overlap_stats of every query type against every target type with a hit, as one job: ttype, qtype, targets, hits_per_target, ...
+
+    Hits are ranked within target and query type, all pairs in one bucketed join. For randomized targets give random_segments.
+    """
+    from loomspan.operators.intervals import annotate_by
+
+    lo, hi = cuts.get("ratio_range", (0.8, 1.2))
+    cover, least, quantile = cuts.get("min_cover", 0.8), cuts.get("min_jaccard", 0.5), cuts.get("quantile", 0.5)
+    hits = annotate_by(query, target, qtype, ttype)
+    best = hits.where("qrank = 1").withColumns({"j": F.col("intersect") / F.col("union"), "ratio": F.col("qlen") / F.col("tlen")})
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    good = (F.col("intersect") / F.col("tlen") >= cover) & (F.col("intersect") / F.col("qlen") >= cover)
+    out = best.groupBy("ttype", "qtype").agg(F.countDistinct("target").alias("targets_hit"), F.sum(F.when(good, 1).otherwise(0)).alias("good_hits"), (F.sum("intersect") / F.sum("union")).alias("jaccard"), share(F.col("j") >= least).alias("j_above"), F.percentile("j", F.lit(quantile)).alias("j_cutoff"), share(F.col("ratio") < lo).alias("ratio_low"), share(F.col("ratio") <= hi).alias("ratio_high"))
+    per = hits.groupBy("ttype", "qtype").agg((F.count("*") / F.countDistinct("target")).alias("hits_per_target"))
+    of = target.groupBy(F.col(ttype).alias("ttype")).agg(F.count("*").alias("targets"))
+    return out.join(per, ["ttype", "qtype"]).join(of, "ttype")

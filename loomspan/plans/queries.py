@@ -517,15 +517,16 @@ def _(spark, d):
     return rounded(series.dft(fixture(spark, d, "fx_ts")), "re", "im", digits=4).select("id", "k", F.expr("re + 0.0").alias("re"), F.expr("im + 0.0").alias("im"))
 
 
-@register("phases", DFT + ", a AS (SELECT id, k, sqrt(re * re + im * im) AS amplitude, degrees(-atan2(im, re)) AS p FROM f WHERE k BETWEEN 1 AND 11) SELECT id, k, round(amplitude, 4) AS amplitude, round(CASE WHEN p <= 0 THEN p + 360 ELSE p END, 3) AS phase FROM a WHERE amplitude > 1", "fx_ts")
+@register("phases", DFT + ", a AS (SELECT id, k, sqrt(re * re + im * im) AS amplitude, degrees(-atan2(im, re)) AS p FROM f WHERE k >= 1) SELECT id, k, round(amplitude, 4) AS amplitude, CASE WHEN amplitude > 1e-6 THEN round(CASE WHEN p <= 0 THEN p + 360 ELSE p END, 3) % 360 END AS phase FROM a", "fx_ts")
 def _(spark, d):
-    got = series.phases(series.dft(fixture(spark, d, "fx_ts"))).where("k between 1 and 11 and amplitude > 1")
-    return rounded(rounded(got, "amplitude", digits=4), "phase", digits=3).select("id", "k", "amplitude", "phase")
+    got = series.phases(series.dft(fixture(spark, d, "fx_ts")))
+    # 0 and 360 are one angle, and nothing has no angle
+    return got.select("id", "k", F.round("amplitude", 4).alias("amplitude"), F.when(F.col("amplitude") > 1e-6, F.round("phase", 3) % 360).alias("phase"))
 
 
-@register("signal_to_noise", DFT + ", a AS (SELECT id, k, sqrt(re * re + im * im) AS a FROM f), s AS (SELECT id, sum(a) FILTER (WHERE k > 0) AS total, count(*) FILTER (WHERE k > 0) AS m, max(a) FILTER (WHERE k = 0) AS dc FROM a GROUP BY id) SELECT id, k, round(a / ((total - a) / (m - 1)), 4) AS snr, round(a / nullif(dc, 0), 4) AS scaled FROM a JOIN s USING (id) WHERE k BETWEEN 1 AND 11", "fx_ts")
+@register("signal_to_noise", DFT + ", a AS (SELECT id, k, sqrt(re * re + im * im) AS a FROM f), s AS (SELECT id, sum(a) FILTER (WHERE k > 0) AS total, count(*) FILTER (WHERE k > 0) AS m, max(a) FILTER (WHERE k = 0) AS dc FROM a GROUP BY id) SELECT id, k, round(a / ((total - a) / (m - 1)), 4) AS snr, round(a / nullif(dc, 0), 4) AS scaled FROM a JOIN s USING (id) WHERE k >= 1", "fx_ts")
 def _(spark, d):
-    return rounded(series.signal_to_noise(series.dft(fixture(spark, d, "fx_ts"))).where("k <= 11"), "snr", "scaled", digits=4).select("id", "k", "snr", "scaled")
+    return rounded(series.signal_to_noise(series.dft(fixture(spark, d, "fx_ts"))), "snr", "scaled", digits=4).select("id", "k", "snr", "scaled")
 
 
 @register("spectrum_peak", DFT + ", a AS (SELECT id, k, round(sqrt(re * re + im * im), 6) AS a FROM f WHERE k BETWEEN 1 AND 11), r AS (SELECT id, k, a, row_number() OVER (PARTITION BY id ORDER BY a DESC, k) AS n FROM a) SELECT id, round(a, 4) AS amplitude, k FROM r WHERE n = 1", "fx_ts")
@@ -588,9 +589,10 @@ def _(spark, d):
     return series.greedy_fusion(runs, 40)
 
 
-@register("sliding_dft")
+@register("sliding_dft", """, w AS (SELECT a.id, a.t, k, sum(b.y * cos(2 * pi() * k * (b.t - a.t) / 8)) AS re, sum(b.y * sin(2 * pi() * k * (b.t - a.t) / 8)) AS im FROM fx_ts a JOIN fx_ts b ON a.id = b.id AND b.t BETWEEN a.t AND a.t + 7 CROSS JOIN (VALUES (1), (2)) AS c(k) WHERE a.t <= 16 GROUP BY 1, 2, 3)
+SELECT id, t, k, round(sqrt(re * re + im * im) / 8, 5) AS amplitude FROM w""", "fx_ts")
 def _(spark, d):
-    return series.sliding_dft(fixture(spark, d, "fx_ts"), 8, ["id"], "t", "y", [1, 2])
+    return rounded(series.sliding_dft(fixture(spark, d, "fx_ts"), 8, ["id"], "t", "y", periods=(4, 8)), "amplitude", digits=5)
 
 
 @register("dft_permutation_p")
@@ -660,79 +662,202 @@ def _(spark, d):
     return rounded(stats.timing(o), "running", digits=2).select("seq", "type", "running")
 
 
-# ---------------------------------------------------------------- sequences and scalars
+# ---------------------------------------------------------------- segments' dynamics
 
-DNA = "(SELECT doc_id AS id, substr(upper(regexp_replace(text, '[^acgtACGT]', '', 'g')), 1, 400) AS seq FROM documents)"
+HELD = """, p AS (SELECT chr, coor, t, reads FROM fx_signal), s AS (SELECT id, chr, start // 600 + 1 AS a, end_ // 600 + 1 AS b FROM fx_seg WHERE type = 'purchase'),
+held AS (SELECT s.id, p.coor, p.t, p.reads FROM s JOIN p ON p.chr = s.chr AND p.coor BETWEEN a AND b)
+"""
 
 
-#: DNA is the first 400 letters: the queries on it are SQL checks beside those of the same name and _whole.
-WHOLE_DNA = "(SELECT doc_id AS id, upper(regexp_replace(text, '[^acgtACGT]', '', 'g')) AS seq FROM documents)"
+def coarse_seg(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases in 10-minute positions."""
+    s = seg(spark, d).where("type = 'purchase'")
+    return s.select("id", "chr", "type", "strand", (F.floor(F.col("start") / 600) + 1).alias("start"), (F.floor(F.col("end") / 600) + 1).alias("end"))
 
 
-def whole_dna(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select(F.col("doc_id").alias("id"), F.upper(F.regexp_replace("text", "[^acgtACGT]", "")).alias("seq"))
+def held_reads(spark: SparkSession, d: str) -> DataFrame:
+    got = intervals.segment_reads(coarse_seg(spark, d).select("id", "chr", "start", "end"), fixture(spark, d, "fx_signal").select("chr", "coor", "t", "reads"))
+    return got.select(F.col("t_id").alias("id"), F.col("q_coor").alias("coor"), F.col("q_t").alias("t"), F.col("q_reads").alias("value"))
 
 
-def dna(spark: SparkSession, d: str) -> DataFrame:
-    return whole_dna(spark, d).withColumn("seq", F.substring("seq", 1, 400))
+@register("segment_average", HELD + "SELECT id, t, round(avg(reads), 6) AS value FROM held GROUP BY 1, 2", "fx_seg", "fx_signal")
+def _(spark, d):
+    return rounded(stats.segment_average(held_reads(spark, d)), "value")
 
 
-@register("revcomp", f"SELECT id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM {DNA} AS s")
+@register("segment_average_trimmed", HELD + """, pos AS (SELECT id, coor, avg(reads) AS m, row_number() OVER (PARTITION BY id ORDER BY coor) AS place, count(*) OVER (PARTITION BY id) AS n FROM held GROUP BY id, coor),
+cut AS (SELECT * FROM pos WHERE place > round_even(n * 0.2, 0) AND place <= n - round_even(n * 0.2, 0)), q AS (SELECT id, quantile_cont(m, 0.1) AS lo, quantile_cont(m, 0.9) AS hi FROM cut GROUP BY id)
+SELECT held.id, held.t, round(median(reads), 6) AS value FROM held JOIN cut USING (id, coor) JOIN q USING (id) WHERE m >= lo AND m <= hi GROUP BY 1, 2""", "fx_seg", "fx_signal")
 def _(spark, d):
-    return dna(spark, d).select("id", sequence.revcomp(F.col("seq")).alias("rc"))
+    return rounded(stats.segment_average(held_reads(spark, d), "median", rm_extreme=True, endcut=0.2), "value")
 
 
-@register("letter_frequency", f"SELECT id, letter, round((length(seq) - length(replace(seq, letter, ''))) / nullif(length(seq), 0), 6) AS frequency FROM {DNA} AS s CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) AS l(letter)")
+OSC = """, o AS (SELECT DISTINCT chr, coor, CAST((coor * 37) % 360 + 1 AS DOUBLE) AS phase, CASE WHEN coor % 5 = 0 THEN 1.0 ELSE 1.0 / (coor % 50 + 1) END AS pv FROM fx_signal),
+marks AS (SELECT s.id, phase, CASE WHEN pv = 1 THEN NULL ELSE pv END AS pv, 1 - pv AS w FROM s JOIN o ON o.chr = s.chr AND o.coor BETWEEN a AND b),
+ang AS (SELECT id, sum(w * cos(radians(phase))) AS x, sum(w * sin(radians(phase))) AS y, sum(w) AS w, count(*) AS n, avg(pv) AS p_mean, avg(CASE WHEN pv < 0.05 THEN 1.0 ELSE 0.0 END) AS sig FROM marks GROUP BY id),
+rd AS (SELECT id, CAST(sum(reads) AS BIGINT) AS total, count(*) AS n, avg(reads) AS mean, var_samp(reads) AS v FROM held GROUP BY id)
+"""
+
+
+def oscillation(spark: SparkSession, d: str) -> DataFrame:
+    points = fixture(spark, d, "fx_signal").select("chr", "coor").distinct()
+    return points.select("chr", "coor", ((F.col("coor") * 37) % 360 + 1).cast("double").alias("phase"), F.when(F.col("coor") % 5 == 0, 1.0).otherwise(1.0 / (F.col("coor") % 50 + 1)).alias("p"))
+
+
+@register("segment_dynamics", HELD + OSC + """SELECT s.id, rd.total AS r_total, rd.n AS r_n, round(rd.mean, 6) AS r_mean, round(rd.v, 6) AS r_variance, round(CASE WHEN degrees(atan2(y, x)) <= 0 THEN degrees(atan2(y, x)) + 360 ELSE degrees(atan2(y, x)) END, 3) AS ph_mean, round(sqrt(x * x + y * y) / nullif(ang.w, 0), 6) AS ph_resultant, round(p_mean, 6) AS p_mean, round(sig, 6) AS p_significant
+FROM s LEFT JOIN rd ON rd.id = s.id LEFT JOIN ang ON ang.id = s.id""", "fx_seg", "fx_signal")
 def _(spark, d):
-    return rounded(sequence.letter_frequency(dna(spark, d)), "frequency")
+    reads = fixture(spark, d, "fx_signal").select("chr", "coor", "t", F.col("reads").alias("value"))
+    got = rounded(stats.dynamics(coarse_seg(spark, d), reads, oscillation(spark, d)), "r_mean", "r_variance", "ph_resultant", "p_mean", "p_significant")
+    return rounded(got, "ph_mean", digits=3).select("id", "r_total", "r_n", "r_mean", "r_variance", "ph_mean", "ph_resultant", "p_mean", "p_significant")
 
 
-@register("range_frequency", f"SELECT id, letter, round((length(p) - length(replace(p, letter, ''))) / nullif(length(p), 0), 6) AS frequency FROM (SELECT id, substr(seq, 11, 50) AS p FROM {DNA} AS s) AS x CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) AS l(letter)")
+@register("noise_filters", HELD + OSC + """, pts AS (SELECT id, count(DISTINCT t) AS points FROM held WHERE reads > 0 GROUP BY id)
+SELECT s.id, CASE WHEN coalesce(rd.mean, 0) <= 0 THEN true ELSE ln(rd.mean) < 0.3 END AS lowex, coalesce(points, 0) <= 4 AS fewpoints, b - a + 1 < 4 AS short, coalesce(sig, 0) = 0 AS unsig, (s.id % 7) / 7.0 >= 0.5 AS unsig_r,
+ (s.id % 7) / 7.0 >= 0.5 AND CASE WHEN coalesce(rd.mean, 0) <= 0 THEN true ELSE ln(rd.mean) < 0.3 END AS noise FROM s LEFT JOIN rd ON rd.id = s.id LEFT JOIN ang ON ang.id = s.id LEFT JOIN pts ON pts.id = s.id""", "fx_seg", "fx_signal")
 def _(spark, d):
-    s = dna(spark, d)
-    return rounded(sequence.range_frequency(s, s.select("id", F.lit(11).alias("start"), F.lit(60).alias("end"))), "frequency")
+    s, held = coarse_seg(spark, d), held_reads(spark, d)
+    marks = intervals.points_in(oscillation(spark, d), s.select("id", "chr", "start", "end")).select(F.col("t_id").alias("id"), F.col("q_p").alias("p"))
+    test = s.select("id", ((F.col("id") % 7) / 7.0).alias("p"))
+    return stats.noise_filters(s, stats.segment_average(held), stats.read_dist(held, ["id"], "value"), stats.p_dist(marks, ["id"], "p"), test, 4, 0.3, 4, 0.5)
 
 
-@register("window_composition", f"SELECT id, CAST(start AS INT) AS start, letter, round((51 - length(replace(substr(seq, start, 51), letter, ''))) / 51, 6) AS frequency FROM (SELECT id, seq, unnest(range(1, length(seq) - 49, 25)) AS start FROM {DNA} AS s WHERE length(seq) >= 51) AS w CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) AS l(letter)")
+@register("presegment_summary", HELD + "SELECT s.id, b - a + 1 AS length, count(DISTINCT coor) AS covered, count(coor) AS points, CAST(coalesce(sum(reads), 0) AS BIGINT) AS reads FROM s LEFT JOIN held USING (id) GROUP BY s.id, a, b", "fx_seg", "fx_signal")
 def _(spark, d):
-    return rounded(sequence.window_composition(dna(spark, d), 50, 25), "frequency")
+    return series.presegment_summary(coarse_seg(spark, d), fixture(spark, d, "fx_signal").select("chr", "coor", "t", "reads"))
 
 
-@register("skew", f"WITH w AS (SELECT id, length(seq) AS n, start, substr(seq, start, 51) AS p FROM (SELECT id, seq, unnest(range(1, length(seq) - 49, 25)) AS start FROM {DNA} AS s WHERE length(seq) >= 51) AS x), k AS (SELECT id, n, start, (length(replace(p, 'C', '')) - length(replace(p, 'G', ''))) / nullif(102 - length(replace(p, 'G', '')) - length(replace(p, 'C', '')), 0) AS s FROM w) SELECT id, CAST(start AS INT) AS start, round(s, 6) AS skew, round(sum(coalesce(s, 0)) OVER (PARTITION BY id ORDER BY start) * 25 / n, 6) AS cumulative FROM k")
+@register("segment_recovery", """, pairs AS (SELECT q.type AS qtype, t.type AS ttype, t.id AS target, least(q.end_, t.end_) - greatest(q.start, t.start) + 1 AS intersect, greatest(q.end_, t.end_) - least(q.start, t.start) + 1 AS "union", q.end_ - q.start + 1 AS qlen, t.end_ - t.start + 1 AS tlen FROM fx_seg q JOIN fx_seg t ON q.chr = t.chr AND q.strand = t.strand AND q.end_ >= t.start AND q.start <= t.end_),
+h AS (SELECT *, rank() OVER (PARTITION BY qtype, target ORDER BY intersect / "union" DESC) AS qrank FROM pairs), b AS (SELECT *, intersect / "union" AS j FROM h WHERE qrank = 1),
+best AS (SELECT ttype, qtype, count(DISTINCT target) AS targets_hit, CAST(sum(CASE WHEN intersect / tlen >= 0.8 AND intersect / qlen >= 0.8 THEN 1 ELSE 0 END) AS BIGINT) AS good_hits, round(sum(intersect) / sum("union"), 6) AS jaccard, round(avg(CASE WHEN j >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS j_above, round(quantile_cont(j, 0.5), 6) AS j_cutoff, round(avg(CASE WHEN qlen / tlen < 0.8 THEN 1.0 ELSE 0.0 END), 6) AS ratio_low, round(avg(CASE WHEN qlen / tlen <= 1.2 THEN 1.0 ELSE 0.0 END), 6) AS ratio_high FROM b GROUP BY 1, 2),
+per AS (SELECT ttype, qtype, round(count(*) / count(DISTINCT target), 6) AS hits_per_target FROM h GROUP BY 1, 2), tt AS (SELECT type AS ttype, count(*) AS targets FROM fx_seg GROUP BY 1)
+SELECT * FROM best JOIN per USING (ttype, qtype) JOIN tt USING (ttype)""", "fx_seg")
 def _(spark, d):
-    return rounded(sequence.skew(dna(spark, d), "G", "C", 50, 25), "skew", "cumulative")
+    s = seg(spark, d)
+    return rounded(stats.recovery(s, s), "jaccard", "j_above", "j_cutoff", "ratio_low", "ratio_high", "hits_per_target")
 
 
-@register("mutate", f"SELECT id, concat('T', substr(seq, 2)) AS mutated FROM {DNA} AS s WHERE length(seq) > 3")
+@register("self_overlap", """, f AS (SELECT * FROM fx_seg WHERE strand <> '-'), r AS (SELECT * FROM fx_seg WHERE strand = '-')
+SELECT r.id AS target, f.id AS query, least(f.end_, r.end_) - greatest(f.start, r.start) + 1 AS intersect FROM f JOIN r ON f.chr = r.chr AND f.end_ >= r.start AND f.start <= r.end_""", "fx_seg")
 def _(spark, d):
-    s = dna(spark, d).where("length(seq) > 3")
-    return s.select("id", sequence.mutate(F.col("seq"), F.array(F.concat(F.substring("seq", 1, 1), F.lit("1T")))).alias("mutated"))
+    return intervals.self_overlap(seg(spark, d)).select("target", "query", "intersect")
+
+
+FACING = """, fl AS (SELECT id, chr, type, strand, CASE WHEN (strand = '-') = {after} THEN start - 300 ELSE end_ + 1 END AS start, CASE WHEN (strand = '-') = {after} THEN start - 1 ELSE end_ + 300 END AS end_ FROM fx_seg)
+SELECT t.id AS target, q.id AS query, least(q.end_, t.end_) - greatest(q.start, t.start) + 1 AS intersect FROM fl q JOIN fl t ON q.chr = t.chr AND q.strand <> t.strand AND q.end_ >= t.start AND q.start <= t.end_ WHERE q.type IN ('click', 'view') AND t.type = 'purchase'"""
+
+
+@register("convergent_overlap", FACING.replace("{after}", "true"), "fx_seg")
+def _(spark, d):
+    return intervals.facing(*split_seg(spark, d), 300).select("target", "query", "intersect")
+
+
+@register("divergent_overlap", FACING.replace("{after}", "false"), "fx_seg")
+def _(spark, d):
+    return intervals.facing(*split_seg(spark, d), -300).select("target", "query", "intersect")
 
 
-@register("revcomp_whole", ORACLE["revcomp"].replace(DNA, WHOLE_DNA))
+@register("hits_as_target_sees", PAIRS + "SELECT target, query, CASE qpos WHEN 'covers' THEN 'inside' WHEN 'inside' THEN 'covers' WHEN 'left' THEN 'right' ELSE 'left' END AS qpos, qlen FROM hits", "fx_seg")
 def _(spark, d):
-    return whole_dna(spark, d).select("id", sequence.revcomp(F.col("seq")).alias("rc"))
+    return intervals.as_target_sees(intervals.annotate(*split_seg(spark, d), add_na=True)).select("target", "query", "qpos", "qlen")
 
 
-@register("letter_frequency_whole", ORACLE["letter_frequency"].replace(DNA, WHOLE_DNA))
+@register("known_chromosomes", "SELECT id, chr FROM fx_seg WHERE chr IN (1, 3) AND type = 'view'", "fx_seg")
 def _(spark, d):
-    return rounded(sequence.letter_frequency(whole_dna(spark, d)), "frequency")
+    chroms = fixture(spark, d, "fx_genome").where("chr in (1, 3)")
+    return intervals.known_chromosomes(intervals.with_types(seg(spark, d), ["view"]), chroms).select("id", "chr")
 
 
-@register("window_composition_whole", ORACLE["window_composition"].replace(DNA, WHOLE_DNA))
+@register("permutation_table")
 def _(spark, d):
-    return rounded(sequence.window_composition(whole_dna(spark, d), 50, 25), "frequency")
+    s = seg(spark, d)
+    return intervals.permutation_table(s, s, 100)
 
 
-@register("skew_whole", ORACLE["skew"].replace(DNA, WHOLE_DNA))
+@register("track_spectrum", ", p AS (SELECT chr, CAST(coor AS BIGINT) AS coor, sum(reads) AS y FROM fx_signal GROUP BY 1, 2), g AS (SELECT c.chr, x.coor, coalesce(p.y, 0) AS y FROM (SELECT DISTINCT chr FROM fx_signal) AS c CROSS JOIN (SELECT unnest(range(1, 4321)) AS coor) AS x LEFT JOIN p ON p.chr = c.chr AND p.coor = x.coor), f AS (SELECT chr, k, sum(y * cos(2 * pi() * k * (coor - 1) / 4320)) AS re, sum(y * sin(2 * pi() * k * (coor - 1) / 4320)) AS im FROM g CROSS JOIN (VALUES (1), (30), (60)) AS kk(k) GROUP BY 1, 2) SELECT chr, k, 4320.0::DOUBLE / k AS period, round(sqrt(re * re + im * im) / 4320, 7) AS amplitude FROM f", "fx_signal")
 def _(spark, d):
-    return rounded(sequence.skew(whole_dna(spark, d), "G", "C", 50, 25), "skew", "cumulative")
+    p = fixture(spark, d, "fx_signal").groupBy("chr", "coor").agg(F.sum("reads").alias("y"))
+    spine = p.select("chr").distinct().withColumn("coor", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(4320).cast("long"))))
+    full = spine.join(p, ["chr", "coor"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    return rounded(series.track_spectrum(full, [1, 30, 60], ["chr"], "coor", "y"), "amplitude", digits=7)
 
 
-@register("mutate_whole", ORACLE["mutate"].replace(DNA, WHOLE_DNA))
+@register("sets_by_size", "SELECT p_brand, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS place FROM part GROUP BY p_brand")
 def _(spark, d):
-    s = whole_dna(spark, d).where("length(seq) > 3")
+    return series.sets_by_size(spark.read.parquet(f"{d}/part.parquet"), "p_brand")
+
+
+@register("timing_rows", "SELECT o_orderkey * 3 + 2 AS seq, concat('K:', o_orderkey % 4) AS type, CAST(o_orderkey % 1000 AS BIGINT) AS length, o_totalprice AS seconds FROM orders")
+def _(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    lines = F.array(F.struct(F.lit("Timeseries N").alias("label"), (F.col("o_orderkey") % 1000).cast("string").alias("value")), F.struct(F.lit("SEGMENT TYPE").alias("label"), F.concat(F.lit("K:"), (F.col("o_orderkey") % 4).cast("string")).alias("value")), F.struct(F.lit("elapsed, sec").alias("label"), F.col("o_totalprice").cast("string").alias("value")))
+    log = o.select("o_orderkey", F.posexplode(lines).alias("i", "line")).select((F.col("o_orderkey") * 3 + F.col("i")).alias("seq"), "line.label", "line.value")
+    return stats.timing_rows(log)
+
+
+@register("inserted_rows", ", o AS (SELECT id, 0 AS new, place FROM (SELECT id, row_number() OVER (ORDER BY chr, least(start, end_), id) AS place FROM fx_seg) AS x UNION ALL SELECT -id, 1, place FROM (SELECT id, row_number() OVER (ORDER BY chr, least(start, end_), id) AS place FROM fx_seg) AS y WHERE id % 5 = 0) SELECT id, row_number() OVER (ORDER BY place, new, id) AS place FROM o", "fx_seg")
+def _(spark, d):
+    rows = genome.sort_rank(seg(spark, d)).select("id", "place")
+    return genome.insert_rows(rows, rows.where("id % 5 = 0").select((-F.col("id")).alias("id"), "place"))
+
+
+@register("curve_summary", PAIRS + ", n AS (SELECT q.type AS kind, round(qlen / tlen, 1) AS x, count(*) AS n FROM hits JOIN q ON q.id = hits.query WHERE qrank = 1 GROUP BY 1, 2), c AS (SELECT kind, x, sum(n) OVER (PARTITION BY kind ORDER BY x) / sum(n) OVER (PARTITION BY kind) AS cdf FROM n) SELECT x, round(avg(cdf), 6) AS mean, round(min(cdf), 6) AS least, round(max(cdf), 6) AS most, count(*) AS n FROM c GROUP BY x", "fx_seg")
+def _(spark, d):
+    q, t = split_seg(spark, d)
+    b = intervals.annotate(q, t).where("qrank = 1").join(q.select(F.col("id").alias("query"), F.col("type").alias("kind")), "query")
+    curves = stats.ecdf(b.select("kind", F.round(F.col("qlen") / F.col("tlen"), 1).alias("x")), "x", ["kind"])
+    return rounded(stats.curve_summary(curves, ["x"]), "mean", "least", "most")
+
+
+@register("regression_trimmed", ", m AS (SELECT class, avg(x) AS mx, stddev_samp(x) AS sx, avg(y) AS my, stddev_samp(y) AS sy FROM fx_xy GROUP BY class), k AS (SELECT class, x, y FROM fx_xy JOIN m USING (class) WHERE abs(x - mx) <= 1.5 * sx AND abs(y - my) <= 1.5 * sy) SELECT class, count(*) AS n, round(corr(x, y), 6) AS r, round(regr_slope(y, x), 4) AS slope FROM k GROUP BY class", "fx_xy")
+def _(spark, d):
+    return rounded(rounded(stats.line(fixture(spark, d, "fx_xy"), ["class"], outliers=1.5), "r"), "slope", digits=4).select("class", "n", "r", "slope")
+
+
+@register("cluster_profile_ranksum")
+def _(spark, d):
+    return stats.cluster_profile(fixture(spark, d, "fx_profile"), "ranksum")
+
+
+# ---------------------------------------------------------------- sequences and scalars
+
+DNA = "(SELECT doc_id AS id, upper(regexp_replace(text, '[^acgtACGT]', '', 'g')) AS seq FROM documents)"
+
+
+def dna(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select(F.col("doc_id").alias("id"), F.upper(F.regexp_replace("text", "[^acgtACGT]", "")).alias("seq"))
+
+
+@register("revcomp", f"SELECT id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM {DNA} AS s")
+def _(spark, d):
+    return dna(spark, d).select("id", sequence.revcomp(F.col("seq")).alias("rc"))
+
+
+@register("letter_frequency", f"SELECT id, letter, round((length(seq) - length(replace(seq, letter, ''))) / nullif(length(seq), 0), 6) AS frequency FROM {DNA} AS s CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) AS l(letter)")
+def _(spark, d):
+    return rounded(sequence.letter_frequency(dna(spark, d)), "frequency")
+
+
+@register("range_frequency", f"SELECT id, letter, round((length(p) - length(replace(p, letter, ''))) / nullif(length(p), 0), 6) AS frequency FROM (SELECT id, substr(seq, 11, 50) AS p FROM {DNA} AS s) AS x CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) AS l(letter)")
+def _(spark, d):
+    s = dna(spark, d)
+    return rounded(sequence.range_frequency(s, s.select("id", F.lit(11).alias("start"), F.lit(60).alias("end"))), "frequency")
+
+
+@register("window_composition", f"SELECT id, CAST(start AS INT) AS start, letter, round((51 - length(replace(substr(seq, start, 51), letter, ''))) / 51, 6) AS frequency FROM (SELECT id, seq, unnest(range(1, length(seq) - 49, 25)) AS start FROM {DNA} AS s WHERE length(seq) >= 51) AS w CROSS JOIN (VALUES ('A'), ('C'), ('G'), ('T')) AS l(letter)")
+def _(spark, d):
+    return rounded(sequence.window_composition(dna(spark, d), 50, 25), "frequency")
+
+
+@register("skew", f"WITH w AS (SELECT id, length(seq) AS n, start, substr(seq, start, 51) AS p FROM (SELECT id, seq, unnest(range(1, length(seq) - 49, 25)) AS start FROM {DNA} AS s WHERE length(seq) >= 51) AS x), k AS (SELECT id, n, start, (length(replace(p, 'C', '')) - length(replace(p, 'G', ''))) / nullif(102 - length(replace(p, 'G', '')) - length(replace(p, 'C', '')), 0) AS s FROM w) SELECT id, CAST(start AS INT) AS start, round(s, 6) AS skew, round(sum(coalesce(s, 0)) OVER (PARTITION BY id ORDER BY start) * 25 / n, 6) AS cumulative FROM k")
+def _(spark, d):
+    return rounded(sequence.skew(dna(spark, d), "G", "C", 50, 25), "skew", "cumulative")
+
+
+@register("mutate", f"SELECT id, concat('T', substr(seq, 2)) AS mutated FROM {DNA} AS s WHERE length(seq) > 3")
+def _(spark, d):
+    s = dna(spark, d).where("length(seq) > 3")
     return s.select("id", sequence.mutate(F.col("seq"), F.array(F.concat(F.substring("seq", 1, 1), F.lit("1T")))).alias("mutated"))
 
 

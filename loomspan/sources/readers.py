@@ -41,11 +41,16 @@ def attribute_map(attributes: Column, attrsep: str = ";", fieldsep: str = "=") -
     return F.map_from_entries(pairs)
 
 
-def gff_table(gff: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Attributes as columns; without `keys` all that occur (their names are few and are read first)."""
+def gff_table(gff: DataFrame, keys: list[str] | None = None, most: int = 10_000) -> DataFrame:
+    """Attributes as columns; without `keys` all that occur (their names are few and are read first).
+
+    More than `most` names are an error and not cut: such files want `keys`, or attribute_map as a column.
+    """
     mapped = gff.withColumn("__m", attribute_map(F.col("attributes")))
     if keys is None:
-        keys = [r["k"] for r in mapped.select(F.explode(F.map_keys("__m")).alias("k")).distinct().orderBy("k").limit(1000).collect()]
+        keys = [r["k"] for r in mapped.select(F.explode(F.map_keys("__m")).alias("k")).distinct().orderBy("k").limit(most + 1).collect()]
+        if len(keys) > most:
+            raise ValueError(f"more than {most} attribute names; give keys")
     return mapped.select(*[c for c in gff.columns if c != "attributes"], *[F.col("__m")[k].alias(k) for k in keys])
 
 
@@ -64,14 +69,20 @@ def read_bed(spark: SparkSession, path: str, header: tuple[str, ...] = ("chr", "
     return bed_coordinates(read_table(spark, path, ", ".join(f"{c} {kinds.get(c, 'string')}" for c in header), header=False, comment="#"))
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(id, desc, seq): '>' starts a record, ';' lines are comments, '/' goes; id is the first word without a last comma."""
+def read_fasta(spark: SparkSession, path: str, comments: bool = True, id_pattern: str | None = None, split_desc: str | None = None, strip_desc: bool = True) -> DataFrame:
+    """(id, desc, seq): '>' starts a record, ';' lines are comments (unless comments is off), '/' goes.
+
+    id is the first word of the description without a last comma, or the first group of id_pattern in it. strip_desc takes
+    blanks off the description's ends; split_desc adds `details`, its parts at that pattern.
+    """
     record = spark.read.option("lineSep", "\n>").text(path).select(F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
-    lines = F.filter("lines", lambda x: ~x.startswith(";"))
+    lines = F.filter("lines", lambda x: ~x.startswith(";")) if comments else F.col("lines")
     record = record.select(lines.alias("lines")).where((F.size("lines") > 0) & (F.element_at("lines", 1) != ""))
     desc = F.regexp_replace(F.element_at("lines", 1), "^>", "")
     seq = F.replace(F.array_join(F.slice("lines", F.lit(2), F.size("lines")), ""), F.lit("/"), F.lit(""))
-    return record.select(F.regexp_replace(F.element_at(F.split(desc, r"\s+"), 1), ",$", "").alias("id"), desc.alias("desc"), seq.alias("seq"))
+    desc = F.trim(desc) if strip_desc else desc
+    id_ = F.regexp_extract(desc, id_pattern, 1) if id_pattern else F.regexp_replace(F.element_at(F.split(desc, r"\s+"), 1), ",$", "")
+    return record.select(id_.alias("id"), desc.alias("desc"), *([F.split(desc, split_desc).alias("details")] if split_desc else []), seq.alias("seq"))
 
 
 def read_soft(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -99,10 +110,14 @@ def read_soft(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
     return platform, samples, values.join(platform.select("probe"), "probe", "left_semi")
 
 
-def summarize_probes(values: DataFrame, platform: DataFrame, field: str) -> DataFrame:
-    """(sample, feature, value): probes of one feature averaged, probes without a feature dropped."""
-    of = platform.select("probe", F.col("fields")[field].alias("feature")).where("feature is not null and feature <> ''")
-    return values.join(of, "probe").groupBy("sample", "feature").agg(F.avg("value").alias("value"))
+def summarize_probes(values: DataFrame, platform: DataFrame, field: str, avg="mean", keep_empty: bool = False) -> DataFrame:
+    """(sample, feature, value): probes of one feature averaged by mean, median or any Column aggregate.
+
+    Probes without a feature are dropped, or with keep_empty stay under their own names.
+    """
+    own = F.nullif(F.col("fields")[field], F.lit(""))
+    of = platform.select("probe", (F.coalesce(own, F.col("probe")) if keep_empty else own).alias("feature")).where("feature is not null")
+    return values.join(of, "probe").groupBy("sample", "feature").agg({"mean": F.avg, "median": F.median}.get(avg, avg)("value").alias("value"))
 
 
 def read_obo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -116,12 +131,15 @@ def read_obo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def ancestors(parents: DataFrame, limit: int = 64) -> DataFrame:
-    """(id, ancestor) pairs of an acyclic graph, by doubling paths until none is new."""
-    found = parents.select("id", F.col("parent").alias("ancestor")).distinct()
+    """(id, ancestor) pairs of an acyclic graph, by doubling paths until none is new. Each round is cut from the one before it:
+    a checkpoint where the session has a folder for them, else the executors' memory and disks, from which lost parts are redone."""
+    folder = parents.sparkSession.sparkContext.getCheckpointDir()
+    cut = lambda df: df.checkpoint() if folder else df.persist()
+    found = cut(parents.select("id", F.col("parent").alias("ancestor")).distinct())
     n = found.count()
     for _ in range(limit):
         longer = found.join(found.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("__a")), "ancestor").select("id", F.col("__a").alias("ancestor"))
-        found = found.unionAll(longer).distinct().checkpoint() if found.sparkSession.sparkContext.getCheckpointDir() else found.unionAll(longer).distinct()
+        found = cut(found.unionAll(longer).distinct())
         m = found.count()
         if m == n:
             return found
@@ -135,9 +153,19 @@ def minimal_terms(annotation: DataFrame, closure: DataFrame) -> DataFrame:
     return annotation.join(implied, ["id", "term"], "left_anti")
 
 
-def named_terms(annotation: DataFrame, terms: DataFrame) -> DataFrame:
-    """Term names; unknown ones keep their id."""
-    return annotation.join(terms.select(F.col("id").alias("term"), "name"), "term", "left").select("id", "term", F.coalesce("name", "term").alias("name"))
+def named_terms(annotation: DataFrame, terms: DataFrame, short: dict[str, str] | None = None) -> DataFrame:
+    """Term names; unknown ones keep their id. short: what is written for a part of a name, each in its turn."""
+    name = F.coalesce("name", "term")
+    for long, less in (short or {}).items():
+        name = F.replace(name, F.lit(long), F.lit(less))
+    return annotation.join(terms.select(F.col("id").alias("term"), "name"), "term", "left").select("id", "term", name.alias("name"))
+
+
+def with_roots(annotation: DataFrame, closure: DataFrame) -> DataFrame:
+    """(id, term, root): the ancestors of a term that have none themselves; a term without ancestors is its own root."""
+    inner = closure.select(F.col("id").alias("ancestor")).distinct()
+    roots = closure.join(inner, "ancestor", "left_anti").select(F.col("id").alias("term"), F.col("ancestor").alias("root"))
+    return annotation.join(roots, "term", "left").select("id", "term", F.coalesce("root", "term").alias("root"))
 
 
 def read_jaccard(spark: SparkSession, path: str, symmetric: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -162,13 +190,19 @@ def read_chromosomes(spark: SparkSession, path: str, header: bool = False) -> Da
 
 
 def read_timing(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, "label string, value string", header=False)
+    """(seq, label, value) of a timing log, one small file, in the order of its lines; stats.timing_rows makes rows of runs of it."""
+    return read_table(spark, path, "label string, value string", header=False).select(F.monotonically_increasing_id().alias("seq"), "label", "value")
 
 
 def painted(bed: DataFrame, spine: DataFrame) -> DataFrame:
-    """Every position of spine (chr, coor) with the value of the last BED row (by `row`) that covers it, null where none does."""
-    each = bed.select("chr", F.explode(F.sequence(F.col("start") + 1, F.col("end"))).alias("coor"), "row", "value")
-    top = each.groupBy("chr", "coor").agg(F.max_by("value", "row").alias("value"))
+    """Every position of spine (chr, coor) with the value of the last BED row (by `row`) that covers it, null where none does.
+
+    Positions meet the rows by the bucketed overlap join; a row's bases are not listed.
+    """
+    from loomspan.operators.intervals import points_in
+
+    rows = bed.select("chr", (F.col("start") + 1).alias("start"), "end", "row", "value").where("start <= end")
+    top = points_in(spine.select("chr", "coor"), rows).groupBy("chr", F.col("q_coor").alias("coor")).agg(F.max_by("t_value", "t_row").alias("value"))
     return spine.join(top, ["chr", "coor"], "left")
 
 

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.operators.genome import is_reverse
+from loomspan.operators.genome import is_reverse, numbered
 
 
 def bed_rows(df: DataFrame, name: str | None = None, score: str | None = None, prefix: str = "") -> DataFrame:
     """chr, start, end, name, score, strand of BED: 0-based starts, chr%02d for numbers, names id1, id2, ... and 0 where there are none."""
     number = df.schema["chr"].dataType.typeName() in ("integer", "long", "short")
     text = F.format_string("chr%02d", "chr") if number else F.concat(F.lit("chr"), F.col("chr"))
-    place = F.row_number().over(Window.orderBy("chr", F.least("start", "end"), "id")) if name is None else None
-    label = F.concat(F.lit("id"), place.cast("string")) if name is None else F.col(name).cast("string")
+    if name is None:
+        df = numbered(df, [F.col("chr")], F.least("start", "end"), ["id"], "__place")
+    label = F.concat(F.lit("id"), F.col("__place").cast("string")) if name is None else F.col(name).cast("string")
     value = F.lit("0") if score is None else F.col(score).cast("string")
     return df.select(text.alias("chr"), (F.least("start", "end") - 1).alias("start"), F.greatest("start", "end").alias("end"), F.concat(F.lit(prefix), label).alias("name"), F.concat(F.lit(prefix), value).alias("score"), F.when(is_reverse(), "-").otherwise("+").alias("strand"))
 

@@ -19,17 +19,17 @@ def whole_sequences(spark):
 def test_sequences_are_whole(spark):
     want = whole_sequences(spark)
     assert max(map(len, want.values())) > 400
-    rc = {r.id: r.rc for r in QUERIES["revcomp_whole"](spark, DATA).collect()}
+    rc = {r.id: r.rc for r in QUERIES["revcomp"](spark, DATA).collect()}
     assert rc == {i: s[::-1].translate(str.maketrans("ACGT", "TGCA")) for i, s in want.items()}
-    mutated = {r.id: r.mutated for r in QUERIES["mutate_whole"](spark, DATA).collect()}
+    mutated = {r.id: r.mutated for r in QUERIES["mutate"](spark, DATA).collect()}
     assert mutated == {i: "T" + s[1:] for i, s in want.items() if len(s) > 3}
-    shares = {(r.id, r.letter): r.frequency for r in QUERIES["letter_frequency_whole"](spark, DATA).collect()}
+    shares = {(r.id, r.letter): r.frequency for r in QUERIES["letter_frequency"](spark, DATA).collect()}
     assert all(shares[i, x] == pytest.approx(s.count(x) / len(s), abs=1e-6) for i, s in want.items() if s for x in "ACGT")
     starts = {(i, k) for i, s in want.items() for k in range(1, len(s) - 49, 25)}
-    windows = {(r.id, r.start, r.letter): r.frequency for r in QUERIES["window_composition_whole"](spark, DATA).collect()}
+    windows = {(r.id, r.start, r.letter): r.frequency for r in QUERIES["window_composition"](spark, DATA).collect()}
     assert set(windows) == {(i, k, x) for i, k in starts for x in "ACGT"}
     assert all(f == pytest.approx(want[i][k - 1 : k + 50].count(x) / 51, abs=1e-6) for (i, k, x), f in windows.items())
-    assert {(r.id, r.start) for r in QUERIES["skew_whole"](spark, DATA).collect()} == starts
+    assert {(r.id, r.start) for r in QUERIES["skew"](spark, DATA).collect()} == starts
 
 
 def test_reclustering_settles(spark):
