@@ -140,40 +140,59 @@ def antisense(query: DataFrame, target: DataFrame, **options) -> DataFrame:
     return annotate(switch_strand(query), target, **options)
 
 
+def running_max(df: DataFrame, keys: list[str], position: str, value: Column, out: str, order: list[str], own: bool = False, block: int = 1 << 20) -> DataFrame:
+    """Column `out`: the greatest value of the rows before each row (and of its own, with `own`) in the order of position and order.
+
+    No window holds a whole chromosome: blocks of positions are reduced to their greatest values, a window over blocks makes
+    what came before each, and rows look back within their block only.
+    """
+    rows = df.withColumns({"__block": F.floor(F.col(position) / block), "__value": value})
+    each = rows.groupBy(*keys, "__block").agg(F.max("__value").alias("__most"))
+    before = F.max("__most").over(Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    each = each.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], F.col("__block").alias("__b"), before.alias("__before"))
+    same = F.col("__block") == F.col("__b")
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    near = F.max("__value").over(Window.partitionBy(*keys, "__block").orderBy(position, *order).rowsBetween(Window.unboundedPreceding, 0 if own else -1))
+    return rows.withColumn("__near", near).join(each, same).withColumn(out, F.greatest("__near", "__before")).select(*df.columns, out)
+
+
 def _runs(df: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.select(*keys, "start", "end").withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
-    return marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("rows")).drop("run")
+    rows = running_max(df.select(*keys, "start", "end"), keys, "start", F.col("end"), "__reach", ["end"])
+    new = F.when(F.coalesce(F.col("start") > F.col("__reach"), F.lit(True)), F.col("start"))
+    # an island is named by where it begins
+    named = running_max(rows, keys, "start", new, "__begin", ["end"], own=True)
+    return named.groupBy(*keys, "__begin").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__begin")
 
 
 def merge_islands(df: DataFrame, by: tuple[str, ...] = ("type",), keys: tuple[str, ...] = KEYS, block: int = 1 << 16) -> DataFrame:
     """Unions of really overlapping intervals (touching ones stay apart), for each of keys and by.
 
-    Blocks of start positions are merged first, so the window over a whole chromosome sees islands and not all rows.
+    Blocks of start positions are merged first, so what comes next sees islands and not all rows.
     """
     every = [*by, *keys]
-    local = _runs(df.withColumn("__block", F.floor(F.col("start") / block)), [*every, "__block"]).drop("__block", "rows")
-    return _runs(local, every).drop("rows")
+    w = Window.partitionBy(*every, "__block").orderBy("start", "end")
+    rows = df.select(*every, "start", "end", F.floor(F.col("start") / block).alias("__block"))
+    marked = rows.withColumn("new", F.when(F.col("start") <= F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1))
+    local = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*every, "__block", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return _runs(local, every)
 
 
 def gaps(islands: DataFrame, chroms: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """What islands leave uncovered of every chromosome and strand, chromosomes without islands included."""
     ends = chroms.select("chr", F.col("len").cast("long").alias("len")).withColumn("strand", F.explode(F.array(F.lit("+"), F.lit("-"))))
     marks = islands.select("chr", "strand", "start", "end").unionAll(ends.select("chr", "strand", F.col("len") + 1, F.col("len") + 1)).unionAll(ends.select("chr", "strand", F.lit(0).cast("long"), F.lit(0).cast("long")))
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    out = marks.select("chr", "strand", (reach + 1).alias("start"), (F.col("start") - 1).alias("end")).where("start <= end")
+    marks = running_max(marks, list(keys), "start", F.col("end"), "__reach", ["end"])
+    out = marks.select("chr", "strand", (F.col("__reach") + 1).alias("start"), (F.col("start") - 1).alias("end")).where("start <= end")
     return out.join(ends, ["chr", "strand"]).where("start <= len").select("chr", "strand", "start", F.least("end", "len").alias("end"))
 
 
 def position_runs(points: DataFrame, keys: tuple[str, ...] = ("chr",), dist: int = 1) -> DataFrame:
     """Positions (coor) to runs: a step of more than dist starts a new one."""
-    w = Window.partitionBy(*keys).orderBy("coor")
-    step = F.col("coor") - F.lag("coor").over(w)
-    marked = points.select(*keys, "coor").withColumn("new", F.when(step <= dist, 0).otherwise(1))
-    runs = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*keys, "run").agg(F.min("coor").alias("start"), F.max("coor").alias("end"), F.count("*").alias("n")).drop("run")
+    rows = running_max(points.select(*keys, "coor"), list(keys), "coor", F.col("coor"), "__last", [])
+    new = F.when(F.coalesce(F.col("coor") - F.col("__last") > dist, F.lit(True)), F.col("coor"))
+    named = running_max(rows, list(keys), "coor", new, "__begin", [], own=True)
+    return named.groupBy(*keys, "__begin").agg(F.min("coor").alias("start"), F.max("coor").alias("end"), F.count("*").alias("n")).drop("__begin")
 
 
 def class_overlap(query: DataFrame, target: DataFrame, qclass: str = "type", tclass: str = "type", symmetric: bool = False) -> DataFrame:
@@ -255,9 +274,8 @@ def permutation_p(query: DataFrame, target: DataFrame, replicates: int, seed: in
 
 def disjoint(df: DataFrame) -> DataFrame:
     """Segments of a chromosome strand that start before the largest end so far are cut to what is beyond it; nothing left: gone."""
-    w = Window.partitionBy("chr", "strand").orderBy("start", "end", "class")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("start", F.greatest(F.col("start"), F.coalesce(reach + 1, F.col("start")))).where("start <= end")
+    rows = running_max(df, ["chr", "strand"], "start", F.col("end"), "__reach", ["end", "class"])
+    return rows.withColumn("start", F.greatest(F.col("start"), F.coalesce(F.col("__reach") + 1, F.col("start")))).where("start <= end").drop("__reach")
 
 
 def align(sites: DataFrame, data: DataFrame, dst: int, value: str = "v", chroms: DataFrame | None = None) -> DataFrame:
