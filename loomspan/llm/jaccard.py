@@ -125,7 +125,7 @@ def digests(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, s: Settings) -> DataFrame:
-    """(node, n, tokens) of docs (doc_id, text)."""
+    """(node, n, tokens, sid) of docs (doc_id, text); sid is a hash of the set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,21 +133,21 @@ def whole_sets(docs: DataFrame, s: Settings) -> DataFrame:
             for a, b, sets in sets_of(batch.column("text"), s.words):
                 flat = pa.array(np.concatenate([x.view(np.int64) for x in sets]))
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["node", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(ends, flat), pa.array(np.array([np.add.reduce(C.mix(x)) for x in sets], np.uint64).view(np.int64))], ["node", "n", "tokens", "sid"])
 
-    return docs.select("doc_id", "text").mapInArrow(C.trimmed(run), f"node {kind}, n long, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(C.trimmed(run), f"node {kind}, n long, tokens array<long>, sid long")
 
 
 def shared_tokens(sets: DataFrame, s: Settings) -> DataFrame:
     """(node, n, tokens): the tokens that another row has too, rarest first; sets with too few of them are gone.
 
-    sets: materialised (node, n, tokens). Equal rows become one; a node of several texts has several sets.
+    sets: materialised (node, n, tokens, sid). Equal rows become one; a node of several texts has several sets.
     """
-    rows = sets.select("node", "n", F.hash("tokens").alias("__set"), F.explode("tokens").alias("token"))
+    rows = sets.select("node", "n", "sid", F.explode("tokens").alias("token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     hot = C.hot_in_sample(rows, ["token"], "node")
-    found = C.salted_join(rows, counts, ["token"], hot, F.xxhash64("node")).groupBy("node", "n", "__set").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("tokens"))
-    return found.where(F.size("tokens") * 100 >= F.col("n") * s.percent).drop("__set")
+    found = C.salted_join(rows, counts, ["token"], hot, F.xxhash64("node")).groupBy("node", "n", "sid").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("tokens"))
+    return found.where(F.size("tokens") * 100 >= F.col("n") * s.percent).drop("sid")
 
 
 def buckets(shared: DataFrame, s: Settings) -> DataFrame:
@@ -237,12 +237,14 @@ def delta_pairs(members: DataFrame, shared: DataFrame, s: Settings) -> DataFrame
     so of its delta, rarest tokens first, only the first |delta| - need + 1 are indexed, and two similar members meet there.
     Near copies of one text share most tokens and few of their deltas.
     """
-    known = members.join(shared.select("node", "tokens"), "node")
+    # a token with its rarity above it: one long, so that sets of them are hashed, and rare ones come first
+    rarity = lambda t: F.shiftleft(F.floor(F.log2(t["df"])), 58).bitwiseOR(t["token"].bitwiseAND(F.lit((1 << 58) - 1)))
+    known = members.join(shared.select("node", F.transform("tokens", rarity).alias("tokens")), "node")
     size = C.materialise(members.groupBy("head").agg(F.count("*").alias("m")), "heads")
     hot, by = C.hot_keys(size, ["head"], "m"), F.xxhash64("node")
     counts = known.select("head", F.explode("tokens").alias("token")).groupBy("head", "token").agg(F.count("*").alias("c"))
     usual = C.salted_join(counts, size, ["head"], hot, F.xxhash64("token")).where("2 * c > m").groupBy("head").agg(F.collect_list("token").alias("usual"))
-    usual = size.select("head").join(usual, "head", "left").withColumn("usual", F.coalesce("usual", F.expr("cast(array() as array<struct<df:bigint,token:bigint>>)")))
+    usual = size.select("head").join(usual, "head", "left").withColumn("usual", F.coalesce("usual", F.expr("cast(array() as array<bigint>)")))
     whole, p = 100 + s.percent, s.percent
     delta = C.salted_join(known, usual, ["head"], hot, by).withColumns({"lacks": F.array_except("usual", "tokens"), "adds": F.array_except("tokens", "usual"), "u": F.size("usual")})
     g = F.size("lacks") * whole + F.col("n") * p
