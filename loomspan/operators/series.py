@@ -99,6 +99,10 @@ def zscore(df: DataFrame, by: str = "id", value: str = "y") -> DataFrame:
     return df.withColumn("z", F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w)))
 
 
+#: A row-wise scaling by mean and standard deviation goes by this name, too.
+meanzero = zscore
+
+
 def log_ratio(df: DataFrame, by: str = "id", value: str = "y") -> DataFrame:
     """log2 of value over the row mean; what is not finite is null."""
     r = F.try_divide(F.col(value), F.avg(value).over(Window.partitionBy(by)))
@@ -327,6 +331,21 @@ def relabelled(assign: DataFrame, order: DataFrame) -> DataFrame:
     return assign.join(n, "cluster").drop("cluster").withColumnRenamed("number", "cluster")
 
 
+def phase_order(phases_: DataFrame, assign: DataFrame, phase: str = "phase", weight: str | None = "amplitude") -> DataFrame:
+    """(cluster, place): clusters by the circular mean of their rows' phases; phases_: (id, phase, weight), assign: (id, cluster)."""
+    from loomspan.operators.stats import phase_dist
+
+    means = phase_dist(phases_.join(assign.select("id", "cluster"), "id"), ["cluster"], phase, weight)
+    return means.select("cluster", F.row_number().over(Window.orderBy(F.col("mean_phase").asc_nulls_last(), "cluster")).cast("long").alias("place"))
+
+
+def coloured(assign: DataFrame, colours: dict, other: str = "#888888") -> DataFrame:
+    """assign with each cluster's colour."""
+    pairs = [F.lit(x) for k, v in colours.items() for x in (str(k), v)]
+    found = F.element_at(F.create_map(*pairs), F.col("cluster").cast("string")) if pairs else F.lit(None)
+    return assign.withColumn("colour", F.coalesce(found, F.lit(other)))
+
+
 def circular_density(df: DataFrame, value: str, bandwidth: float, points: int = 64) -> DataFrame:
     """Gaussian density of angles (degrees) on a grid, with the values one turn away on either side. Values are counted first."""
     n = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))

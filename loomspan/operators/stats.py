@@ -233,9 +233,14 @@ def contingency(df: DataFrame, query: str = "query", target: str = "target", alt
     return out.withColumns({"p_value": more if alternative == "greater" else less, "sign": F.lit(1 if alternative == "greater" else -1)})
 
 
-def exploded_terms(df: DataFrame, terms: str = "terms", sep: str = ";") -> DataFrame:
-    """(id, term): membership is exact, not by part of a name."""
-    return df.select("id", F.explode(F.array_distinct(F.split(terms, sep))).alias("term")).where("term <> ''")
+def exploded_terms(df: DataFrame, terms: str = "terms", sep: str = ";", only: list[str] | None = None, rename: dict[str, str] | None = None) -> DataFrame:
+    """(id, term): membership is exact, not by part of a name. only: terms to keep; rename: what terms are called instead."""
+    out = df.select("id", F.explode(F.split(terms, sep)).alias("term")).where("term <> ''")
+    if only is not None:
+        out = out.where(F.col("term").isin(only))
+    if rename:
+        out = out.replace(rename, subset=["term"])
+    return out.distinct()
 
 
 def term_enrichment(clusters: DataFrame, terms: DataFrame, p_cut: float = 1.0) -> DataFrame:
@@ -262,16 +267,31 @@ def term_overlap(terms: DataFrame) -> DataFrame:
     return terms.join(other, "id").groupBy("term", "other").agg(F.count("*").alias("overlap"))
 
 
-def sorted_overlaps(cells: DataFrame, p_min: float = 0.01, cut: bool = False) -> DataFrame:
-    """(query, place): rows in the order of the first column (by name) in which their p is under p_min, then by p; the others by
-    their greatest p, or gone with `cut`."""
-    columns = cells.select("target").distinct().withColumn("column", F.row_number().over(Window.orderBy("target")))
-    joined = cells.join(columns, "target").withColumn("p", F.round("p_value", 9))
-    rows = joined.groupBy("query").agg(F.min(F.when(F.col("p") < p_min, F.struct("column", "p"))).alias("first"), F.max("p").alias("most"))
+def sorted_overlaps(cells: DataFrame, p_min: float = 0.01, cut: bool = False, axis: str = "query", order: DataFrame | None = None, sign: int | None = None, symmetric: bool = False) -> DataFrame:
+    """(query, place): rows in the order of the first column in which their p is under p_min, then by p; the others by their
+    greatest p, or gone with `cut`.
+
+    Columns come by name, or as `order` (column, place) has them. axis "target" sorts targets by queries. sign: cells of the
+    other sign count as p = 1. symmetric: a cell counts for both its classes. There are as many rows as classes.
+    """
+    rows, columns = ("query", "target") if axis == "query" else ("target", "query")
+    p = F.round("p_value", 9)
+    if sign is not None:
+        p = F.when(F.col("sign") == sign, p).otherwise(1.0)
+    joined = cells.select(F.col(rows).alias("__row"), F.col(columns).alias("__column"), p.alias("p"))
+    if symmetric:
+        joined = joined.unionByName(joined.select(F.col("__column").alias("__row"), F.col("__row").alias("__column"), "p").where("__row <> __column"))
+        joined = joined.groupBy("__row", "__column").agg(F.min("p").alias("p"))
+    if order is None:
+        places = joined.select("__column").distinct().withColumn("column", F.row_number().over(Window.orderBy("__column")))
+    else:
+        places = order.select(F.col("column").alias("__column"), F.col("place").alias("column"))
+    joined = joined.join(places, "__column")
+    found = joined.groupBy("__row").agg(F.min(F.when(F.col("p") < p_min, F.struct("column", "p"))).alias("first"), F.max("p").alias("most"))
     if cut:
-        rows = rows.where("first is not null")
-    order = [F.when(F.col("first").isNull(), 1).otherwise(0), F.col("first.column"), F.col("first.p"), "most", "query"]
-    return rows.select("query", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+        found = found.where("first is not null")
+    by = [F.when(F.col("first").isNull(), 1).otherwise(0), F.col("first.column"), F.col("first.p"), "most", "__row"]
+    return found.select(F.col("__row").alias(rows), F.row_number().over(Window.orderBy(*by)).cast("long").alias("place"))
 
 
 def transposed(cells: DataFrame) -> DataFrame:

@@ -442,6 +442,31 @@ def test_annotate_target_options(spark):
     assert [(r.target, r.qpos) for r in intervals.as_target_sees(lists).collect()] == [(7, "inside;right")]
 
 
+def test_sorted_overlaps_options(spark):
+    cells = spark.createDataFrame([("a", "x", 0.5, 1), ("a", "y", 0.001, -1), ("b", "x", 0.002, 1), ("b", "y", 0.9, 1), ("c", "x", 0.7, 1), ("c", "y", 0.6, 1)], "query string, target string, p_value double, sign int")
+    places = lambda **o: [r[0] for r in sorted(stats.sorted_overlaps(cells, **o).collect(), key=lambda r: r.place)]
+    assert places() == ["b", "a", "c"] and places(cut=True) == ["b", "a"] and places(sign=1) == ["b", "c", "a"] and places(axis="target") == ["y", "x"]
+    order = spark.createDataFrame([("y", 1), ("x", 2)], "column string, place int")
+    assert places(order=order) == ["a", "b", "c"]
+    half = spark.createDataFrame([("a", "b", 0.001, 1), ("a", "c", 0.5, 1), ("b", "c", 0.004, 1)], "query string, target string, p_value double, sign int")
+    assert [r.query for r in stats.sorted_overlaps(half, symmetric=True).orderBy("place").collect()] == ["b", "a", "c"]
+
+
+def test_terms_are_chosen_and_renamed(spark):
+    df = spark.createDataFrame([(1, "a;b;;a;c"), (2, "c"), (3, "")], "id int, terms string")
+    got = stats.exploded_terms(df, only=["a", "c"], rename={"c": "a"})
+    assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, "a")]
+
+
+def test_clusters_by_phase(spark):
+    phases = spark.createDataFrame([(1, 350.0, 1.0), (2, 20.0, 1.0), (3, 200.0, 1.0), (4, 90.0, 2.0)], "id int, phase double, amplitude double")
+    assign = spark.createDataFrame([(1, 5), (2, 5), (3, 6), (4, 7)], "id int, cluster int")
+    order = series.phase_order(phases, assign)
+    assert [r.cluster for r in order.orderBy("place").collect()] == [5, 7, 6]
+    assert {(r.id, r.cluster) for r in series.relabelled(assign, order).collect()} == {(1, 1), (2, 1), (3, 3), (4, 2)}
+    assert {(r.cluster, r.colour) for r in series.coloured(assign, {5: "#ff0000"}).collect()} == {(5, "#ff0000"), (6, "#888888"), (7, "#888888")}
+
+
 def test_rows_and_columns_of_position_tables(spark):
     df = spark.createDataFrame([(1, 1, 0.0, 0.0, 5.0), (1, 2, 0.0, None, 0.0), (1, 3, 1.0, 0.0, 0.0)], "chr int, coor long, a double, b double, c double")
     assert {r.coor for r in series.nonzero_rows(df, ["a", "b"]).collect()} == {3} and series.column_range(df, 2, 3).columns == ["chr", "coor", "b", "c"]
