@@ -45,7 +45,7 @@ def materialise(df: DataFrame, name: str = "t", **options: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomspan/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    df.write.options(**{"compression": "zstd", **options}).parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

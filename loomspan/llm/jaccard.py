@@ -34,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm import common as C
@@ -139,15 +139,15 @@ def whole_sets(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def shared_tokens(sets: DataFrame, s: Settings) -> DataFrame:
-    """(node, n, tokens): the tokens that another row has too, rarest first; sets with too few of them are gone.
+    """(node, n, tokens): the tokens that another set has too, rarest first; sets with too few of them are gone.
 
-    sets: materialised (node, n, tokens, sid). Equal rows become one; a node of several texts has several sets.
+    sets: materialised (node, n, tokens, text), each set once; text numbers a node's sets.
     """
-    rows = sets.select("node", "n", "sid", F.explode("tokens").alias("token"))
+    rows = sets.select("node", "n", "text", F.explode("tokens").alias("token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     hot = C.hot_in_sample(rows, ["token"], "node")
-    found = C.salted_join(rows, counts, ["token"], hot, F.xxhash64("node")).groupBy("node", "n", "sid").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("tokens"))
-    return found.where(F.size("tokens") * 100 >= F.col("n") * s.percent).drop("sid")
+    found = C.salted_join(rows, counts, ["token"], hot, F.xxhash64("node")).groupBy("node", "n", "text").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    return found.where(F.size("tokens") * 100 >= F.col("n") * s.percent).drop("text")
 
 
 def buckets(shared: DataFrame, s: Settings) -> DataFrame:
@@ -276,7 +276,13 @@ def links(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame
     held = own.join(documents, "doc_id").where("x <> node").select("x", F.col("node").alias("y")).distinct()
     stay = C.materialise(promising(prefixes, s).join(spare, "node", "left_anti"), "stay")
     C.discard(prefixes)
-    sets = C.materialise(sets_for(docs, stay, s), "sets")
+    sets = sets_for(docs, stay, s)
+    if documents.where("n > 0").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count():
+        once = sets.dropDuplicates(["node", "sid"])  # equal rows of one document
+        sets = once.withColumn("text", F.row_number().over(Window.partitionBy("node").orderBy("sid")))
+    else:
+        sets = sets.withColumn("text", F.lit(1))
+    sets = C.materialise(sets.drop("sid"), "sets")
     shared = C.materialise(shared_tokens(sets, s), "shared")
     C.discard(sets)
     index = C.materialise(buckets(shared, s), "buckets")

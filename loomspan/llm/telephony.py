@@ -202,7 +202,7 @@ def pcm_column(df: DataFrame, media: str = "media", rate: int = 16000, out: str
 
 def store(df: DataFrame, name: str = "media") -> DataFrame:
     """A table with media and PCM columns, written to the shared folder and read again. PCM is large: zstandard, level 12."""
-    return C.materialise(df, name, **{"compression": "zstd", "parquet.compression.codec.zstd.level": "12"})
+    return C.materialise(df, name, **{"parquet.compression.codec.zstd.level": "12"})
 
 
 def padded(text: bytes, unit: int = BLOCK) -> bytes:
