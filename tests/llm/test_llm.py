@@ -348,7 +348,7 @@ def test_pii_of_many_spans_in_one_text(spark):
     assert [x for x in got[1].spans.split(",") if not x.startswith("term")] == brute_spans(text).split(",") and got[1].n_email == 20_000
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}[1]
     assert clean.count("[EMAIL]") == 20_000 and "@" not in clean and "wordc" not in clean.replace("[TERM]", "")
-    assert time.perf_counter() - began < 60
+    assert time.perf_counter() - began < 150  # quadratic work would take many minutes
 
 
 # ---------------------------------------------------------------- 6
