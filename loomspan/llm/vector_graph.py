@@ -36,7 +36,7 @@ class Settings:
     shard_rows: int = 32768
     degree: int = 32
     build_beam: int = 64
-    search_beam: int = 96
+    search_beam: int = 112
     alpha: float = 1.2
     batch: int = 256
     expand: int = 4
