@@ -36,7 +36,7 @@ class Settings:
     bits: int = 20
     max_rows: int = 4000  # labelled rows of each class that fitting reads
     max_bytes: int = 65536  # longer labelled texts are not fitted on
-    max_total: int = 1 << 26  # bytes of text of each class that fitting reads
+    max_total: int = 1 << 25  # bytes of text of each class that fitting reads
     alpha: float = 0.3
     beta: float = 1.0
     l1: float = 8.0
