@@ -325,7 +325,7 @@ def with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
     """rows with their spans (null: none). Rows that surely have none aren't shuffled."""
     bitmap = C.bitmap_of(found.select(F.col("twin").alias("key")))
     near, far = C.likely(rows, F.col("twin"), bitmap), C.likely(rows, F.col("twin"), bitmap, wanted=False)
-    near = C.split_join(near, found.withColumnRenamed("rows", "__rows"), ["row", "twin"], "__rows", F.monotonically_increasing_id(), "left")
+    near = C.split_join(near, found.withColumnRenamed("rows", "n_rows"), ["row", "twin"], "n_rows", F.monotonically_increasing_id(), "left")
     return near.select(*rows.columns, "spans").unionAll(far.withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType)))
 
 
