@@ -652,7 +652,9 @@ def test_pipeline_on_odd_rows(spark):
         docs = after
     assert results["toxicity"] == collections.Counter(texts)
     kept = [(1, one), (2, "plain words"), (4, None), (5, ""), (6, " \n"), (7, long_), (8, texts[10][1]), (None, "no id at all here"), *texts[14:16], (10, "two words")]
-    assert results["jaccard_join"] == results["repeated_spans"] == collections.Counter(kept)
+    assert results["jaccard_join"] == collections.Counter(kept)
+    # document 8 repeats itself every 23 bytes, so all of its 200-byte strings start elsewhere, too
+    assert results["repeated_spans"] == collections.Counter((i, "" if i == 8 else t) for i, t in kept)
     clean = dict(results["pii"].keys())
     assert sum(results["pii"].values()) == len(kept) and clean[1] == one and clean[4] is None and any("[EMAIL]" in (t or "") for _, t in results["pii"])
     pieces = collections.Counter(r.doc_id for r in docs.collect())
