@@ -6,11 +6,13 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +44,15 @@ _WRITTEN: list[str] = []
 
 
 def materialise(df: DataFrame, name: str = "t", **options: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: a cut in the lineage that survives lost executors."""
+    """Write df as Parquet into the shared folder and read it again: a cut in the lineage that survives lost executors.
+
+    What the driver needed for df alone is handed back here, so that its memory follows a step and not a whole operator.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomspan/{name}-{uuid.uuid4().hex}"
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
     _WRITTEN.append(path)
+    driver_gives_back(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -134,6 +140,31 @@ def give_back() -> None:
         pass
 
 
+#: Seconds between two times that the driver hands memory back, and when the last one was.
+GIVE_BACK_EVERY = 5.0
+_GAVE_BACK = [0.0]
+
+
+def driver_gives_back(spark: SparkSession) -> None:
+    """Hand back what the driver's Python and JVM no longer use: plans, task results, broadcasts and what compiling them took.
+
+    Each join of many partitions leaves such remains; left to itself the JVM grows to its limit before it collects them.
+    """
+    if time.monotonic() - _GAVE_BACK[0] < GIVE_BACK_EVERY:
+        return
+    give_back()  # first, since objects of Python hold some of the JVM's
+    jvm = spark._jvm
+    jvm.java.lang.System.gc()
+    try:
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except (Py4JError, StopIteration):  # another JVM
+        pass
+    _GAVE_BACK[0] = time.monotonic()
+
+
 def trimmed(run, keep: bool = False):
     """A batch function that hands memory back when its task ends; without `keep` the worker's caches go as it starts."""
 
@@ -174,16 +205,17 @@ BITMAP_LIMIT = 1 << 27
 def bitmap_of(keys: DataFrame, limit: int = BITMAP_LIMIT) -> tuple[int, np.ndarray]:
     """(bits, words): a bitmap with the hashes of the long column `key`, 16 bits or more for each as far as the limit goes.
 
-    The executors OR the words, so at most limit / 64 rows reach the driver. All of the column is in the bitmap; one in
+    The executors OR the words, so at most limit / 64 rows reach the driver, as Arrow batches of 12 bytes a row. All of the column is in the bitmap; one in
     16 others may be as well, or more beyond the limit, so it only saves work ahead of an exact step.
     """
     n = keys.count()
     bits = min(limit, 1 << max(10, (16 * n - 1).bit_length() if n else 0))
     slot = F.pmod(F.xxhash64("key"), F.lit(bits))
-    rows = keys.select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
-    rows = rows.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    rows = keys.select(slot.alias("slot")).select(F.shiftright("slot", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
+    rows = rows.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     words = np.zeros(bits // 64, np.int64)
-    words[rows["word"].to_numpy(np.int64)] = rows["bit"].to_numpy(np.int64)
+    for batch in rows.to_batches():
+        words[batch.column("word").to_numpy()] = batch.column("bit").to_numpy()
     del rows
     give_back()
     return bits, words

@@ -129,8 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, settings: Settings = Set
     sample, prior = C.labelled(docs, labels, label, s.max_rows, s.max_bytes, s.max_total)
     if prior is None:
         return _constant(0.0, s.bits)
-    rows = sample.mapInArrow(C.trimmed(_sampled_features(s.bits)), "label int, cols binary").toPandas()
-    examples = sorted(((c, int(y)) for y, c in zip(rows["label"], rows["cols"])), key=lambda e: (e[1], bytes(e[0])))
+    rows = sample.mapInArrow(C.trimmed(_sampled_features(s.bits)), "label int, cols binary").toArrow()
+    examples = sorted(zip(rows["cols"].to_pylist(), rows["label"].to_pylist()), key=lambda e: (e[1], e[0]))
     if len({y for _, y in examples}) < 2:
         return _constant(prior, s.bits)
     del rows

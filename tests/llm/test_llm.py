@@ -706,3 +706,33 @@ def test_discard_only_takes_own_tables(spark, tmp_path):
     assert kept.count() == 3
     with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
         own.collect()
+
+
+def test_a_bitmap_takes_little_of_the_driver(spark):
+    """Its rows come as Arrow; as Python rows they took many times the bitmap."""
+    import tracemalloc
+
+    keys = spark.range(1 << 17).select(F.col("id").alias("key"))
+    common.bitmap_of(spark.range(1).select(F.col("id").alias("key")))  # what is imported once doesn't count
+    tracemalloc.start()
+    try:
+        bits, words = common.bitmap_of(keys)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    slots = keys.select(F.pmod(F.xxhash64("key"), F.lit(bits)).alias("slot")).toArrow()["slot"].to_numpy()
+    expected = np.zeros(len(words), np.int64)
+    np.bitwise_or.at(expected, slots >> 6, np.int64(1) << (slots & 63))
+    assert bits == 1 << 21 and (words == expected).all()
+    assert most < 3 * words.nbytes + (1 << 20)
+
+
+def test_written_tables_let_go_of_the_driver_s_memory(spark, monkeypatch):
+    monkeypatch.setattr(common, "_GAVE_BACK", [float("-inf")], raising=False)
+    collected = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = collected()
+    common.materialise(spark.range(3).toDF("id"))
+    after = collected()
+    assert after > before
+    common.materialise(spark.range(3).toDF("id"))  # at once again: too soon
+    assert collected() == after
