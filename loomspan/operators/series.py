@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -470,27 +472,109 @@ def density_grid(df: DataFrame, x: str, y: str, n: int = 128, bandwidth: float =
     return counts.groupBy(F.lit(1).alias("all")).applyInPandas(smooth, "i int, j int, density double, level int")
 
 
-def medoids(df: DataFrame, k: int, columns: list[str], seed: int = 1, rounds: int = 1000, most: int = 5000) -> DataFrame:
-    """(id, cluster): k-medoids of min-max scaled columns, until no medoid moves.
+def medoids(df: DataFrame, k: int, columns: list[str], seed: int = 1, rounds: int = 1000, most: int | None = None) -> DataFrame:
+    """(id, cluster): k-medoids of min-max scaled columns, until no medoid moves. With `most`, more rows than that are an error.
 
-    For tables of summaries: all distances are within one task, so more than `most` rows are an error.
+    Rows stay in their partitions, and no matrix of distances is made: a row's sum of distances is convex in its place, so the
+    sum and slope at one place bound it everywhere from below. Rows whose bound is beyond the least sum so far can't be the
+    medoid; of the others some are summed up, which makes new bounds, until none is left. So the medoids are exact. Of equal
+    sums the least id's is taken. Jobs give back at most 64 places of each cluster and partition.
     """
-    if df.limit(most + 1).count() > most:
+    if most is not None and df.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} rows")
+    dim, some = len(columns), 64
     ends = df.agg(*[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns])
-    scaled = df.crossJoin(ends).select("id", F.array(*[F.coalesce(F.try_divide(F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")), F.lit(0.0)) for c in columns]).alias("v"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = np.stack(pdf["v"])
-        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-        m = np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False)
-        for _ in range(rounds):
-            own = d[:, m].argmin(1)
-            new = np.array([np.flatnonzero(own == c)[d[np.ix_(own == c, own == c)].sum(1).argmin()] if (own == c).any() else m[c] for c in range(len(m))])
-            if (new == m).all():
-                break
-            m = new
-        return pd.DataFrame({"id": pdf["id"], "cluster": d[:, m].argmin(1)})
-
-    return scaled.groupBy(F.lit(1).alias("all")).applyInPandas(run, f"id {df.schema['id'].dataType.simpleString()}, cluster int")
+    unit = [F.coalesce(F.try_divide(F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")).cast("double"), F.lit(0.0)) for c in columns]
+    rows = df.crossJoin(ends).select("id", F.array(*unit).alias("v")).orderBy("id").persist()
+    place = pa.list_(pa.float64())
+
+    def away(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+
+    def parts(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                yield part.column(0), part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+    def summed(m: np.ndarray, at: list[np.ndarray]) -> list[np.ndarray]:
+        """Of each cluster: the sums of distances from its places `at` to its rows, and their slopes."""
+
+        def run(batches):
+            out = [np.zeros((len(p), dim + 1)) for p in at]
+            for _, x in parts(batches):
+                own = away(x, m).argmin(1)
+                for c, p in enumerate(at):
+                    if len(p) and len(y := x[own == c]):
+                        way = p[:, None] - y[None]
+                        d = np.sqrt((way**2).sum(2))
+                        out[c][:, 0] += d.sum(1)
+                        out[c][:, 1:] += np.divide(way, d[:, :, None], out=np.zeros_like(way), where=d[:, :, None] > 0).sum(1)
+            n = [(c, j) for c, p in enumerate(at) for j in range(len(p))]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in n], pa.int32()), pa.array([j for _, j in n], pa.int32()), pa.array([out[c][j].tolist() for c, j in n], place)], names=["c", "j", "s"])
+
+        total = [np.zeros((len(p), dim + 1)) for p in at]
+        for r in rows.mapInArrow(run, "c int, j int, s array<double>").collect():
+            total[r.c][r.j] += r.s
+        return total
+
+    def left(m: np.ndarray, at: list[np.ndarray], sums: list[np.ndarray]) -> list[list]:
+        """Of each cluster: some (bound, place) of the rows that may still be its medoid and are in no place of `at`."""
+
+        def fewer(found: list) -> list:
+            one = sorted({v: b for b, v in found}.items(), key=lambda x: (x[1], x[0]))
+            near, rest = one[: some // 2], one[some // 2 :]
+            return [(b, v) for v, b in near + rest[:: max(1, -(-len(rest) // (some // 2)))]]
+
+        def run(batches):
+            kept: list[list] = [[] for _ in at]
+            for _, x in parts(batches):
+                own = away(x, m).argmin(1)
+                for c, p in enumerate(at):
+                    y = np.unique(x[own == c], axis=0)
+                    bound = np.zeros(len(y))
+                    if len(y) and len(p):
+                        bound = (sums[c][:, 0] - (sums[c][:, 1:] * p).sum(1) + y @ sums[c][:, 1:].T).max(1)
+                        ok = (bound <= sums[c][:, 0].min() * (1 + 1e-9) + 1e-12) & ~(y[:, None] == p[None]).all(2).any(1)
+                        y, bound = y[ok], bound[ok]
+                    kept[c] = fewer(kept[c] + list(zip(bound.tolist(), map(tuple, y.tolist()))))
+            n = [(c, b, v) for c, found in enumerate(kept) for b, v in found]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in n], pa.int32()), pa.array([x[1] for x in n], pa.float64()), pa.array([list(x[2]) for x in n], place)], names=["c", "b", "v"])
+
+        found: list[list] = [[] for _ in at]
+        for r in rows.mapInArrow(run, "c int, b double, v array<double>").collect():
+            found[r.c].append((r.b, tuple(r.v)))
+        return [fewer(f) for f in found]
+
+    def least_ids(places: list[tuple]) -> dict:
+        same = reduce(lambda a, b: a | b, [F.col("v") == F.array(*map(F.lit, v)) for v in places])
+        return {tuple(r.v): r.i for r in rows.where(same).groupBy("v").agg(F.min("id").alias("i")).collect()}
+
+    sizes = rows.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n")).orderBy("p").collect()
+    n, starts = sum(r.n for r in sizes), np.cumsum([0] + [r.n for r in sizes])
+    first = np.random.default_rng(seed).choice(n, min(k, n), replace=False) if n else []
+    there = [(i, int(np.searchsorted(starts, i, "right")) - 1) for i in first]
+    marks = [(sizes[p].p << 33) + int(i - starts[p]) for i, p in there]  # as Spark numbers the rows of partitions
+    got = {r.i: tuple(r.v) for r in rows.withColumn("i", F.monotonically_increasing_id()).where(F.col("i").isin(marks)).collect()}
+    own = [got[i] for i in marks]
+    for _ in range(rounds if n else 0):
+        m, places, sums = np.array(own), [np.empty((0, dim)) for _ in own], [np.empty((0, dim + 1)) for _ in own]
+        while any(found := left(m, places, sums)):
+            fresh = [np.array([v for _, v in f] if len(p) else list(dict.fromkeys([x, *[v for _, v in f]]))).reshape(-1, dim) for f, p, x in zip(found, places, own)]
+            sums = [np.concatenate(x) for x in zip(sums, summed(m, fresh))]
+            places = [np.concatenate(x) for x in zip(places, fresh)]
+        now = []
+        for x, p, t in zip(own, places, sums):
+            near = [tuple(v) for v in p[t[:, 0] <= t[:, 0].min() * (1 + 1e-12)].tolist()] if len(p) else [x]
+            ids = least_ids(near) if len(near) > 1 else {}
+            now.append(min(near, key=ids.get) if ids else near[0])
+        if now == own:
+            break
+        own = now
+    m = np.array(own).reshape(-1, dim)
+
+    def assign(batches):
+        for ids, x in parts(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array(away(x, m).argmin(1), pa.int32())], names=["id", "cluster"])
+
+    return rows.mapInArrow(assign, f"id {df.schema['id'].dataType.simpleString()}, cluster int")

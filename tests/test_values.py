@@ -485,3 +485,15 @@ def test_segments_are_written_apart(spark, tmp_path):
     writers.write_segments(seg, data, f"{tmp_path}/s")
     got = spark.read.option("sep", "\t").option("header", True).option("inferSchema", True).csv(f"{tmp_path}/s")
     assert sorted((r.segment, r.q_v) for r in got.collect()) == [(1, 1.5), (1, 2.5), (2, 3.5)]
+
+
+def test_medoids_of_many_rows(spark):
+    """Over 5,000 rows, many of them equal: the clusters' members of least sums are the medoids that rows are with."""
+    df = spark.range(5200).select("id", ((F.col("id") * 7919) % 997).cast("double").alias("a"), ((F.col("id") * 31) % 89).cast("double").alias("b"))
+    own = {r.id: r.cluster for r in series.medoids(df, 3, ["a", "b"]).collect()}
+    x = np.array([[(i * 7919) % 997 / 996, (i * 31) % 89 / 88] for i in range(5200)])
+    label = np.array([own[i] for i in range(5200)])
+    assert set(label.tolist()) == {0, 1, 2}
+    apart = lambda y, z: np.sqrt(((y[:, None] - z[None]) ** 2).sum(2))
+    medoids = np.array([x[label == c][apart(x[label == c], x[label == c]).sum(1).argmin()] for c in range(3)])
+    assert (apart(x, medoids).argmin(1) == label).all()
