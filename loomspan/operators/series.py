@@ -217,46 +217,110 @@ def recluster_step(df: DataFrame, cluster: str = "label", vector: str = "embeddi
     return df.crossJoin(F.broadcast(_centres(df, cluster, vector))).select(id_, best["centre"].alias("cluster"))  # one row
 
 
+def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors are there, and their rows; missing elements are NaN."""
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    n = int(there.sum())
+    flat = column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float)
+    return there, flat.reshape(n, -1) if n else np.empty((0, 0))
+
+
+def _nearest(x: np.ndarray, table: np.ndarray, digits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first nearest centre of each row, and the squared distance. Products tell most; where two centres are as near as
+    rounding, differences do, rounded to `digits` if given."""
+    far = (x * x).sum(1)[:, None] + (table * table).sum(1)[None] - 2 * (x @ table.T)
+    own = far.argmin(1)
+    rows = np.arange(len(x))
+    slack = 1e-8 * (1 + (x * x).sum(1) + (table * table).sum(1).max())
+    close = np.flatnonzero((far <= (far[rows, own] + slack)[:, None]).sum(1) > 1)
+    for at in range(0, len(close), 4096):
+        i = close[at : at + 4096]
+        d = np.stack([((x[i] - c) ** 2).sum(1) for c in table], 1)
+        own[i] = (d if digits is None else np.round(d, digits)).argmin(1)
+    return own, far[rows, own]
+
+
+def _packed(rows: DataFrame, own: list, size: int = 4096) -> DataFrame:
+    """Kept blocks of rows (own, v) as bytes, which rounds read without making rows again: numbers of labels, vectors, their length,
+    and whether elements are missing. Rows without a vector go."""
+    kind = np.float32 if rows.dtypes[1][1] == "array<float>" else np.float64
+    place = {k: i for i, k in enumerate(own)}
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                there, x = _vectors(part.column(1))
+                if len(x):
+                    given = np.array([place.get(k, -1) for k in part.column(0).filter(pa.array(there)).to_pylist()], np.int32)
+                    gaps = part.column(1).drop_null().flatten().null_count > 0
+                    yield pa.RecordBatch.from_pydict({"o": [given.tobytes()], "v": [x.astype(kind).tobytes()], "g": [gaps]})
+
+    # the blocks of few large files go to all cores
+    return rows.mapInArrow(run, "o binary, v binary, g boolean").repartition(rows.sparkSession.sparkContext.defaultParallelism).persist()
+
+
+def _rounds(rows: DataFrame, kind: type, models: list[tuple[np.ndarray | None, np.ndarray | None]], digits: int | None = None, own: int = 0) -> list[tuple[np.ndarray, np.ndarray, int, float]]:
+    """One pass over _packed() rows for several models (centres, the centres before): of each, sums and counts of the elements by
+    centre, how many rows the centres before gave to another one, and the sum of squared distances.
+
+    Without centres, rows are with their own label (of `own` ones); so they are before the first centres. A partition gives back a row
+    for each model.
+    """
+
+    def run(batches):
+        out: list = [None] * len(models)
+        for batch in batches:
+            for o, v, gaps in zip(*(c.to_pylist() for c in batch.columns)):
+                given = np.frombuffer(o, np.int32)
+                x = np.frombuffer(v, kind).reshape(len(given), -1).astype(float)
+                full = np.where(np.isnan(x), 0.0, x) if gaps else x
+                for i, (table, before) in enumerate(models):
+                    now, d = (given, np.zeros(len(x))) if table is None else _nearest(x, table, digits)
+                    was = now if not own else given if before is None else _nearest(x, before, digits)[0]
+                    hot = (now[:, None] == np.arange(own if table is None else len(table))).astype(float)
+                    new = [hot.T @ full, hot.T @ (~np.isnan(x)).astype(float) if gaps else np.repeat(hot.sum(0)[:, None], x.shape[1], 1), int((now != was).sum()), float(d.sum())]
+                    out[i] = new if out[i] is None else [p + q for p, q in zip(out[i], new)]
+        for i, got in enumerate(out):
+            if got is not None:
+                yield pa.RecordBatch.from_pydict({"i": [i], "s": [got[0].ravel()], "n": [got[1].ravel()], "m": [got[2]], "d": [got[3]]}, pa.schema([("i", pa.int32()), ("s", pa.list_(pa.float64())), ("n", pa.list_(pa.float64())), ("m", pa.int64()), ("d", pa.float64())]))
+
+    total: list = [None] * len(models)
+    got = rows.mapInArrow(run, "i int, s array<double>, n array<double>, m long, d double").collect()
+    for r in sorted(got, key=lambda r: (r.i, r.d, r.s)):  # in an order of their own: sums are the same each time
+        new = [np.array(r.s), np.array(r.n), r.m, r.d]
+        total[r.i] = new if total[r.i] is None else [p + q for p, q in zip(total[r.i], new)]
+    size = [own if table is None else len(table) for table, _ in models]
+    return [(t[0].reshape(k, -1), t[1].reshape(k, -1), t[2], t[3]) if t is not None else (np.empty((k, 0)), np.empty((k, 0)), 0, 0.0) for t, k in zip(total, size)]
+
+
 def recluster(df: DataFrame, cluster: str = "label", vector: str = "embedding", id_: str = "vec_id") -> DataFrame:
     """(id, cluster): k-means from the clusters' own centres until no row moves. A centre that loses its last row stays where it is.
 
-    Each round is one job over df with the centres of two rounds; they are all that is gathered, clusters x dimensions.
+    Each round is one job over kept rows with the centres of two rounds; a partition gives back sums, clusters x dimensions.
     """
-    rows = df.select(id_, F.col(cluster).alias("__own"), F.col(vector).alias("__v"))
-    kind = df.schema[cluster].dataType.simpleString()
-
-    def nearest(centres: dict, name: str, to: DataFrame) -> DataFrame:
-        labels = sorted(centres)
-        table = np.array([centres[k] for k in labels])
-
-        def best(v: pd.Series) -> pd.Series:
-            out, there = pd.Series([None] * len(v), dtype=object), v.notna().to_numpy()
-            if there.any() and labels:
-                x = np.stack(v[there].to_numpy()).astype(float)
-                d = np.stack([np.round(((x - c) ** 2).sum(1), 9) for c in table], 1)
-                out[there] = [labels[i] for i in d.argmin(1)]
-            return out
-
-        best.__annotations__ = {"v": pd.Series, "return": pd.Series}
-        return to.withColumn(name, F.pandas_udf(best, kind)("__v"))
-
-    def centres_of(labelled: DataFrame, label: str, moved: Column) -> tuple[dict, int]:
-        long = labelled.where(F.col(label).isNotNull()).select(F.col(label).alias("l"), moved.cast("long").alias("m"), F.posexplode("__v").alias("dim", "v"))
-        found, n = {}, 0
-        for r in long.groupBy("l", "dim").agg(F.avg("v").alias("v"), F.sum("m").alias("m")).orderBy("l", "dim").collect():
-            found.setdefault(r.l, []).append(float(r.v))
-            n += r.m if r.dim == 0 else 0
-        return found, n
-
-    centres, _ = centres_of(rows, "__own", F.lit(False))
-    before = rows.withColumn("__before", F.col("__own"))
-    while True:
-        now = nearest(centres, "__now", before)
-        found, moved = centres_of(now, "__now", ~F.col("__now").eqNullSafe(F.col("__before")))
+    rows = df.select(F.col(cluster).alias("__own"), F.col(vector).alias("__v"))
+    kind, real = df.schema[cluster].dataType.simpleString(), np.float32 if df.schema[vector].dataType.simpleString() == "array<float>" else np.float64
+    labels = sorted(r[0] for r in rows.where("__own is not null and __v is not null").select("__own").distinct().collect())
+    mean = lambda s, n: np.divide(s, n, out=np.full(s.shape, np.nan), where=n > 0)
+    kept = _packed(rows, labels)
+    centres = mean(*_rounds(kept, real, [(None, None)], own=len(labels))[0][:2]) if labels else np.empty((0, 0))
+    before = None
+    while labels:
+        s, n, moved, _ = _rounds(kept, real, [(centres, before)], 9, len(labels))[0]
         if not moved:
-            return now.select(id_, F.col("__now").alias("cluster"))
-        before = nearest(centres, "__before", rows)
-        centres = centres | found
+            break
+        before, centres = centres, np.where(n > 0, mean(s, n), centres)
+    kept.unpersist()
+
+    def best(v: pd.Series) -> pd.Series:
+        out, there = pd.Series([None] * len(v), dtype=object), v.notna().to_numpy()
+        if there.any() and labels:
+            out[there] = [labels[i] for i in _nearest(np.stack(v[there].to_numpy()).astype(float), centres, 9)[0]]
+        return out
+
+    best.__annotations__ = {"v": pd.Series, "return": pd.Series}
+    return df.select(id_, F.pandas_udf(best, kind)(vector).alias("cluster"))
 
 
 def centre_correlation(df: DataFrame, cluster: str = "label", vector: str = "embedding", id_: str = "vec_id") -> DataFrame:
@@ -272,19 +336,49 @@ def centre_correlation(df: DataFrame, cluster: str = "label", vector: str = "emb
     return rows.select(id_, F.col("x.centre").alias("centre"), r.alias("r"))
 
 
-def kmeans(df: DataFrame, ks: list[int], vector: str = "features", seed: int = 1, starts: int = 3, max_iter: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(assignments: id, k, cluster; model: k, sse, bic): k-means models with their Gaussian BIC, each the best of some starts."""
+def _assigned(centres: np.ndarray):
+    """A pandas UDF: the number of a vector's nearest centre."""
+
+    def best(v: pd.Series) -> pd.Series:
+        return pd.Series(_nearest(np.stack(v.to_numpy()).astype(float), centres)[0]) if len(v) else pd.Series([], dtype=int)
+
+    best.__annotations__ = {"v": pd.Series, "return": pd.Series}
+    return F.pandas_udf(best, "int")
+
+
+def kmeans(df: DataFrame, ks: list[int], vector: str = "features", seed: int = 1, starts: int = 3, max_iter: int = 1000, tol: float = 1e-4) -> tuple[DataFrame, DataFrame]:
+    """(assignments: id, k, cluster; model: k, sse, bic): k-means models with their Gaussian BIC, each the best of some starts.
+
+    Spark's k-means|| makes the first centres. Rounds of all models that still move are one job; a model ends when no centre
+    moves by more than tol, with the squared distances to the centres before that last move, as Spark's does.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    data = df.select("id", array_to_vector(vector).alias("features")).persist()
-    n, parts, model = data.count(), None, []
+    data = df.select("id", F.col(vector).cast("array<double>").alias("features")).persist()
+    n = data.count()
     dim = len(data.first()["features"]) if n else 0
+    rows, first = _packed(data.select(F.lit(None).cast("int").alias("__own"), "features"), []), data.select(array_to_vector("features").alias("features"))
+    fits = {(k, i): [np.array(KMeans(k=k, seed=seed + i, maxIter=0, tol=tol, featuresCol="features").fit(first).clusterCenters()), 0.0] for k in ks for i in range(starts)}
+    moving = list(fits)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        got = _rounds(rows, np.float64, [(fits[m][0], None) for m in moving])
+        still = []
+        for m, (s, c, _, sse) in zip(moving, got):
+            new = np.where(c > 0, np.divide(s, c, out=np.zeros_like(s), where=c > 0), fits[m][0])
+            if (((new - fits[m][0]) ** 2).sum(1) > tol * tol).any():
+                still.append(m)
+            fits[m] = [new, sse]
+        moving = still
+    rows.unpersist()
+    parts, model = None, []
     for k in ks:
-        fitted = min((KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features").fit(data) for i in range(starts)), key=lambda m: m.summary.trainingCost)
-        got = fitted.transform(data).select("id", F.lit(k).alias("k"), F.col("prediction").alias("cluster"))
+        centres, sse = min((fits[k, i] for i in range(starts)), key=lambda m: m[1])
+
+        got = data.select("id", F.lit(k).alias("k"), _assigned(centres)("features").alias("cluster"))
         parts = got if parts is None else parts.unionAll(got)
-        sse = float(fitted.summary.trainingCost)
         model.append((k, sse, n * dim * np.log(max(sse, 1e-300) / (n * dim)) + k * (dim + 1) * np.log(n)))
     return parts, df.sparkSession.createDataFrame([(k, s, float(b)) for k, s, b in model], "k int, sse double, bic double")
 

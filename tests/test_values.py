@@ -497,3 +497,24 @@ def test_medoids_of_many_rows(spark):
     apart = lambda y, z: np.sqrt(((y[:, None] - z[None]) ** 2).sum(2))
     medoids = np.array([x[label == c][apart(x[label == c], x[label == c]).sum(1).argmin()] for c in range(3)])
     assert (apart(x, medoids).argmin(1) == label).all()
+
+
+def test_a_round_of_clustering_is_one_job(spark, monkeypatch):
+    """Lloyd rounds of all starts are one job each, and read kept blocks; ties and rows without a vector go as the plain loop has it."""
+    rounds, plain = [], series._rounds
+    monkeypatch.setattr(series, "_rounds", lambda *a, **b: rounds.append(1) or plain(*a, **b))
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(400, 3)), 1)
+    df = spark.createDataFrame([(i, i % 5, v.tolist()) for i, v in enumerate(x)] + [(400, 1, None)], "vec_id long, label int, embedding array<double>").repartition(3).persist()
+    df.count()
+    spark.sparkContext.setJobGroup("rounds", "rounds")
+    got = series.recluster(df)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(rounds) > 3 and jobs <= len(rounds) + 4
+    own, before = np.arange(400) % 5, None
+    centres = np.array([x[own == c].mean(0) for c in range(5)])
+    while before is None or (own != before).any():
+        before, own = own, np.round(((x[:, None] - centres[None]) ** 2).sum(2), 9).argmin(1)
+        centres = np.array([x[own == c].mean(0) if (own == c).any() else centres[c] for c in range(5)])
+    assert {r.vec_id: r.cluster for r in got.collect()} == {**dict(enumerate(own.tolist())), 400: None}
